@@ -41,7 +41,7 @@ def user_prompts(spark: SparkSession, sf: str) -> DataFrame:
     """What users typed. Some get blanks at both ends."""
     rows = table(spark, sf, "conversations").where("role = 'user'").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "conv_id", "text")
-    padded = F.concat(F.lit(" \t"), "text", F.lit(" \n"))
+    padded = F.concat(F.lit(" \t"), "text", F.lit("\u00a0\n"))
     return rows.withColumn("text", F.when(F.col("query_id") % 5 == 0, padded).otherwise(F.col("text")))
 
 
