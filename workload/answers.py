@@ -92,6 +92,10 @@ prompts AS (SELECT blocks.*, {_USER[0]} || d.text || {_USER[1]} || chunk_index |
 def recommendations(spark, sf):
     result = recommend(questions(spark, sf), collection(spark, sf), stand_in_answer,
                        Params(top_k=5), variants=variants(spark, sf))
+    return shown_results(result)
+
+
+def shown_results(result):
     rows = result.select("query_id", F.length("query").alias("n_query"), "total_docs_retrieved", "num_chunks",
                          "chunk_size", F.explode_outer("responses").alias("r"))
     texts = F.array_join(F.transform("r.docs", lambda d: d["document"]), "|")
