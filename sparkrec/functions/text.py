@@ -5,26 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from sparkrec import constants as K
+from sparkrec.functions.arrays import let
 from sparkrec.functions.jsonio import strict_json
 
-# The two whitespace sets differ in a few control characters.
-PY_SPACE = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-JS_SPACE = r"\t-\r\x{20}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
-
-
-def _strip_set(c: Column, chars: str) -> Column:
-    # The look-behind lets a blank run be tried once, not from each of its characters.
-    return F.regexp_replace(c, rf"\A[{chars}]+|(?<![{chars}])[{chars}]+\z", "")
+# The two sets of blanks differ in a few control characters.
+PY_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+JS_SPACE = (
+    "\t\n\x0b\x0c\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+)
 
 
 def strip(c: Column) -> Column:
-    """Remove Unicode blanks at both ends (`trim` takes off the space only)."""
-    return _strip_set(c, PY_SPACE)
+    """Remove Unicode blanks at both ends (plain `trim` takes off the space only)."""
+    return F.trim(c, F.lit(PY_SPACE))
 
 
 def strip_client(c: Column) -> Column:
     """The browser's notion of blanks, used on event frames and typed prompts."""
-    return _strip_set(c, JS_SPACE)
+    return F.trim(c, F.lit(JS_SPACE))
 
 
 def clean_newlines(c: Column) -> Column:
@@ -58,28 +60,30 @@ def score_band(c: Column) -> Column:
 
 def display_document(document: Column, meta: Column) -> Column:
     """Card fields: a JSON document with a title as is, plain text cut to size."""
-    value = strict_json(document)
-    # A scalar or list has no fields, so every path below is null for it.
-    title = F.try_variant_get(value, "$.title", "variant")
-    kind = F.schema_of_variant(title)
-    shown = F.try_variant_get(value, "$.title", "string")
-    # JavaScript truth: empty text, zero, false and null do not count as a title.
-    truthy = (
-        F.when(kind == "STRING", F.length(shown) > 0)
-        .when(kind == "BOOLEAN", F.try_variant_get(value, "$.title", "boolean"))
-        .when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE)"),
-              F.try_variant_get(value, "$.title", "double") != 0)
-        .otherwise(F.coalesce(kind != "VOID", F.lit(False)))
-    )
-    parsed = F.struct(
-        shown.alias("title"),
-        *[F.try_variant_get(value, f"$.{k}", "string").alias(k)
-          for k in ("category", "summary", "authors")],
-    )
+    def card(value: Column) -> Column:
+        # A scalar or list has no fields, so every path below is null for it.
+        title = F.try_variant_get(value, "$.title", "variant")
+        kind = F.schema_of_variant(title)
+        shown = F.try_variant_get(value, "$.title", "string")
+        # JavaScript truth: empty text, zero, false and null do not count as a title.
+        truthy = (
+            F.when(kind == "STRING", F.length(shown) > 0)
+            .when(kind == "BOOLEAN", F.try_variant_get(value, "$.title", "boolean"))
+            .when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE)"),
+                  F.try_variant_get(value, "$.title", "double") != 0)
+            .otherwise(F.coalesce(kind != "VOID", F.lit(False)))
+        )
+        fields = F.struct(
+            shown.alias("title"),
+            *[F.try_variant_get(value, f"$.{k}", "string").alias(k)
+              for k in ("category", "summary", "authors")],
+        )
+        return F.when(truthy, fields)
+
     plain = F.struct(
         F.substring(document, 1, 120).alias("title"),
         F.coalesce(meta["categories"], F.lit("")).alias("category"),
         F.substring(document, 1, 300).alias("summary"),
         F.coalesce(meta["authors_parsed"], F.lit("")).alias("authors"),
     )
-    return F.when(F.coalesce(truthy, F.lit(False)), parsed).otherwise(plain)
+    return F.coalesce(let(strict_json(document), card), plain)
