@@ -95,8 +95,9 @@ def _at_most_n_copies(vectors: np.ndarray, ids: np.ndarray, n: int) -> np.ndarra
 class _Best:
     """Running n best per query: row q holds its documents in (distance, id) order."""
 
-    def __init__(self, queries: np.ndarray, n: int, metric: str, payload: int):
-        self.queries, self.n, self.metric = queries, n, metric
+    def __init__(self, queries: np.ndarray, n: int, metric: str, payload: int,
+                 bound: np.ndarray | None = None):
+        self.queries, self.n, self.metric, self.bound = queries, n, metric, bound
         shape = (len(queries), n)
         self.dist = np.full(shape, np.inf)
         self.ids = np.full(shape, np.iinfo(np.int64).max, np.int64)
@@ -115,6 +116,8 @@ class _Best:
     def _add_tile(self, which, vectors, ids, payload):
         approx = _approximate(self.queries[which], vectors, self.metric)
         cut = self.dist[which, self.n - 1]
+        if self.bound is not None:
+            cut = np.minimum(cut, self.bound[which])
         if approx.shape[1] > self.n:
             cut = np.minimum(cut, np.partition(approx, self.n - 1, axis=1)[:, self.n - 1])
         slack = SLACK * (1.0 + np.abs(np.where(np.isfinite(cut), cut, 0.0)))
@@ -165,7 +168,7 @@ def _scan(batches: Iterator[pa.RecordBatch], block, n: int, metric: str,
     queries = held["vectors"]
     allowed, codes, free = held["allowed"], held["codes"], held["free"]
     dim = queries.shape[1]
-    best = _Best(queries, n, metric, len(payload_names))
+    best = _Best(queries, n, metric, len(payload_names), held["bound"])
     everyone = np.arange(len(queries))
     for batch in batches:
         if not batch.num_rows:
@@ -199,7 +202,8 @@ def _scan(batches: Iterator[pa.RecordBatch], block, n: int, metric: str,
 def _query_blocks(queries: DataFrame, keys: Sequence[str], vector: str, allowed: str | None,
                   block_bytes: int):
     """Query vectors as numpy blocks, each below the byte bound."""
-    cols = [*keys, F.col(vector).alias("_vector")]
+    bound = F.col("_bound") if "_bound" in queries.columns else F.lit(None).cast("double")
+    cols = [*keys, F.col(vector).alias("_vector"), bound.alias("_bound")]
     if allowed:
         cols.append(F.col(allowed).alias("_allowed"))
     queries = queries.where(F.col(vector).isNotNull()).select(*cols)
@@ -221,8 +225,11 @@ def _query_blocks(queries: DataFrame, keys: Sequence[str], vector: str, allowed:
             raise ValueError("query vectors differ in length")
         block = {
             "keys": [table.column(k).to_numpy() for k in keys],
-            "vectors": vectors, "allowed": None, "codes": None, "free": None,
+            "vectors": vectors, "allowed": None, "codes": None, "free": None, "bound": None,
         }
+        if table.column("_bound").null_count < table.num_rows:
+            bounds = table.column("_bound").to_numpy(zero_copy_only=False)
+            block["bound"] = np.where(np.isnan(bounds), np.inf, bounds)
         if allowed:
             lists = table.column("_allowed").to_pylist()
             labels = sorted({x for row in lists if row for x in row})
@@ -246,6 +253,8 @@ def knn_topk(
     labels: str | None = None,
     carry: Sequence[str] = (),
     block_bytes: int = BLOCK_BYTES,
+    seeds: DataFrame | None = None,
+    tasks: int | None = None,
 ) -> DataFrame:
     """The n nearest documents of each query, exact.
 
@@ -253,9 +262,18 @@ def knn_topk(
     document. With `allowed` (a list per query; null: no restriction) and `labels`
     (a list per document) a document counts only when the two lists overlap.
     Keys must be integers; ties go to the smaller doc_id.
+
+    Two settings save work on very large tables and never change the result.
+    `seeds` is any part of `docs` (one file, say): its n-th best distance bounds
+    that of the whole, so tasks send only documents within it. `tasks` joins scan
+    splits into that many longer tasks, each sending one n-best list.
     """
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric!r}")
+    if seeds is not None:
+        near = knn_topk(queries, seeds, n, metric, keys, vector, allowed, labels, block_bytes=block_bytes)
+        bounds = near.where(F.col("rank") == n).select(*keys, F.col("distance").alias("_bound"))
+        queries = queries.join(bounds, list(keys), "left")
     spark = docs.sparkSession
     fields = [T.StructField(k, queries.schema[k].dataType) for k in keys]
     fields += [T.StructField("doc_id", T.LongType()), T.StructField("distance", T.DoubleType())]
@@ -280,6 +298,8 @@ def knn_topk(
         )
         # Vectors of another length cannot be compared; the index check counts them.
         usable = docs.where(F.size("_vector") == dim)
+        if tasks:
+            usable = usable.coalesce(tasks)
         if allowed and not block["free"].any() and len(block["codes"]) <= 1000:
             wanted = F.array(*[F.lit(c) for c in block["codes"]]).cast("array<string>")
             usable = usable.where(F.arrays_overlap("_labels", wanted))

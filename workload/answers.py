@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from sparkrec import constants as K
 from sparkrec.config import Params
 from sparkrec.operators import chunk, confidence, evaluate, merge
+from sparkrec.operators.events import fold_events
 from sparkrec.operators.knn import knn_topk
+from sparkrec.operators.models import stream_tokens
 from sparkrec.plans.answer import chunk_requests
 from sparkrec.plans.recommend import recommend, run_events, run_pipeline
 from sparkrec.plans.retrieve import attach_documents
@@ -49,8 +51,8 @@ def not_seen(spark, sf):
     return rest.select("query_id", "doc_id")
 
 
-def _chunks(spark, sf):
-    merged = merge.merge_first_seen(_hits(spark, sf)).select("query_id", "pos", "doc_id")
+def _chunks(spark, sf, n=20):
+    merged = merge.merge_first_seen(_hits(spark, sf, n)).select("query_id", "pos", "doc_id")
     return chunk.assemble_chunks(attach_documents(merged, collection(spark, sf)), CHUNK)
 
 
@@ -109,7 +111,7 @@ _SQL_RECOMMEND = _SQL_RUN + f""",
 docs AS (SELECT query_id, chunk_index, sha256(string_agg(document, '|' ORDER BY pos)) AS docs_hash
          FROM chunked GROUP BY query_id, chunk_index),
 totals AS (SELECT query_id, count(*) AS total, max(chunk_index) AS chunks FROM chunked GROUP BY query_id)
-SELECT d.doc_id AS query_id, length(d.text) AS n_query, coalesce(total, 0) AS total_docs_retrieved,
+SELECT d.doc_id AS query_id, length(d.text)::INT AS n_query, coalesce(total, 0) AS total_docs_retrieved,
        coalesce(chunks, 0) AS num_chunks, 5 AS chunk_size, p.chunk_index, p.n AS num_docs_in_chunk,
        CASE WHEN p.prompt IS NULL THEN NULL WHEN right(sha256(p.prompt), 1) = '0'
             THEN '[Error generating response for chunk ' || p.chunk_index || ']'
@@ -148,6 +150,28 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY a, b, p) AS s
        num_chunks, chunk_index, num_docs_in_chunk, n_docs, total_docs_retrieved, chunk_size FROM ev"""
 
 
+def _tokens(system, prompt, model):
+    """The answer's digest in pieces of eight; one prompt in sixteen fails at once."""
+    text = stand_in_answer(system, prompt, model)
+    for i in range(0, len(text), 8):
+        yield text[i:i + 8]
+
+
+def token_stream(spark, sf):
+    requests = chunk_requests(questions(spark, sf), _chunks(spark, sf, 5))
+    return stream_tokens(requests, _tokens)
+
+
+def streamed_events(spark, sf):
+    """The log of a run with its tokens, folded back into chunks."""
+    run = run_pipeline(questions(spark, sf), collection(spark, sf), stand_in_answer, Params(top_k=5),
+                       variants=variants(spark, sf))
+    tokens = stream_tokens(chunk_requests(questions(spark, sf), run.chunks), _tokens)
+    folded, _, _ = fold_events(run_events(run, tokens))
+    return folded.select("query_id", "chunk_index", "num_docs_in_chunk", F.size("docs").alias("n_docs"),
+                         "generated_response", "status", "streaming")
+
+
 def confidence_parts(spark, sf):
     """User prompts; a conversation's vector stands for those of its prompts."""
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("conv_id"), "embedding")
@@ -213,6 +237,8 @@ QUERIES = {
     "chunk_prompts": chunk_prompts,
     "recommend": recommendations,
     "pipeline_events": pipeline_events,
+    "token_stream": token_stream,
+    "streamed_events": streamed_events,
     "confidence_parts": confidence_parts,
     "faithfulness": faithfulness,
     "faithfulness_per_query": faithfulness_per_query,
@@ -230,9 +256,19 @@ ORACLE = {
         coalesce(max(m.chunk_index), 0) AS num_chunks, 5 AS chunk_size
         FROM documents d LEFT JOIN chunked m ON m.query_id = d.doc_id GROUP BY d.doc_id""",
     "chunk_prompts": _SQL_BASE + f", {_SQL_PROMPTS}" + f""" SELECT query_id, chunk_index, sha256(prompt) AS prompt_hash,
-        length(prompt) AS n_chars, sha256(prompt || '|' || {quoted(K.ANSWER_SYSTEM)} || '|default|[]') AS cache_key FROM prompts""",
+        length(prompt)::INT AS n_chars, sha256(prompt || '|' || {quoted(K.ANSWER_SYSTEM)} || '|default|[]') AS cache_key FROM prompts""",
     "recommend": _SQL_RECOMMEND,
     "pipeline_events": _SQL_EVENTS,
+    "token_stream": _SQL_RUN + """,
+        w AS (SELECT query_id, chunk_index, CASE WHEN right(sha256(prompt), 1) = '0'
+              THEN ['[Error generating response for chunk ' || chunk_index || ']']
+              ELSE list_transform(range(0, 9), lambda i: substr('answer ' || sha256(prompt), 1 + i * 8, 8)) END AS t FROM prompts)
+        SELECT query_id, chunk_index, i AS token_no, t[i] AS token
+        FROM (SELECT *, unnest(range(1, len(t) + 1)) AS i FROM w)""",
+    "streamed_events": _SQL_RUN + """
+        SELECT query_id, chunk_index, n AS num_docs_in_chunk, n AS n_docs, CASE WHEN right(sha256(prompt), 1) = '0'
+            THEN '[Error generating response for chunk ' || chunk_index || ']' ELSE 'answer ' || sha256(prompt) END AS generated_response,
+        'success' AS status, false AS streaming FROM prompts""",
     "confidence_parts": _SQL_CONFIDENCE,
     "faithfulness": _SQL_CLAIMS + """ SELECT query_id, chunk_index, total_claims, supported_claims,
         round(score, 6) AS faithfulness_score FROM scores""",

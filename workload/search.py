@@ -41,6 +41,12 @@ def knn_ip(spark, sf):
     return _hits(knn_topk(variants(spark, sf), collection(spark, sf), 20, "ip"))
 
 
+def knn_seeded(spark, sf):
+    """The bound from one language's documents leaves the result as it is."""
+    docs = collection(spark, sf)
+    return _hits(knn_topk(variants(spark, sf), docs, 20, seeds=docs.where("lang = 'de'"), tasks=4))
+
+
 _FILTERS = {
     "german": {"lang": "de"},
     "two_sources": {"$or": [{"source": "src1"}, {"source": {"$in": ["src2", "src3"]}}]},
@@ -217,6 +223,7 @@ QUERIES = {
     "knn_topk": knn_l2,
     "knn_topk_cosine": knn_cosine,
     "knn_topk_ip": knn_ip,
+    "knn_seeded": knn_seeded,
     "knn_filtered": filtered,
     "knn_category_gate": category_gate,
     "knn_where": where_search,
@@ -237,6 +244,7 @@ ORACLE = {
     "knn_topk": f"WITH {SQL_INPUTS}, {sql_hits(20)} SELECT {_SQL_HIT}, round(1 / (1 + distance), 6) AS dense_score FROM hits",
     "knn_topk_cosine": f"WITH {SQL_INPUTS}, {sql_hits(20, metric='cosine')} SELECT {_SQL_HIT} FROM hits",
     "knn_topk_ip": f"WITH {SQL_INPUTS}, {sql_hits(20, metric='ip')} SELECT {_SQL_HIT} FROM hits",
+    "knn_seeded": f"WITH {SQL_INPUTS}, {sql_hits(20)} SELECT {_SQL_HIT} FROM hits",
     "knn_filtered": _SQL_FILTERED,
     "knn_category_gate": _SQL_GATE,
     "knn_where": f"WITH {SQL_INPUTS}, {sql_hits(5, 'c.lang = $$fr$$ AND c.label NOT IN (1, 2)')} SELECT {_SQL_HIT} FROM hits",

@@ -6,9 +6,12 @@ from pyspark.sql import functions as F
 
 from sparkrec import constants as K
 from sparkrec.functions import prompts, scores, text
-from sparkrec.functions.jsonio import is_valid_json
+from sparkrec.functions.jsonio import coerce_parts, is_valid_json
 from sparkrec.operators import dimension, expand
+from sparkrec.operators.filters import split_prompts
 from sparkrec.sources import research
+from sparkrec.sources.prompts import as_queries, read_prompts
+from sparkrec.storage import scratch_path
 from workload.base import quoted, sql_strip, table, user_prompts
 
 # --- expansion ------------------------------------------------------------------
@@ -172,6 +175,30 @@ def score_formats(spark, sf):
         scores.elapsed_ms(value).alias("elapsed_ms"))
 
 
+def prompt_source(spark, sf):
+    """Messages stored as JSON requests (some blank or without text), read and split."""
+    text_ = (F.when(F.col("turn") % 4 == 1, F.lit("")).when(F.col("turn") % 4 == 2, F.lit(" \t"))
+             .when(F.col("role") != "system", F.col("text")))
+    path = scratch_path(spark, "prompts")
+    table(spark, sf, "conversations").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), text_.alias("input_prompt")).write.json(path)
+    asked = read_prompts(spark, path, "query_id long, input_prompt string")
+    accepted, rejected = split_prompts(as_queries(asked))
+    _, strictly = split_prompts(as_queries(asked), strict=True)
+    return (accepted.select("query_id", F.lit("accepted").alias("outcome"), F.length("text").alias("n_chars"))
+            .unionByName(rejected.select("query_id", F.col("error").alias("outcome"), F.length("text").alias("n_chars")))
+            .unionByName(strictly.select("query_id", F.lit("rejected by client").alias("outcome"),
+                                         F.length("text").alias("n_chars"))))
+
+
+def response_parts(spark, sf):
+    """Messages as lists of parts, some parts without text, put together again."""
+    parts = F.transform(F.split("text", "\\. "), lambda x: F.struct(
+        F.when(F.length(x) % 7 != 0, x).alias("text"), F.length(x).alias("n")))
+    return table(spark, sf, "conversations").select(
+        "conv_id", "turn", F.sha2(coerce_parts(parts), 256).alias("text_hash"))
+
+
 # --- research table and categories --------------------------------------------------
 
 
@@ -229,6 +256,8 @@ QUERIES = {
     "json_validity": json_validity,
     "display_doc": display_documents,
     "score_formats": score_formats,
+    "prompt_source": prompt_source,
+    "response_parts": response_parts,
     "research_page": research_page,
     "research_pages": research_pages,
     "research_lengths": research_lengths,
@@ -254,6 +283,12 @@ ORACLE = {
         CASE WHEN s IS NULL THEN 'muted' WHEN s >= 0.7::DOUBLE THEN 'high' WHEN s >= 0.4::DOUBLE THEN 'mid' ELSE 'low' END AS band,
         round_even(value * 1000, 0)::BIGINT AS elapsed_ms
         FROM (SELECT *, CASE WHEN event_type <> 'error' THEN value / 100 END AS s FROM events)""",
+    "prompt_source": """WITH p AS (SELECT conv_id * 1000 + turn AS query_id, CASE turn % 4 WHEN 1 THEN '' WHEN 2 THEN ' ' || chr(9)
+            ELSE CASE WHEN role <> 'system' THEN text END END AS t FROM conversations)
+        SELECT query_id, CASE WHEN t <> '' THEN 'accepted' ELSE 'input_prompt is required' END AS outcome, length(t)::INT AS n_chars FROM p
+        UNION ALL SELECT query_id, 'rejected by client', length(t)::INT FROM p WHERE t IS NULL OR trim(t, ' ' || chr(9)) = ''""",
+    "response_parts": """SELECT conv_id, turn, sha256(array_to_string(list_transform(string_split(text, '. '),
+        lambda x: CASE WHEN length(x) % 7 <> 0 THEN x ELSE '{"n":' || length(x) || '}' END), chr(10))) AS text_hash FROM conversations""",
     "research_page": f"SELECT * FROM {_SQL_RESEARCH} ORDER BY id LIMIT 10 OFFSET 20",
     "research_pages": f"""SELECT id, category, authors, (row_number() OVER (ORDER BY id) - 1) // 10 + 1 AS page,
         ((row_number() OVER (ORDER BY id) - 1) % 10 + 1)::INT AS place FROM {_SQL_RESEARCH}""",
