@@ -45,6 +45,8 @@ def _id_ranges(df: DataFrame, key: str, rows_per_range: int) -> list[float]:
 
 
 def _with_range(df: DataFrame, key: str, bounds: list[float]) -> DataFrame:
+    if len(bounds) == 2:
+        return df.withColumn("_range", F.lit(0.0))
     cast = df.withColumn("_key", F.col(key).cast("double"))
     return Bucketizer(splits=bounds, inputCol="_key", outputCol="_range").transform(cast).drop("_key")
 

@@ -100,11 +100,10 @@ def test_zero_vector_has_cosine_distance_one(spark):
 
 
 def test_documents_are_not_shuffled(spark):
-    q, d, _, _ = tables(spark, 20, 3)
-    path = d._jdf  # keep the table alive while planning
-    plan = knn_topk(q, spark.range(10).select(F.col("id").alias("doc_id"), F.array(*[F.lit(0.0)] * 6).cast("array<float>")
-                                              .alias("embedding")), 2)._jdf.queryExecution().executedPlan().toString()
-    assert path is not None
+    q, _, _, _ = tables(spark, 20, 3)
+    zeros = F.array(*[F.lit(0.0)] * 6).cast("array<float>")
+    docs = spark.range(10).select(F.col("id").alias("doc_id"), zeros.alias("embedding"))
+    plan = knn_topk(q, docs, 2)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and plan.index("Exchange") < plan.index("MapInArrow")
     assert "Cartesian" not in plan and "NestedLoop" not in plan
 
