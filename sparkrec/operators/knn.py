@@ -82,14 +82,20 @@ def _at_most_n_copies(vectors: np.ndarray, ids: np.ndarray, n: int) -> np.ndarra
     More than n copies of one vector cannot all be among the n nearest, and a
     large group of copies would otherwise all tie at the cut.
     """
-    rows = np.ascontiguousarray(vectors).view([("", vectors.dtype)] * vectors.shape[1]).ravel()
-    _, group, counts = np.unique(rows, return_inverse=True, return_counts=True)
-    if counts.max(initial=0) <= n:
+    # Equal vectors have equal sums, so only rows of crowded sums can be such copies.
+    weights = np.sin(np.arange(1.0, vectors.shape[1] + 1))
+    _, group, counts = np.unique((vectors * weights).sum(axis=1), return_inverse=True, return_counts=True)
+    crowded = counts[group] > n
+    if not crowded.any():
         return np.arange(len(ids))
-    order = np.lexsort((ids, group))
-    starts = np.concatenate(([0], np.cumsum(counts)[:-1]))
-    place = np.arange(len(ids)) - starts[group[order]]
-    return np.sort(order[place < n])
+    suspects = np.flatnonzero(crowded)
+    block = np.ascontiguousarray(vectors[suspects])
+    raw = block.view(np.dtype((np.void, block.dtype.itemsize * block.shape[1]))).ravel()
+    _, group = np.unique(raw, return_inverse=True)
+    order = np.lexsort((ids[suspects], group))
+    by_group = group[order]
+    place = np.arange(len(order)) - np.searchsorted(by_group, by_group, side="left")
+    return np.sort(np.concatenate((np.flatnonzero(~crowded), suspects[order[place < n]])))
 
 
 class _Best:
@@ -146,27 +152,38 @@ class _Best:
             p[target] = m
 
 
-def _label_patterns(lists: pa.Array, codes: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct label sets of a batch (as 0/1 rows) and the set of each document."""
+def _label_groups(lists: pa.Array, codes: dict) -> Iterator[tuple[tuple[int, ...], np.ndarray]]:
+    """Rows of a batch by the set of their labels that some query asks for."""
     offsets = lists.offsets.to_numpy()
-    flat = lists.values.dictionary_encode()
-    known = np.array([codes.get(v, -1) for v in flat.dictionary.to_pylist()] or [-1], np.int64)
-    index = flat.indices.fill_null(0).to_numpy(zero_copy_only=False) if len(flat) else np.empty(0, np.int64)
-    sizes = np.diff(offsets)
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    code = known[index[offsets[0]:offsets[-1]]] if len(flat) else np.empty(0, np.int64)
-    use = code >= 0
-    member = np.zeros((len(sizes), max(len(codes), 1)), np.uint8)
-    member[owner[use], code[use]] = 1
-    patterns, which = np.unique(np.packbits(member, axis=1), axis=0, return_inverse=True)
-    return np.unpackbits(patterns, axis=1, count=member.shape[1]), which.ravel()
+    n = len(offsets) - 1
+    flat = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
+    known = np.array([codes.get(v, -1) for v in flat.dictionary.to_pylist()] + [-1], np.int64)
+    code = known[flat.indices.fill_null(-1).to_numpy(zero_copy_only=False)]
+    owner = np.repeat(np.arange(n), np.diff(offsets))
+    owner, code = owner[code >= 0], code[code >= 0]
+    if not len(owner) or np.bincount(owner).max() <= 1:
+        single = np.full(n, -1, np.int64)
+        single[owner] = code
+        order = np.argsort(single, kind="stable")
+        values, starts = np.unique(single[order], return_index=True)
+        for value, rows in zip(values, np.split(order, starts[1:])):
+            yield ((int(value),) if value >= 0 else ()), rows
+        return
+    order = np.lexsort((code, owner))
+    owner, code = owner[order], code[order]
+    bounds = np.searchsorted(owner, np.arange(n + 1))
+    groups: dict[tuple[int, ...], list[int]] = {}
+    for row in range(n):
+        groups.setdefault(tuple(code[bounds[row]:bounds[row + 1]]), []).append(row)
+    for labels, rows in groups.items():
+        yield labels, np.array(rows)
 
 
 def _scan(batches: Iterator[pa.RecordBatch], block, n: int, metric: str,
           payload_names: Sequence[str], out_schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     held = block.value
     queries = held["vectors"]
-    allowed, codes, free = held["allowed"], held["codes"], held["free"]
+    askers, codes, free = held["askers"], held["codes"], held["free"]
     dim = queries.shape[1]
     best = _Best(queries, n, metric, len(payload_names), held["bound"])
     everyone = np.arange(len(queries))
@@ -177,14 +194,12 @@ def _scan(batches: Iterator[pa.RecordBatch], block, n: int, metric: str,
                    .reshape(-1, dim).astype(np.float64))
         ids = batch.column("_id").to_numpy(zero_copy_only=False)
         payload = [np.array(batch.column(p).to_pylist(), object) for p in payload_names]
-        if allowed is None:
+        if askers is None:
             best.add(everyone, vectors, ids, payload)
             continue
-        patterns, which = _label_patterns(batch.column("_labels"), codes)
-        for p in range(len(patterns)):
-            takers = np.flatnonzero(free | ((allowed & patterns[p][None, :]).any(axis=1)))
+        for labels, rows in _label_groups(batch.column("_labels"), codes):
+            takers = np.unique(np.concatenate([free, *(askers[c] for c in labels)]))
             if len(takers):
-                rows = np.flatnonzero(which == p)
                 best.add(takers, vectors[rows], ids[rows], [x[rows] for x in payload])
     query, place = np.nonzero(best.used)
     if len(query):
@@ -204,13 +219,13 @@ def _query_blocks(queries: DataFrame, keys: Sequence[str], vector: str, allowed:
     """Query vectors as numpy blocks, each below the byte bound."""
     bound = F.col("_bound") if "_bound" in queries.columns else F.lit(None).cast("double")
     cols = [*keys, F.col(vector).alias("_vector"), bound.alias("_bound")]
-    if allowed:
-        cols.append(F.col(allowed).alias("_allowed"))
+    cols.append((F.col(allowed) if allowed else F.lit(None).cast("array<string>")).alias("_allowed"))
     queries = queries.where(F.col(vector).isNotNull()).select(*cols)
-    count, dim = queries.agg(F.count(F.lit(1)), F.max(F.size("_vector"))).first()
+    count, dim, labels = queries.agg(
+        F.count(F.lit(1)), F.max(F.size("_vector")), F.max(F.coalesce(F.size("_allowed"), F.lit(0)))).first()
     if not count:
         return
-    n_blocks = max(1, math.ceil(count * dim * 8 / block_bytes))
+    n_blocks = max(1, math.ceil(count * (dim + max(labels, 0)) * 8 / block_bytes))
     if n_blocks == 1:
         parts = [queries]
     else:
@@ -225,7 +240,7 @@ def _query_blocks(queries: DataFrame, keys: Sequence[str], vector: str, allowed:
             raise ValueError("query vectors differ in length")
         block = {
             "keys": [table.column(k).to_numpy() for k in keys],
-            "vectors": vectors, "allowed": None, "codes": None, "free": None, "bound": None,
+            "vectors": vectors, "askers": None, "codes": None, "free": None, "bound": None,
         }
         if table.column("_bound").null_count < table.num_rows:
             bounds = table.column("_bound").to_numpy(zero_copy_only=False)
@@ -234,11 +249,12 @@ def _query_blocks(queries: DataFrame, keys: Sequence[str], vector: str, allowed:
             lists = table.column("_allowed").to_pylist()
             labels = sorted({x for row in lists if row for x in row})
             codes = {x: i for i, x in enumerate(labels)}
-            member = np.zeros((len(lists), max(len(labels), 1)), np.uint8)
+            askers: list[list[int]] = [[] for _ in labels]
             for i, row in enumerate(lists):
-                for x in row or ():
-                    member[i, codes[x]] = 1
-            block.update(allowed=member, codes=codes, free=np.array([row is None for row in lists]))
+                for x in set(row or ()):
+                    askers[codes[x]].append(i)
+            block.update(askers=[np.array(a, np.int64) for a in askers], codes=codes,
+                         free=np.array([i for i, row in enumerate(lists) if row is None], np.int64))
         yield block
 
 
@@ -300,7 +316,7 @@ def knn_topk(
         usable = docs.where(F.size("_vector") == dim)
         if tasks:
             usable = usable.coalesce(tasks)
-        if allowed and not block["free"].any() and len(block["codes"]) <= 1000:
+        if allowed and not len(block["free"]) and len(block["codes"]) <= 1000:
             wanted = F.array(*[F.lit(c) for c in block["codes"]]).cast("array<string>")
             usable = usable.where(F.arrays_overlap("_labels", wanted))
         passes.append(usable.mapInArrow(lambda it, body=body: body(it), schema))
