@@ -16,6 +16,7 @@ from sparkrec import constants as K
 # --- where documents --------------------------------------------------------------
 
 def _typed(c: Column, value) -> tuple[Column, Column]:
+    """Metadata values are text; a number or boolean says how to read them."""
     if isinstance(value, bool):
         return F.lower(c), F.lit(str(value).lower())
     if isinstance(value, (int, float)):
@@ -23,18 +24,19 @@ def _typed(c: Column, value) -> tuple[Column, Column]:
     return c, F.lit(value)
 
 
-def _compare(c: Column, op: str, value) -> Column:
-    if op in ("$in", "$nin"):
-        hits = [_compare(c, "$eq", v) for v in value]
-        found = functools.reduce(operator.or_, hits, F.lit(False))
-        return ~found if op == "$nin" else found
-    left, right = _typed(c, value)
-    if op in ("$eq", "$ne"):
+def _compare(c: Column, op: str, value, own_column: bool) -> Column:
+    if op in ("$ne", "$nin"):
         # A missing key is different from every value.
-        same = F.coalesce(left == right, F.lit(False))
-        return ~same if op == "$ne" else same
-    tests = {"$gt": left > right, "$gte": left >= right, "$lt": left < right, "$lte": left <= right}
-    return F.coalesce(tests[op], F.lit(False))
+        same = _compare(c, "$eq" if op == "$ne" else "$in", value, own_column)
+        return ~F.coalesce(same, F.lit(False))
+    if op == "$in":
+        if own_column:
+            return c.isin(list(value))
+        return functools.reduce(operator.or_, [_compare(c, "$eq", v, False) for v in value], F.lit(False))
+    left, right = (c, F.lit(value)) if own_column else _typed(c, value)
+    tests = {"$eq": operator.eq, "$gt": operator.gt, "$gte": operator.ge,
+             "$lt": operator.lt, "$lte": operator.le}
+    return tests[op](left, right)
 
 
 def where_to_column(where: Mapping | None, columns: Mapping[str, Column] | None = None,
@@ -52,12 +54,8 @@ def where_to_column(where: Mapping | None, columns: Mapping[str, Column] | None
             parts.append(functools.reduce(operator.and_ if key == "$and" else operator.or_, inner))
             continue
         c = columns[key] if key in columns else F.col(meta)[key]
-        if isinstance(value, Mapping):
-            parts += [_compare(c, op, v) for op, v in value.items()]
-        elif key in columns and not isinstance(value, (bool, int, float)):
-            parts.append(c == F.lit(value))  # plain equality is what Parquet can use
-        else:
-            parts.append(_compare(c, "$eq", value))
+        conditions = value if isinstance(value, Mapping) else {"$eq": value}
+        parts += [_compare(c, op, v, key in columns) for op, v in conditions.items()]
     return functools.reduce(operator.and_, parts, F.lit(True))
 
 

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sparkrec.config import DEFAULTS, Params
 from sparkrec.functions.scores import dense_score
-from sparkrec.operators.filters import knn_category_gate, knn_filtered, where_to_column
+from sparkrec.operators.filters import knn_category_gate, where_to_column
+from sparkrec.operators.ivf import knn_approximate
 from sparkrec.operators.knn import knn_topk
 from sparkrec.operators.models import embed_texts, score_pairs
 from sparkrec.operators.rerank import apply_results, call_reranker, cut_by_score
@@ -52,22 +54,28 @@ def retrieve(
     category_gate: bool = False,
     reranker: Callable | None = None,
     scorer: Callable | None = None,
+    centres: np.ndarray | None = None,
+    probes: int = 8,
 ) -> DataFrame:
     """Ranked hits (query_id, variant_no, rank, doc_id, distance, dense_score, text_hash).
 
     The candidate budget is fetched only when a reranker or scorer will cut it;
     otherwise the first top_k are asked for right away, with the same result.
     A filter without any match is dropped. The category gate needs `categories`
-    and `confidence` columns on the variants.
+    and `confidence` columns on the variants. With `centres` the search is
+    approximate: it looks into the `probes` nearest cells of each variant.
     """
     variants = with_vectors(variants, embed, params)
     n = params.budget if reranker or scorer else params.top_k
     search = dict(metric=params.metric, carry=["text_hash"])
     if where:
-        named = variants.withColumn("filter_name", F.lit("where"))
-        hits = knn_filtered(named, collection, n, {"where": where_to_column(where, columns)}, **search)
-    elif category_gate:
+        matching = collection.where(where_to_column(where, columns))
+        if not matching.select("doc_id").isEmpty():  # stops at the first match
+            collection = matching
+    if category_gate:
         hits = knn_category_gate(variants, collection, n, **search)
+    elif centres is not None:
+        hits = knn_approximate(variants, collection, n, centres, probes, **search)
     else:
         hits = knn_topk(variants, collection, n, **search)
     hits = hits.withColumn("dense_score", dense_score(F.col("distance")))

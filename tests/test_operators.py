@@ -34,8 +34,11 @@ def test_where(spark, where, ids):
 def test_filters_on_columns_reach_the_scan(spark, tmp_path):
     path = str(tmp_path / "c")
     spark.createDataFrame([(1, "de")], "doc_id long, lang string").write.parquet(path)
-    plan = spark.read.parquet(path).where(filters.where_to_column({"lang": "de"}, {"lang": F.col("lang")}))
-    assert "EqualTo(lang,de)" in plan._jdf.queryExecution().executedPlan().toString()
+    pushed = lambda where: spark.read.parquet(path).where(
+        filters.where_to_column(where, {"lang": F.col("lang")}))._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(lang,de)" in pushed({"lang": "de"})
+    assert "In(lang, [de,fr])" in pushed({"lang": {"$in": ["de", "fr"]}})
+    assert "Or(EqualTo(lang,de),GreaterThan(lang,x))" in pushed({"$or": [{"lang": "de"}, {"lang": {"$gt": "x"}}]})
 
 
 def test_prompt_check(spark):
@@ -284,3 +287,13 @@ def test_equal_prompts_are_answered_once(spark):
 
     assert {r.generated_response for r in answer(queries, chunks, model).collect()} == {"r"}
     assert seen.value == 1
+
+
+def test_approximate_retrieval_with_every_cell_is_exact(spark):
+    import numpy as np
+    variants = spark.createDataFrame([(1, 0, [0.0, 1.0])], "query_id long, variant_no int, embedding array<float>")
+    docs, params = small_collection(spark), Params(top_k=4)
+    centres = np.array([[0.0, 1.0], [5.0, 1.0]])
+    ids = lambda **search: [r.doc_id for r in retrieve(variants, docs, params, **search).orderBy("rank").collect()]
+    assert ids(centres=centres, probes=2) == ids()
+    assert ids(centres=centres, probes=1) == ids()  # the nearest four lie in the first cell
