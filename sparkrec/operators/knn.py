@@ -119,15 +119,21 @@ class _Best:
         for start in range(0, len(which), tile):
             self._add_tile(which[start:start + tile], vectors, ids, payload)
 
+    @staticmethod
+    def _within(approx, cut):
+        slack = SLACK * (1.0 + np.abs(np.where(np.isfinite(cut), cut, 0.0)))
+        return np.nonzero(approx <= (cut + slack)[:, None])
+
     def _add_tile(self, which, vectors, ids, payload):
         approx = _approximate(self.queries[which], vectors, self.metric)
         cut = self.dist[which, self.n - 1]
         if self.bound is not None:
             cut = np.minimum(cut, self.bound[which])
-        if approx.shape[1] > self.n:
-            cut = np.minimum(cut, np.partition(approx, self.n - 1, axis=1)[:, self.n - 1])
-        slack = SLACK * (1.0 + np.abs(np.where(np.isfinite(cut), cut, 0.0)))
-        row, col = np.nonzero(approx <= (cut + slack)[:, None])
+        row, col = self._within(approx, cut)
+        if len(row) > 4 * self.n * len(which) and approx.shape[1] > self.n:
+            # Too many pass, as in the first batch: find this batch's own cut.
+            own = np.partition(approx, self.n - 1, axis=1)[:, self.n - 1]
+            row, col = self._within(approx, np.minimum(cut, own))
         if not len(row):
             return
         new_q = which[row]

@@ -67,6 +67,8 @@ def retrieve(
     """
     variants = with_vectors(variants, embed, params)
     n = params.budget if reranker or scorer else params.top_k
+    if "text_hash" not in collection.columns:
+        collection = collection.withColumn("text_hash", F.sha2("document", 256))
     search = dict(metric=params.metric, carry=["text_hash"])
     if where:
         matching = collection.where(where_to_column(where, columns))

@@ -121,7 +121,7 @@ FROM documents d LEFT JOIN totals ON totals.query_id = d.doc_id LEFT JOIN prompt
 LEFT JOIN docs ON docs.query_id = p.query_id AND docs.chunk_index = p.chunk_index"""
 
 
-def pipeline_events(spark, sf):
+def run_event_log(spark, sf):
     """The event log a run makes, without its wall times."""
     run = run_pipeline(questions(spark, sf), collection(spark, sf), stand_in_answer, Params(top_k=5),
                        variants=variants(spark, sf))
@@ -236,7 +236,7 @@ QUERIES = {
     "query_summary": summary,
     "chunk_prompts": chunk_prompts,
     "recommend": recommendations,
-    "pipeline_events": pipeline_events,
+    "run_events": run_event_log,
     "token_stream": token_stream,
     "streamed_events": streamed_events,
     "confidence_parts": confidence_parts,
@@ -258,7 +258,7 @@ ORACLE = {
     "chunk_prompts": _SQL_BASE + f", {_SQL_PROMPTS}" + f""" SELECT query_id, chunk_index, sha256(prompt) AS prompt_hash,
         length(prompt)::INT AS n_chars, sha256(prompt || '|' || {quoted(K.ANSWER_SYSTEM)} || '|default|[]') AS cache_key FROM prompts""",
     "recommend": _SQL_RECOMMEND,
-    "pipeline_events": _SQL_EVENTS,
+    "run_events": _SQL_EVENTS,
     "token_stream": _SQL_RUN + """,
         w AS (SELECT query_id, chunk_index, CASE WHEN right(sha256(prompt), 1) = '0'
               THEN ['[Error generating response for chunk ' || chunk_index || ']']
