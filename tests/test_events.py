@@ -190,3 +190,12 @@ def test_prompts_as_they_arrive(spark, tmp_path):
         "progress"] * 5 + ["chunk_start", "chunk_end", "complete"]
     rejected = spark.read.parquet(str(tmp_path / "ev-rejected")).collect()
     assert [(r.query_id, r.error) for r in rejected] == [(2, "input_prompt is required")]
+
+
+def test_frames_as_a_stream(spark, tmp_path):
+    log = table(spark, random_log(6, queries=1, n=20))
+    sse.write_frames(log, str(tmp_path / "log"))
+    query = append_batches(sse.stream_frames(spark, str(tmp_path / "log")), str(tmp_path / "out"), str(tmp_path / "state"))
+    query.awaitTermination(60)
+    got = spark.read.schema(schemas.EVENTS).option("recursiveFileLookup", "true").parquet(str(tmp_path / "out"))
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, log.collect()))
