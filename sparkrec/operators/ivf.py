@@ -15,6 +15,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from sparkrec.operators.knn import knn_topk
+from sparkrec.storage import cut_lineage
 
 TRAIN_ROWS = 1_000_000  # enough to place cells; documents themselves are never sampled
 
@@ -25,7 +26,8 @@ def train_cells(docs: DataFrame, cells: int, seed: int = 42, vector: str = "embe
     total = vectors.count()
     if total > TRAIN_ROWS:
         vectors = vectors.sample(TRAIN_ROWS / total, seed)
-    model = KMeans(k=cells, seed=seed, maxIter=20).fit(vectors)
+    # Training reads its rows many times; the documents are read once.
+    model = KMeans(k=cells, seed=seed, maxIter=20).fit(cut_lineage(vectors))
     return np.array(model.clusterCenters())
 
 

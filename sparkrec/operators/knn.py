@@ -241,9 +241,10 @@ def _query_blocks(queries: DataFrame, keys: Sequence[str], vector: str, allowed:
         table = part.toArrow().combine_chunks()
         if not table.num_rows:
             continue
-        vectors = np.array(table.column("_vector").to_pylist(), np.float64)
-        if vectors.ndim != 2:
+        lists = table.column("_vector").combine_chunks()
+        if (np.diff(lists.offsets.to_numpy()) != dim).any():
             raise ValueError("query vectors differ in length")
+        vectors = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
         block = {
             "keys": [table.column(k).to_numpy() for k in keys],
             "vectors": vectors, "askers": None, "codes": None, "free": None, "bound": None,

@@ -58,14 +58,17 @@ def build_index(docs: DataFrame, path: str, fn: Callable | None = None, name: st
                 batch: int = DEFAULTS.embedding_batch, setup: Callable | None = None) -> DataFrame:
     """Embed and append the documents the collection does not hold yet.
 
-    Running it again adds nothing. A document whose batch failed stays with a null
+    Running it again adds nothing. Two documents of one id are an error, found by
+    looking at the ids alone, so that texts need not be shuffled for it. A document whose batch failed stays with a null
     vector; it keeps its place. Rows are sorted by category inside files, so a
     filter on it skips row groups.
     """
     spark = docs.sparkSession
     name = name or DEFAULTS.collection
     held = open_collection(spark, path, name).select("doc_id")
-    fresh = docs.dropDuplicates(["doc_id"]).join(held, "doc_id", "left_anti")
+    if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        raise ValueError("document ids occur more than once")
+    fresh = docs.join(held, "doc_id", "left_anti")
     rows = as_collection(embed_texts(fresh, fn, batch=batch, setup=setup), name)
     rows.sortWithinPartitions("category", "doc_id").write.mode("append").partitionBy(
         "collection").parquet(path)

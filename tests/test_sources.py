@@ -56,6 +56,8 @@ def test_index_is_idempotent_and_named(spark, tmp_path):
     collection.build_index(docs(spark, range(6)), path, embed)
     collection.build_index(docs(spark, range(4, 9)), path, embed)
     collection.build_index(docs(spark, range(2)), path, embed, name="other")
+    with pytest.raises(ValueError):
+        collection.build_index(docs(spark, [20, 20]), path, embed)
     default = collection.open_collection(spark, path)
     assert sorted(r.doc_id for r in default.collect()) == list(range(9))
     assert collection.open_collection(spark, path, "other").count() == 2
