@@ -63,7 +63,7 @@ def session_status(spark, sf):
 
 
 def stage_metrics(spark, sf):
-    return ev.stage_metrics(_log(spark, sf)).withColumn("avg_elapsed_ms", F.round("avg_elapsed_ms", 4))
+    return ev.stage_metrics(_log(spark, sf), accuracy=1_000_000).withColumn("avg_elapsed_ms", F.round("avg_elapsed_ms", 4))
 
 
 def token_texts(spark, sf):
