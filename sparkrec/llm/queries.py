@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparkrec.llm import packing, pfor, sharding
+from sparkrec.llm import decontam, packing, pfor, sharding, simhash
 from sparkrec.storage import scratch_path
 
 TOKENIZER = "word_bpe_49k.json"
@@ -21,6 +21,14 @@ def op2_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"), public_tokenizers.path(TOKENIZER), 2)
 
 
+def op3_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return decontam.report(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+def op6_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
 def op7_sharding(spark: SparkSession, sf: str) -> DataFrame:
     """Where each document is, and where it would be with one shard more."""
     docs = table(spark, sf, "documents").select("doc_id")
@@ -68,6 +76,8 @@ def op10_token_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "op2_packing": op2_packing,
+    "op3_decontamination": op3_decontamination,
+    "op6_simhash": op6_simhash,
     "op7_sharding": op7_sharding,
     "op10_token_ids": op10_token_ids,
 }
