@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparkrec.llm import decontam, packing, pfor, sharding, simhash
+from sparkrec.llm import decontam, line_dedup, packing, pfor, sharding, simhash
 from sparkrec.storage import scratch_path
 
 TOKENIZER = "word_bpe_49k.json"
@@ -38,6 +38,12 @@ def op7_sharding(spark: SparkSession, sf: str) -> DataFrame:
                         (F.col("shard") != F.col("grown_shard")).alias("moved"))
 
 
+def op8_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents after removal."""
+    out = line_dedup.dedup_lines(table(spark, sf, "documents"))
+    return out.select("doc_id", "text", "removed_chunks", "removed_chars")
+
+
 def _sql_owners(name: str, shards: tuple[str, ...]) -> str:
     """The table's filling as a recursion with one step per claim."""
     names = ", ".join(f"'{s}'" for s in shards)
@@ -79,6 +85,7 @@ QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op6_simhash": op6_simhash,
     "op7_sharding": op7_sharding,
+    "op8_line_dedup": op8_line_dedup,
     "op10_token_ids": op10_token_ids,
 }
 
