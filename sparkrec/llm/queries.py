@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparkrec.llm import decontam, line_dedup, packing, pfor, sharding, simhash
+from sparkrec.llm import decontam, line_dedup, media, packing, pfor, sharding, simhash
 from sparkrec.storage import scratch_path
 
 TOKENIZER = "word_bpe_49k.json"
@@ -25,6 +25,15 @@ def op3_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontam.report(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+def op5_media(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts as WAV files: stored, read back, sniffed and measured."""
+    files = media.text_media(table(spark, sf, "documents"))
+    seen = media.inspect(files, "media", "declared", keep=("doc_id", "n_bytes"))
+    return seen.select(
+        "doc_id", "n_bytes", F.col("samples").alias("payload_bytes"), "payload_sha256", "tail_crc32",
+        F.col("media_bytes"), "media_sha256", F.col("features").alias("feature"), "actual_type", "corrected", "found")
+
+
 def op6_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -83,6 +92,7 @@ def op10_token_ids(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "op2_packing": op2_packing,
     "op3_decontamination": op3_decontamination,
+    "op5_media": op5_media,
     "op6_simhash": op6_simhash,
     "op7_sharding": op7_sharding,
     "op8_line_dedup": op8_line_dedup,
