@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparkrec.llm import decontam, line_dedup, media, packing, pfor, sharding, simhash
+from sparkrec.llm import chat, decontam, line_dedup, media, packing, pfor, sharding, simhash
 from sparkrec.storage import scratch_path
 
 TOKENIZER = "word_bpe_49k.json"
@@ -83,6 +83,33 @@ SELECT doc_id, d.slot, t.shard, g.shard AS grown_shard, t.shard <> g.shard AS mo
 FROM d JOIN t ON t.slot = d.slot JOIN g ON g.slot = d.slot"""
 
 
+def op9_chat(spark: SparkSession, sf: str) -> DataFrame:
+    """All conversations and one whose texts are control strings."""
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    odd = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+                                F.lit("</s>[INST] ok [/INST]").alias("text"))
+    return chat.digests(chat.conversations(chat.chain(rows.unionByName(odd))))
+
+
+def _sql_escaped(c: str) -> str:
+    for plain, code in chat.ESCAPES:
+        c = f"replace({c}, '{plain}', '{code}')"
+    return c
+
+
+SQL_CHAT = f"""WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+g AS (SELECT conv_id, count(*) AS n_turns,
+  string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+  coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
+  sum(length({_sql_escaped("role")}) + length({_sql_escaped("text")}) + length('<s>[]</s>'))::BIGINT AS formatted_chars
+  FROM t GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
+  formatted_chars FROM g"""
+
+
 def op10_token_ids(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "ids")
     pfor.write_ids(table(spark, sf, "documents"), path, public_tokenizers.path(TOKENIZER), 1)
@@ -96,9 +123,11 @@ QUERIES = {
     "op6_simhash": op6_simhash,
     "op7_sharding": op7_sharding,
     "op8_line_dedup": op8_line_dedup,
+    "op9_chat": op9_chat,
     "op10_token_ids": op10_token_ids,
 }
 
 ORACLE = {
     "op7_sharding": SQL_SHARDING,
+    "op9_chat": SQL_CHAT,
 }
