@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparkrec.llm import chat, decontam, line_dedup, media, packing, pfor, sharding, simhash
+from sparkrec.llm import chat, decontam, line_dedup, media, packing, pfor, secret_scan, sharding, simhash
 from sparkrec.storage import scratch_path
 
 TOKENIZER = "word_bpe_49k.json"
@@ -25,6 +25,10 @@ def op3_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontam.report(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+def op4_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    return secret_scan.report(secret_scan.find_secrets(table(spark, sf, "documents")))
+
+
 def op5_media(spark: SparkSession, sf: str) -> DataFrame:
     """Texts as WAV files: stored, read back, sniffed and measured."""
     files = media.text_media(table(spark, sf, "documents"))
@@ -119,6 +123,7 @@ def op10_token_ids(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "op2_packing": op2_packing,
     "op3_decontamination": op3_decontamination,
+    "op4_secrets": op4_secrets,
     "op5_media": op5_media,
     "op6_simhash": op6_simhash,
     "op7_sharding": op7_sharding,
