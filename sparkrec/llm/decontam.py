@@ -16,7 +16,7 @@ FILTER_BITS = 1 << 24  # of the filter over benchmark fingerprints: 2 MB, howeve
 CHUNK = 1 << 20        # bytes hashed at once
 
 # A-Z lower-cased, other ASCII than letters and digits blank; bytes of longer characters stay.
-_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32
+WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32
                for c in range(256))
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
@@ -32,14 +32,14 @@ def gram_words(n: int) -> int:
     return (n + 1) // 2
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
+def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
 def find_words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and hashes of the words in bytes that went through _WORDS."""
+    """Starts, ends and hashes of the words in bytes that went through WORDS."""
     starts, ends, hashes, at = [], [], [], 0
     while at < len(data):
         stop = len(data) if len(data) - at <= CHUNK else data.rfind(b" ", at, at + CHUNK)
@@ -52,7 +52,7 @@ def find_words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         powers = np.cumprod(np.full(len(raw) + 1, _BASE, dtype=np.uint64))
         back = np.cumprod(np.full(len(raw) + 1, pow(_BASE, -1, 1 << 64), dtype=np.uint64))
         sums = np.r_[np.uint64(0), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers[:-1])]
-        hashes.append(_mix((sums[last] - sums[first]) * back[first] + (last - first).astype(np.uint64)))
+        hashes.append(mix((sums[last] - sums[first]) * back[first] + (last - first).astype(np.uint64)))
         starts.append(first + at)
         ends.append(last + at)
         at = stop + 1
@@ -71,7 +71,7 @@ def winnow(words: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np
     grams = np.full(count, n, dtype=np.uint64)
     for j in range(k):
         grams = grams * np.uint64(_BASE) + words[j:j + count]
-    grams = _mix(grams)
+    grams = mix(grams)
     windows = np.lib.stride_tricks.sliding_window_view(grams, n - k + 1)
     at = np.arange(len(windows)) + windows.argmin(axis=1)
     at = np.unique(at[owner[:len(windows)] == owner[n - 1:]])
@@ -81,7 +81,7 @@ def winnow(words: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np
 def _found(texts: list[str], classes: list[int], known: np.ndarray | None) -> tuple[list[int], list[list[dict]]]:
     """Number of words of each text, and its fingerprints that may be in the filter, with
     the words around them."""
-    parts = [t.encode("utf-8", "replace").translate(_WORDS) for t in texts]
+    parts = [t.encode("utf-8", "replace").translate(WORDS) for t in texts]
     data = b" ".join(parts)
     offsets = np.cumsum([0] + [len(p) + 1 for p in parts])
     starts, ends, words = find_words(data)
@@ -119,7 +119,7 @@ def _fingerprints(rows: DataFrame, classes: list[int] | None, known: np.ndarray
                 if classes is None:
                     counts, hits = [], []
                     for t in texts:
-                        n = len(t.encode("utf-8", "replace").translate(_WORDS).split())
+                        n = len(t.encode("utf-8", "replace").translate(WORDS).split())
                         counts.append(n)
                         hits += _found([t], [min(n, WINDOW)] if n else [], None)[1]
                 else:

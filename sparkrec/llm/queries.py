@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparkrec.llm import chat, decontam, line_dedup, media, packing, pfor, secret_scan, sharding, simhash
+from sparkrec.llm import chat, decontam, line_dedup, media, packing, pfor, quality, secret_scan, sharding, simhash
 from sparkrec.storage import scratch_path
 
 TOKENIZER = "word_bpe_49k.json"
@@ -17,6 +17,13 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document with its probabilities of good quality and toxicity, and the verdict."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf, "labels"))
+    return quality.classify(docs, model).select("doc_id", "quality", "toxicity", "keep")
+
+
 def op2_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"), public_tokenizers.path(TOKENIZER), 2)
 
@@ -121,6 +128,7 @@ def op10_token_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op2_packing": op2_packing,
     "op3_decontamination": op3_decontamination,
     "op4_secrets": op4_secrets,
