@@ -25,7 +25,7 @@ _OTHER = 255
 _CLASS = bytes(ALPHABET.index(c) if c in ALPHABET else _OTHER for c in range(256))
 
 SHORTEST = 20       # of a string the models judge
-MARGIN = 10.0       # log-likelihood ratio from which a string counts as random
+MARGIN = 6.0        # log-likelihood ratio from which a string counts as random
 BYTES_AT_ONCE = 2_000_000
 
 SPANS = "array<struct<kind: int, start: int, end: int>>"
@@ -119,14 +119,14 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def log_ratio(random: np.ndarray, ordinary: np.ndarray) -> np.ndarray:
     """Per pair of letters the log of its probability in random strings over that in
-    ordinary ones, given the first letter. One pseudo-count per pair for the ordinary
-    model; the random model leans to the uniform distribution, which it is without samples."""
-    r = random.reshape(LETTERS, LETTERS) + 0.0
-    o = ordinary.reshape(LETTERS, LETTERS) + 1.0
-    uniform = 1.0 / LETTERS
-    strength = 4.0 * LETTERS
-    p = (r + strength * uniform) / (r.sum(axis=1, keepdims=True) + strength)
-    return np.log(p) - np.log(o / o.sum(axis=1, keepdims=True))
+    ordinary ones, given the first letter. Where pairs are rare the ordinary model leans
+    to how often the second letter occurs at all, the random one to the uniform
+    distribution, which it is without samples."""
+    r, o = random.reshape(LETTERS, LETTERS) + 0.0, ordinary.reshape(LETTERS, LETTERS) + 0.0
+    single = (o.sum(axis=0) + 0.5) / (o.sum() + 0.5 * LETTERS)
+    p = (r + 4.0) / (r.sum(axis=1, keepdims=True) + 4.0 * LETTERS)
+    q = (o + LETTERS * single) / (o.sum(axis=1, keepdims=True) + LETTERS)
+    return np.log(p) - np.log(q)
 
 
 def sample_counts(samples: DataFrame, text_col: str = "text", secret_col: str = "secret") -> DataFrame:
