@@ -15,16 +15,14 @@ def category_table(spark: SparkSession, pairs: Sequence[tuple[str, str]] = K.CAT
 
 
 def name_categories(rows: DataFrame, dimension: DataFrame, code: str = "code") -> DataFrame:
-    """Left join to the names; a code the dimension lacks keeps a null name.
-
-    The dimension is a fixed list of a few rows, so it is broadcast.
-    """
-    dim = F.broadcast(dimension.select(F.col("code").alias(code), "name"))
+    """Left join to the names; a code the dimension lacks keeps a null name. Spark
+    broadcasts the dimension where its size allows."""
+    dim = dimension.select(F.col("code").alias(code), "name")
     return rows.join(dim, code, "left").withColumn("known", F.col("name").isNotNull())
 
 
 def unknown_categories(rows: DataFrame, dimension: DataFrame, code: str = "code") -> DataFrame:
-    dim = F.broadcast(dimension.select(F.col("code").alias(code)))
+    dim = dimension.select(F.col("code").alias(code))
     return rows.join(dim, code, "left_anti").groupBy(code).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 import operator
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -51,6 +51,8 @@ def where_to_column(where: Mapping | None, columns: Mapping[str, Column] | None
     for key, value in (where or {}).items():
         if key in ("$and", "$or"):
             inner = [where_to_column(w, columns, meta) for w in value]
+            if not inner:
+                raise ValueError(f"{key} needs at least one condition")
             parts.append(functools.reduce(operator.and_ if key == "$and" else operator.or_, inner))
             continue
         c = columns[key] if key in columns else F.col(meta)[key]
@@ -79,7 +81,7 @@ def match_counts(docs: DataFrame, filters: Mapping[str, Column]) -> DataFrame:
 
 
 def knn_filtered(queries: DataFrame, docs: DataFrame, n: int, filters: Mapping[str, Column],
-                 filter_col: str = "filter_name", **knn) -> DataFrame:
+                 filter_col: str = "filter_name", search: Callable = knn_topk, **knn) -> DataFrame:
     """Search where each query names one of a fixed set of filters (null: none).
 
     A filter without any match is dropped for its queries; one pass over the
@@ -93,7 +95,7 @@ def knn_filtered(queries: DataFrame, docs: DataFrame, n: int, filters: Mapping[s
     )
     marks = F.array(*[F.when(cond, F.lit(name)) for name, cond in filters.items()])
     marked = docs.withColumn("_marks", F.array_compact(marks))
-    return knn_topk(gated, marked, n, allowed="_allowed", labels="_marks", **knn)
+    return search(gated, marked, n, allowed="_allowed", labels="_marks", **knn)
 
 
 def category_labels(category: Column) -> Column:
@@ -121,7 +123,8 @@ def gate_by_category(queries: DataFrame, docs: DataFrame,
 
 def knn_category_gate(queries: DataFrame, docs: DataFrame, n: int,
                       keys: Sequence[str] = ("query_id", "variant_no"),
-                      category: str = "category", **knn) -> DataFrame:
+                      category: str = "category", search: Callable = knn_topk, **knn) -> DataFrame:
+    """Search gated by category; `search` may be the approximate one."""
     gated = gate_by_category(queries, docs, keys, category)
     labelled = docs.withColumn("_labels_of", category_labels(F.col(category)))
-    return knn_topk(gated, labelled, n, keys=keys, allowed="allowed", labels="_labels_of", **knn)
+    return search(gated, labelled, n, keys=keys, allowed="allowed", labels="_labels_of", **knn)

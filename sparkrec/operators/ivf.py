@@ -9,7 +9,8 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -17,57 +18,74 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from sparkrec.operators.knn import knn_topk
 from sparkrec.storage import cut_lineage
 
-TRAIN_ROWS = 1_000_000  # enough to place cells; documents themselves are never sampled
 
-
-def train_cells(docs: DataFrame, cells: int, seed: int = 42, vector: str = "embedding") -> np.ndarray:
-    """Centres of `cells` k-means cells, fitted to a sample of the vectors."""
+def train_cells(docs: DataFrame, cells: int, seed: int = 42, vector: str = "embedding",
+                fraction: float | None = None) -> np.ndarray:
+    """Centres of `cells` k-means cells, fitted to all vectors, or to a `fraction` of them
+    where one is given."""
     vectors = docs.where(F.col(vector).isNotNull()).select(array_to_vector(vector).alias("features"))
-    total = vectors.count()
-    if total > TRAIN_ROWS:
-        vectors = vectors.sample(TRAIN_ROWS / total, seed)
+    if fraction is not None:
+        vectors = vectors.sample(fraction, seed)
     # Training reads its rows many times; the documents are read once.
-    model = KMeans(k=cells, seed=seed, maxIter=20).fit(cut_lineage(vectors))
+    model = KMeans(k=cells, seed=seed, maxIter=20).fit(cut_lineage(vectors, "vectors"))
     return np.array(model.clusterCenters())
 
 
 def nearest_cells(df: DataFrame, centres: np.ndarray, probes: int, out: str, vector: str = "embedding"
                   ) -> DataFrame:
-    """Add the `probes` nearest cells of each vector, nearest first."""
-    held = df.sparkSession.sparkContext.broadcast(centres)  # cells * dim doubles
+    """Add the numbers of the `probes` nearest cells of each vector, nearest first."""
+    held = df.sparkSession.sparkContext.broadcast(np.asarray(centres, np.float64))  # cells * dim doubles
     probes = min(probes, len(centres))
 
-    def place(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def place(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         c = held.value
-        norms = (c * c).sum(1)
         for batch in batches:
-            rows = [None] * len(batch)
-            good = [i for i, v in enumerate(batch) if v is not None and len(v) == c.shape[1]]
-            if good:
-                v = np.array([batch.iloc[i] for i in good], np.float64)
-                near = np.argsort(norms[None, :] - 2 * v @ c.T, axis=1, kind="stable")[:, :probes]
-                for i, cells in zip(good, near):
-                    rows[i] = [str(x) for x in cells]
-            yield pd.Series(rows, dtype=object)
-
-    place.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    udf = F.pandas_udf(place, T.ArrayType(T.StringType()))
+            sizes = pc.fill_null(pc.list_value_length(batch), -1).to_numpy(zero_copy_only=False)
+            good = np.flatnonzero(sizes == c.shape[1])
+            v = batch.take(pa.array(good)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, c.shape[1])
+            near = np.empty((len(good), probes), np.int32)
+            for at in range(0, len(good), 1024):
+                part = v[at:at + 1024]
+                apart = (c * c).sum(1)[None, :] - 2 * part @ c.T
+                near[at:at + 1024] = np.argsort(apart, axis=1, kind="stable")[:, :probes]
+            ends = np.cumsum(np.r_[0, np.where(sizes == c.shape[1], probes, 0)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(near.ravel()))
+            yield pc.if_else(pa.array(sizes == c.shape[1]), lists, pa.scalar(None, lists.type))
+
+    place.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    udf = F.arrow_udf(place, T.ArrayType(T.IntegerType())).asNondeterministic()
     return df.withColumn(out, udf(F.col(vector)))
 
 
 def assign_cells(docs: DataFrame, centres: np.ndarray, vector: str = "embedding") -> DataFrame:
-    """Add `cell` as a one-element list; done once, when the collection is written."""
-    return nearest_cells(docs, centres, 1, "cell", vector)
+    """Add `cell` (int); done once, when the collection is written (see `build_index`)."""
+    return nearest_cells(docs, centres, 1, "_cells", vector).withColumn("cell", F.get("_cells", F.lit(0))).drop("_cells")
 
 
 def knn_approximate(queries: DataFrame, docs: DataFrame, n: int, centres: np.ndarray, probes: int,
-                    **knn) -> DataFrame:
-    """Nearest documents within the `probes` cells nearest to each query."""
-    if "cell" not in docs.columns:
-        docs = assign_cells(docs, centres)
-    probing = nearest_cells(queries, centres, probes, "_probe")
-    # Rows of a cell next to each other make its product one matrix operation.
-    return knn_topk(probing, docs.sortWithinPartitions("cell"), n, allowed="_probe", labels="cell", **knn)
+                    keys: Sequence[str] = ("query_id", "variant_no"), allowed: str | None = None,
+                    labels: str | None = None, **knn) -> DataFrame:
+    """Nearest documents within the `probes` cells nearest to each query.
+
+    Documents with a stored `cell` are read only where some query looks: the cells asked
+    for, of which there are as many as centres at most, go to the scan as a filter. With
+    `allowed` and `labels` a document must match in both ways.
+    """
+    probing = cut_lineage(nearest_cells(queries, centres, probes, "_probe"), "probes")
+    # A collection written without centres has the column, but no cells.
+    if "cell" not in docs.columns or not docs.where("cell IS NULL AND embedding IS NOT NULL").isEmpty():
+        docs = assign_cells(docs.drop("cell"), centres)
+    asked = [r[0] for r in probing.select(F.explode("_probe")).distinct().collect()]
+    docs = docs.where(F.col("cell").isin(asked))
+    if allowed is None:
+        return knn_topk(probing, docs.withColumn("_at", F.array("cell")), n, keys=keys, allowed="_probe", labels="_at", **knn)
+    # A label of both: "cell/label", and "cell/" for queries that may have any label.
+    both = F.when(F.col(allowed).isNull(), F.transform("_probe", lambda p: F.concat(p.cast("string"), F.lit("/")))).otherwise(
+        F.flatten(F.transform("_probe", lambda p: F.transform(allowed, lambda a: F.concat(p.cast("string"), F.lit("/"), a)))))
+    marks = F.transform(F.concat(F.array(F.lit("")), F.coalesce(labels, F.array().cast("array<string>"))),
+                        lambda x: F.concat(F.col("cell").cast("string"), F.lit("/"), x))
+    return knn_topk(probing.withColumn("_both", both), docs.withColumn("_at", marks), n, keys=keys, allowed="_both",
+                    labels="_at", **knn)
 
 
 def recall(found: DataFrame, exact: DataFrame, keys: Sequence[str] = ("query_id", "variant_no")) -> DataFrame:

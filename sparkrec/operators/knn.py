@@ -22,7 +22,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 from sparkrec.storage import cut_lineage
 
 METRICS = ("l2sq", "cosine", "ip")
-BLOCK_BYTES = 256 << 20  # bound on one broadcast query block
+BLOCK_BYTES = 256 << 20  # bound on what a task holds for one block of queries
+MOST_TASKS = 10_000      # each sends at most n rows per query, which bounds what meets in one sort
 TILE = 1024              # queries handled at a time inside a task
 # Slack on the matrix-product distance; survivors are measured exactly.
 SLACK = 1e-9
@@ -221,8 +222,9 @@ def _scan(batches: Iterator[pa.RecordBatch], block, n: int, metric: str,
 # --- on the driver: query blocks of bounded size ----------------------------------
 
 def _query_blocks(queries: DataFrame, keys: Sequence[str], vector: str, allowed: str | None,
-                  block_bytes: int):
-    """Query vectors as numpy blocks, each below the byte bound."""
+                  block_bytes: int, held_bytes: int = 0):
+    """Query vectors as numpy blocks; vectors, labels and `held_bytes` per query stay below
+    the bound. Rows of one key are in one block."""
     bound = F.col("_bound") if "_bound" in queries.columns else F.lit(None).cast("double")
     cols = [*keys, F.col(vector).alias("_vector"), bound.alias("_bound")]
     cols.append((F.col(allowed) if allowed else F.lit(None).cast("array<string>")).alias("_allowed"))
@@ -231,7 +233,7 @@ def _query_blocks(queries: DataFrame, keys: Sequence[str], vector: str, allowed:
         F.count(F.lit(1)), F.max(F.size("_vector")), F.max(F.coalesce(F.size("_allowed"), F.lit(0)))).first()
     if not count:
         return
-    n_blocks = max(1, math.ceil(count * (dim + max(labels, 0)) * 8 / block_bytes))
+    n_blocks = max(1, math.ceil(count * ((dim + max(labels, 0)) * 8 + held_bytes) / block_bytes))
     if n_blocks == 1:
         parts = [queries]
     else:
@@ -241,6 +243,8 @@ def _query_blocks(queries: DataFrame, keys: Sequence[str], vector: str, allowed:
         table = part.toArrow().combine_chunks()
         if not table.num_rows:
             continue
+        if table.num_rows != table.group_by(list(keys)).aggregate([]).num_rows:
+            raise ValueError(f"{', '.join(keys)} occur more than once among the queries")
         lists = table.column("_vector").combine_chunks()
         if (np.diff(lists.offsets.to_numpy()) != dim).any():
             raise ValueError("query vectors differ in length")
@@ -284,20 +288,24 @@ def knn_topk(
     Returns `keys`, rank (from 1), doc_id, distance and the `carry` columns of the
     document. With `allowed` (a list per query; null: no restriction) and `labels`
     (a list per document) a document counts only when the two lists overlap.
-    Keys must be integers; ties go to the smaller doc_id.
+    Ties go to the smaller doc_id.
+
+    Keys must be integers, unique among the queries; a repeated key is an error.
 
     Two settings save work on very large tables and never change the result.
     `seeds` is any part of `docs` (one file, say): its n-th best distance bounds
-    that of the whole, so tasks send only documents within it. `tasks` joins scan
-    splits into that many longer tasks, each sending one n-best list.
+    that of the whole, so tasks send only documents within it. `tasks` (MOST_TASKS
+    where not given) joins scan splits into that many longer tasks at most, each
+    sending one n-best list.
     """
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric!r}")
     if seeds is not None:
         near = knn_topk(queries, seeds, n, metric, keys, vector, allowed, labels, block_bytes=block_bytes)
-        bounds = near.where(F.col("rank") == n).select(*keys, F.col("distance").alias("_bound"))
+        bounds = cut_lineage(near.where(F.col("rank") == n).select(*keys, F.col("distance").alias("_bound")), "bounds")
         queries = queries.join(bounds, list(keys), "left")
     spark = docs.sparkSession
+    tasks = tasks or MOST_TASKS
     fields = [T.StructField(k, queries.schema[k].dataType) for k in keys]
     fields += [T.StructField("doc_id", T.LongType()), T.StructField("distance", T.DoubleType())]
     fields += [T.StructField(c, docs.schema[c].dataType) for c in carry]
@@ -309,11 +317,12 @@ def knn_topk(
     ])
     narrow = [F.col("doc_id").cast("long").alias("_id"), F.col(vector).alias("_vector"), *carry]
     if labels:
-        narrow.append(F.coalesce(F.col(labels), F.array().cast("array<string>")).alias("_labels"))
+        kind = docs.schema[labels].dataType
+        narrow.append(F.coalesce(F.col(labels), F.array().cast(kind)).alias("_labels"))
     docs = docs.select(*narrow)
 
     passes = []
-    for block in _query_blocks(queries, keys, vector, allowed, block_bytes):
+    for block in _query_blocks(queries, keys, vector, allowed, block_bytes, n * (17 + 64 * len(carry))):
         dim = block["vectors"].shape[1]
         body = functools.partial(
             _scan, block=spark.sparkContext.broadcast(block), n=n, metric=metric,
@@ -321,10 +330,9 @@ def knn_topk(
         )
         # Vectors of another length cannot be compared; the index check counts them.
         usable = docs.where(F.size("_vector") == dim)
-        if tasks:
-            usable = usable.coalesce(tasks)
+        usable = usable.coalesce(tasks)
         if allowed and not len(block["free"]) and len(block["codes"]) <= 1000:
-            wanted = F.array(*[F.lit(c) for c in block["codes"]]).cast("array<string>")
+            wanted = F.array(*[F.lit(c) for c in block["codes"]]).cast(kind)
             usable = usable.where(F.arrays_overlap("_labels", wanted))
         passes.append(usable.mapInArrow(lambda it, body=body: body(it), schema))
     if not passes:

@@ -1,14 +1,16 @@
 """User-supplied model functions over columns and rows.
 
 Only the columns a function needs are sent to Python. A failing call yields a
-null or an error text in its own rows and never shifts or loses others. With
-`setup`, the function is built once per task (to load a model there).
+null or an error text in its own rows and never shifts or loses others. The functions
+count as nondeterministic, so that no plan calls one twice for a row. With `setup`, the
+function is built once per task (to load a model there).
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -39,11 +41,11 @@ def embed_texts(df: DataFrame, fn: Callable | None = None, *, text: str = "docum
                         raise ValueError(f"{len(part)} texts gave {len(got)} vectors")
                 except Exception:
                     got = [None] * len(part)
-                vectors.extend(None if v is None else [float(x) for x in v] for v in got)
+                vectors.extend(None if v is None else np.asarray(v, np.float32) for v in got)
             yield pd.Series(vectors, dtype=object)
 
     run.__annotations__ = {"columns": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    embed = F.pandas_udf(run, T.ArrayType(T.FloatType()))
+    embed = F.pandas_udf(run, T.ArrayType(T.FloatType())).asNondeterministic()
     return df.withColumn(out, embed(clean_newlines(F.coalesce(F.col(text), F.lit("")))))
 
 
@@ -68,7 +70,7 @@ def generate(requests: DataFrame, fn: Callable | None = None, *, retries: int =
             yield pd.DataFrame(rows, columns=["response", "error"], dtype=object)
 
     run.__annotations__ = {"columns": Iterator[pd.DataFrame], "return": Iterator[pd.DataFrame]}
-    udf = F.pandas_udf(run, GENERATED)
+    udf = F.pandas_udf(run, GENERATED).asNondeterministic()
     done = requests.withColumn("_g", udf(F.struct("system", "prompt", "model")))
     return done.withColumns({"response": F.col("_g.response"), "error": F.col("_g.error")}).drop("_g")
 
@@ -116,5 +118,5 @@ def score_pairs(pairs: DataFrame, fn: Callable | None = None, *, query: str = "t
             yield pd.Series([float(x) for x in call(list(zip(frame["q"], frame["d"])))], dtype="float64")
 
     run.__annotations__ = {"columns": Iterator[pd.DataFrame], "return": Iterator[pd.Series]}
-    udf = F.pandas_udf(run, T.DoubleType())
+    udf = F.pandas_udf(run, T.DoubleType()).asNondeterministic()
     return pairs.withColumn(out, udf(F.struct(F.col(query).alias("q"), F.col(document).alias("d"))))

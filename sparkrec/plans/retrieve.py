@@ -16,23 +16,25 @@ from sparkrec.operators.models import embed_texts, score_pairs
 from sparkrec.operators.rerank import apply_results, call_reranker, cut_by_score
 from sparkrec.storage import cut_lineage
 
-HIT_BYTES = 200  # generous size of one hit row when broadcast
+SLOTS = 1 << 20  # of the filter in front of the documents, at most so many rows are broadcast
 
 
-def _conf_bytes(df: DataFrame, key: str) -> int:
-    text = df.sparkSession.conf.get(key).lower().rstrip("b")
-    scale = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
-    return int(text[:-1]) * scale[text[-1]] if text[-1:] in scale else int(text)
+def attach_documents(hits: DataFrame, collection: DataFrame, columns: tuple[str, ...] = ("document", "meta"),
+                     kept: bool = False) -> DataFrame:
+    """Texts of hits. Only documents that are hits are shuffled, however many there are.
 
+    The hash slots of the hits' ids, SLOTS at most, are broadcast and let through the
+    documents of those slots while they are read. `kept` says that `hits` is stored; else
+    it is stored here, since it is read twice.
+    """
+    hits = hits if kept else cut_lineage(hits, "hits")
+
+    def slot(c: str) -> Column:
+        return F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(SLOTS)).cast("int").alias("_slot")
 
-def attach_documents(hits: DataFrame, collection: DataFrame, max_rows: int | None = None,
-                     columns: tuple[str, ...] = ("document", "meta")) -> DataFrame:
-    """Texts of hits. With a known bound on the hits they are broadcast if small
-    enough, and the documents are then not shuffled; else both sides are."""
-    limit = _conf_bytes(hits, "spark.sql.autoBroadcastJoinThreshold")
-    if max_rows is not None and max_rows * HIT_BYTES <= limit:
-        hits = F.broadcast(hits)
-    return hits.join(collection.select("doc_id", *columns), "doc_id")
+    asked = hits.select(slot("doc_id")).distinct()
+    found = collection.select("doc_id", *columns, slot("doc_id")).join(F.broadcast(asked), "_slot", "left_semi")
+    return hits.join(found.drop("_slot"), "doc_id")
 
 
 def with_vectors(variants: DataFrame, embed: Callable | None, params: Params = DEFAULTS,
@@ -56,38 +58,64 @@ def retrieve(
     scorer: Callable | None = None,
     centres: np.ndarray | None = None,
     probes: int = 8,
+    filters: Mapping[str, Column] | None = None,
+    seeds: DataFrame | None = None,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Ranked hits (query_id, variant_no, rank, doc_id, distance, dense_score, text_hash).
 
     The candidate budget is fetched only when a reranker or scorer will cut it;
     otherwise the first top_k are asked for right away, with the same result.
     A filter without any match is dropped. The category gate needs `categories`
-    and `confidence` columns on the variants. With `centres` the search is
-    approximate: it looks into the `probes` nearest cells of each variant.
+    and `confidence` columns on the variants. `filters` are named; a variant's
+    filter_name column says which is its own. With `centres` the search is
+    approximate: it looks into the `probes` nearest cells of each variant, and only
+    into those documents there that a filter or gate lets through. `seeds` and
+    `tasks` are handed to the search. A variant whose rerank call fails is ordered
+    by the scorer if there is one, else by distance.
     """
     variants = with_vectors(variants, embed, params)
     n = params.budget if reranker or scorer else params.top_k
-    if "text_hash" not in collection.columns:
-        collection = collection.withColumn("text_hash", F.sha2("document", 256))
-    search = dict(metric=params.metric, carry=["text_hash"])
+    hashed = "text_hash" in collection.columns
+    search: dict = dict(metric=params.metric, carry=["text_hash"] if hashed else [], tasks=tasks)
+    if seeds is not None:
+        search["seeds"] = seeds
     if where:
         matching = collection.where(where_to_column(where, columns))
         if not matching.select("doc_id").isEmpty():  # stops at the first match
             collection = matching
+    if filters and category_gate:
+        raise ValueError("named filters and the category gate cannot be combined")
+    if centres is not None:
+        search |= dict(search=knn_approximate, centres=centres, probes=probes)
+        if seeds is not None:
+            raise ValueError("seeds bound the exact search only")
     if category_gate:
         hits = knn_category_gate(variants, collection, n, **search)
-    elif centres is not None:
-        hits = knn_approximate(variants, collection, n, centres, probes, **search)
+    elif filters:
+        hits = knn_filtered(variants, collection, n, filters, **search)
     else:
-        hits = knn_topk(variants, collection, n, **search)
+        hits = search.pop("search", knn_topk)(variants, collection, n, **search)
+    if not hashed:  # of the hits' texts only
+        hits = cut_lineage(hits, "hits")
+        hits = attach_documents(hits, collection, ("document",), kept=True).withColumn(
+            "text_hash", F.sha2("document", 256)).drop("document")
     hits = hits.withColumn("dense_score", dense_score(F.col("distance")))
     if not (reranker or scorer):
         return hits
-    hits = cut_lineage(hits)  # read twice below; the search runs once
-    asked = attach_documents(hits, collection, hits.count(), ("document",)).join(
+    hits = cut_lineage(hits, "hits")  # read twice below; the search runs once
+    asked = attach_documents(hits, collection, ("document",), kept=True).join(
         variants.select("query_id", "variant_no", "text"), ["query_id", "variant_no"])
-    if reranker:
-        results = cut_lineage(call_reranker(asked, reranker, params.rerank_cut))
+
+    def by_score(rows: DataFrame) -> DataFrame:
+        return cut_by_score(score_pairs(rows, scorer).drop("document", "text"), params.top_k)
+
+    if not reranker:
+        return by_score(asked)
+    results = cut_lineage(call_reranker(asked, reranker, params.rerank_cut), "reranked")
+    if not scorer:
         return apply_results(hits, results, params.rerank_cut, params.top_k)
-    scored = score_pairs(asked, scorer).drop("document", "text")
-    return cut_by_score(scored, params.top_k)
+    keys = ["query_id", "variant_no"]
+    failed = results.where("error IS NOT NULL").select(*keys).distinct()
+    served = apply_results(hits, results.where("error IS NULL"), params.rerank_cut, params.top_k)
+    return served.unionByName(by_score(asked.join(failed, keys, "left_semi")), allowMissingColumns=True)

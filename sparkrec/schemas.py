@@ -27,49 +27,7 @@ COLLECTION = T.StructType([
     T.StructField("category", T.StringType()),
     T.StructField("text_hash", T.StringType()),
     T.StructField("embedding", T.ArrayType(T.FloatType())),
-])
-
-VARIANTS = T.StructType([
-    T.StructField("query_id", T.LongType()),
-    T.StructField("variant_no", T.IntegerType()),
-    T.StructField("kind", T.StringType()),
-    T.StructField("text", T.StringType()),
-])
-
-RESPONSES = T.StructType([
-    T.StructField("query_id", T.LongType()),
-    T.StructField("kind", T.StringType()),
-    T.StructField("response", T.StringType()),
-    T.StructField("error", T.StringType()),
-])
-
-STEP_BACK = T.StructType([
-    T.StructField("abstracted_query", T.StringType()),
-    T.StructField("categories", T.ArrayType(T.StringType())),
-    T.StructField("confidence", T.StringType()),
-    T.StructField("reasoning", T.StringType()),
-])
-
-RERANK_RESULTS = T.StructType([
-    T.StructField("query_id", T.LongType()),
-    T.StructField("variant_no", T.IntegerType()),
-    T.StructField("result_no", T.IntegerType()),
-    T.StructField("index", T.IntegerType()),
-    T.StructField("relevance_score", T.DoubleType()),
-])
-
-CLAIMS = T.StructType([
-    T.StructField("query_id", T.LongType()),
-    T.StructField("chunk_index", T.IntegerType()),
-    T.StructField("claim", T.StringType()),
-    T.StructField("verdict", T.StringType()),
-    T.StructField("supported", T.BooleanType()),
-])
-
-CACHE = T.StructType([
-    T.StructField("cache_key", T.StringType()),
-    T.StructField("ts", T.TimestampType()),
-    T.StructField("response", T.StringType()),
+    T.StructField("cell", T.IntegerType()),
 ])
 
 # One wide row per event; fields a type does not use are null, and so left out

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
+import numpy as np
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sparkrec import schemas
 from sparkrec.config import DEFAULTS
 from sparkrec.operators.filters import where_to_column
+from sparkrec.operators.ivf import assign_cells
 from sparkrec.operators.models import embed_texts
 
 INCLUDE = {"documents": "document", "metadatas": "meta", "embeddings": "embedding"}
@@ -51,17 +53,21 @@ def as_collection(docs: DataFrame, name: str | None = None) -> DataFrame:
         extra["text_hash"] = F.sha2("document", 256)
     if "embedding" not in docs.columns:
         extra["embedding"] = F.lit(None).cast("array<float>")
+    if "cell" not in docs.columns:
+        extra["cell"] = F.lit(None).cast("int")
     return docs.withColumns(extra).select(*schemas.COLLECTION.fieldNames())
 
 
 def build_index(docs: DataFrame, path: str, fn: Callable | None = None, name: str | None = None, *,
-                batch: int = DEFAULTS.embedding_batch, setup: Callable | None = None) -> DataFrame:
+                batch: int = DEFAULTS.embedding_batch, setup: Callable | None = None,
+                centres: np.ndarray | None = None) -> DataFrame:
     """Embed and append the documents the collection does not hold yet.
 
     Running it again adds nothing. Two documents of one id are an error, found by
     looking at the ids alone, so that texts need not be shuffled for it. A document whose batch failed stays with a null
     vector; it keeps its place. Rows are sorted by category inside files, so a
-    filter on it skips row groups.
+    filter on it skips row groups. With `centres` each document's cell is stored and
+    comes first in that order, for the approximate search.
     """
     spark = docs.sparkSession
     name = name or DEFAULTS.collection
@@ -69,7 +75,10 @@ def build_index(docs: DataFrame, path: str, fn: Callable | None = None, name: st
     if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():
         raise ValueError("document ids occur more than once")
     fresh = docs.join(held, "doc_id", "left_anti")
-    rows = as_collection(embed_texts(fresh, fn, batch=batch, setup=setup), name)
-    rows.sortWithinPartitions("category", "doc_id").write.mode("append").partitionBy(
+    rows = embed_texts(fresh, fn, batch=batch, setup=setup)
+    if centres is not None:
+        rows = assign_cells(rows, centres)
+    order = ["cell", "category", "doc_id"] if centres is not None else ["category", "doc_id"]
+    as_collection(rows, name).sortWithinPartitions(*order).write.mode("append").partitionBy(
         "collection").parquet(path)
     return open_collection(spark, path, name)

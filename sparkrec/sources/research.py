@@ -2,17 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sparkrec import schemas
 from sparkrec.config import DEFAULTS
-
-SHALLOW_ROWS = 100_000   # rows a single page request may sort past without an index
-ROWS_PER_RANGE = 1_000_000
-MAX_RANGES = 10_000
+from sparkrec.storage import with_row_no
 
 
 def read_research(spark: SparkSession, path: str) -> DataFrame:
@@ -35,43 +29,19 @@ def length_violations(research: DataFrame) -> DataFrame:
             .where(F.size("too_long") > 0).select("id", "too_long"))
 
 
-def _id_ranges(df: DataFrame, key: str, rows_per_range: int) -> list[float]:
-    """Boundaries of roughly equal ranges of the key; at most MAX_RANGES of them."""
-    ranges = min(MAX_RANGES, math.ceil(df.count() / rows_per_range))
-    if ranges <= 1:
-        return [-math.inf, math.inf]
-    points = df.stat.approxQuantile(key, [i / ranges for i in range(1, ranges)], 1 / (4 * ranges))
-    return [-math.inf, *sorted(set(points)), math.inf]
-
-
-def _with_range(df: DataFrame, key: str, bounds: list[float]) -> DataFrame:
-    if len(bounds) == 2:
-        return df.withColumn("_range", F.lit(0.0))
-    cast = df.withColumn("_key", F.col(key).cast("double"))
-    return Bucketizer(splits=bounds, inputCol="_key", outputCol="_range").transform(cast).drop("_key")
-
-
-def number_rows(df: DataFrame, key: str = "id", rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
-    """Row number over the whole table in key order, without one global sort.
-
-    Rows are numbered inside ranges of the key and shifted by the counts of the
-    ranges before; only those counts (at most MAX_RANGES) are brought together.
-    """
-    placed = _with_range(df, key, _id_ranges(df, key, rows_per_range))
-    counts = placed.groupBy("_range").count()
-    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    shift = counts.select("_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_shift"))
-    inside = F.row_number().over(W.partitionBy("_range").orderBy(key))
-    return (placed.withColumn("_inside", inside).join(F.broadcast(shift), "_range")
-            .withColumn("row_no", F.col("_shift") + F.col("_inside"))
-            .drop("_range", "_inside", "_shift"))
+def number_rows(df: DataFrame, key: str = "id") -> DataFrame:
+    """Row number from 1 over the whole table in key order (null keys first), without one
+    global sort: ranges of the key are sorted by themselves, and shifted by the counts of
+    the ranges before. A hash of the row parts and orders rows of one key."""
+    tie = F.xxhash64(*df.columns)
+    ordered = df.withColumn("_tie", tie).repartitionByRange(key, "_tie").sortWithinPartitions(key, "_tie").drop("_tie")
+    return with_row_no(ordered, "row_no", "numbered").withColumn("row_no", F.col("row_no") + 1)
 
 
-def all_pages(research: DataFrame, page_size: int = DEFAULTS.page_size, key: str = "id",
-              rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+def all_pages(research: DataFrame, page_size: int = DEFAULTS.page_size, key: str = "id") -> DataFrame:
     """Every row with its page number and its place on the page."""
     row = F.col("row_no") - 1
-    return number_rows(research, key, rows_per_range).withColumns({
+    return number_rows(research, key).withColumns({
         "page": (F.floor(row / page_size) + 1).cast("long"),
         "place": (F.pmod(row, F.lit(page_size)) + 1).cast("int"),
     })
@@ -79,31 +49,23 @@ def all_pages(research: DataFrame, page_size: int = DEFAULTS.page_size, key: str
 
 def page(research: DataFrame, number: int, page_size: int = DEFAULTS.page_size, key: str = "id"
          ) -> DataFrame:
-    """One page in key order. A deep page first narrows the table to the ranges
-    of the key that hold it, which the scan can use to skip data."""
+    """One page in key order, however deep. The keys alone are numbered; the page's first
+    and last key then limit what is read of the rows."""
     first = (number - 1) * page_size
-    if first + page_size <= SHALLOW_ROWS:
-        return research.orderBy(key).offset(first).limit(page_size)
-    bounds = _id_ranges(research, key, SHALLOW_ROWS)
-    counts = {int(r["_range"]): r["count"]
-              for r in _with_range(research.select(key), key, bounds).groupBy("_range").count().collect()}
-    passed, low, high, skip = 0, None, None, 0
-    for i in range(len(bounds) - 1):
-        n = counts.get(i, 0)
-        if low is None and passed + n > first:
-            low, skip = bounds[i], first - passed
-        passed += n
-        high = bounds[i + 1]
-        if low is not None and passed >= first + page_size:
-            break
-    if low is None:
+    keys = number_rows(research.select(key), key)
+    on_page = F.col("row_no").between(first + 1, first + page_size)
+    low, high, n, nulls = keys.where(on_page).agg(
+        F.min(key), F.max(key), F.count(F.lit(1)), F.count_if(F.col(key).isNull())).first()
+    if not n:
         return research.limit(0)
-    part = research
-    if low != -math.inf:
-        part = part.where(F.col(key) >= F.lit(int(math.ceil(low))))
-    if high != math.inf:
-        part = part.where(F.col(key) < F.lit(int(math.ceil(high))))
-    return part.orderBy(key).offset(skip).limit(page_size)
+    start = F.col(key).isNull() if nulls else F.col(key) == low
+    skip = keys.where(start & (F.col("row_no") <= first)).count()
+    inside = F.col(key).isNull() if high is None else F.col(key) <= high
+    if nulls and high is not None:
+        inside = inside | F.col(key).isNull()
+    elif high is not None:
+        inside = inside & (F.col(key) >= low)
+    return research.where(inside).orderBy(key).offset(skip).limit(page_size)
 
 
 def page_info(research: DataFrame, number: int, page_size: int = DEFAULTS.page_size) -> DataFrame:

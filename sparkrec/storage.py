@@ -2,34 +2,82 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+_made: list[list[str]] = []   # paths made inside `intermediates`, innermost last
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder. Only a local session may do without: it gets
-    a temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
+    """The cluster's checkpoint folder. Only a session on one machine may do without: it
+    gets a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="sparkrec-checkpoint-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives lost executors, unlike cached blocks."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+def _run_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/sparkrec/{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new folder name under the shared folder."""
-    return f"{shared_dir(spark)}/sparkrec/{name}-{uuid.uuid4().hex}"
+    """A new folder name of this application under the shared folder."""
+    path = f"{_run_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _made:
+        _made[-1].append(path)
+    return path
+
+
+def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
+    """`df` written to the shared folder and read again: survives lost executors, and later
+    plans see its size and may skip columns and row groups."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application, at the end of a run."""
+    delete_path(spark, _run_dir(spark))
+
+
+@contextmanager
+def intermediates(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables made inside are deleted at the end; what shall outlast them
+    must have been written by then."""
+    _made.append([])
+    try:
+        yield
+    finally:
+        for path in _made.pop():
+            delete_path(spark, path)
+
+
+def with_row_no(df: DataFrame, out: str, name: str = "rows") -> DataFrame:
+    """`df`, stored, with the number of each row from 0, in the order of its partitions.
+
+    The rows are written with their partition and place, so both stay as they are; only
+    one count per partition is ordered in one place and broadcast.
+    """
+    placed = cut_lineage(df.withColumn("_place", F.monotonically_increasing_id()), name)
+    part = F.shiftright("_place", 33)
+    counts = placed.groupBy(part.alias("_part")).count()
+    before = counts.selectExpr(
+        "_part", "coalesce(sum(count) OVER (ORDER BY _part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _before")
+    return (placed.withColumn("_part", part).join(F.broadcast(before), "_part")
+            .withColumn(out, F.col("_before") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)))
+            .drop("_part", "_before", "_place"))

@@ -15,6 +15,7 @@ _DOCS_JSON = "docs_json"
 OUT = T.StructType([
     T.StructField("query_id", T.LongType()),
     T.StructField("chunk_index", T.IntegerType()),
+    T.StructField("last_seq", T.LongType()),
     T.StructField("version", T.LongType()),
     T.StructField("num_docs_in_chunk", T.IntegerType()),
     T.StructField(_DOCS_JSON, T.StringType()),
@@ -22,6 +23,7 @@ OUT = T.StructType([
 ])
 _BOUNDS = T.StructType([
     T.StructField("version", T.LongType()),
+    T.StructField("last_seq", T.LongType()),
     T.StructField("start_seq", T.LongType()),
     T.StructField("start_n", T.IntegerType()),
     T.StructField("end_seq", T.LongType()),
@@ -52,13 +54,14 @@ class ChunkFold(StatefulProcessor):
         self.tokens = handle.getMapState("tokens", "seq long", "token string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = self.bounds.get() if self.bounds.exists() else (0, None, None, None, None, None, None)
-        version, start, start_n, end, end_n, end_docs, end_text = held
+        held = self.bounds.get() if self.bounds.exists() else (0, 0, None, None, None, None, None, None)
+        version, last, start, start_n, end, end_n, end_docs, end_text = held
         newest = timerValues.getCurrentWatermarkInMs()
         for frame in rows:
             for row in frame.itertuples(index=False):
                 seq = int(row.seq)
                 newest = max(newest, int(row.ms))
+                last = max(last, seq)
                 if row.type == "chunk_start" and (start is None or seq < start):
                     start, start_n = seq, _int(row.num_docs_in_chunk)
                 elif row.type == "chunk_end" and (end is None or seq > end):
@@ -67,7 +70,7 @@ class ChunkFold(StatefulProcessor):
                 elif row.type == "chunk_token":
                     self.tokens.updateValue((seq,), (row.token,))
         version += 1
-        self.bounds.update((version, start, start_n, end, end_n, end_docs, end_text))
+        self.bounds.update((version, last, start, start_n, end, end_n, end_docs, end_text))
         due = newest + self.idle_ms
         for timer in list(self.handle.listTimers()):
             due = max(due, timer)
@@ -85,7 +88,8 @@ class ChunkFold(StatefulProcessor):
                 self.tokens.removeKey((seq,))
         text = "".join(token for _, token in sorted(kept))
         yield pd.DataFrame({
-            "query_id": [key[0]], "chunk_index": pd.array([key[1]], dtype="int32"), "version": [version],
+            "query_id": [key[0]], "chunk_index": pd.array([key[1]], dtype="int32"), "last_seq": [last],
+            "version": [version],
             "num_docs_in_chunk": pd.array([end_n if ended else start_n], dtype="Int32"),
             _DOCS_JSON: [end_docs if ended else None],
             "generated_response": [((end_text or "") if ended else "") + text],
@@ -103,7 +107,7 @@ class ChunkFold(StatefulProcessor):
 def fold_chunks_stream(events: DataFrame, delay: str = "10 minutes", idle_seconds: int = 3600
                        ) -> DataFrame:
     """Running fold of a stream of events: a row per changed chunk and micro-batch,
-    `version` rising. Events may come up to `delay` late. Needs the RocksDB state
+    (last_seq, version) rising. Events may come up to `delay` late. Needs the RocksDB state
     store. Event time drives the timers: with processing time, a run over what is
     available would never come to an end."""
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
@@ -119,11 +123,12 @@ def fold_chunks_stream(events: DataFrame, delay: str = "10 minutes", idle_second
 
 
 def latest_chunks(updates: DataFrame) -> DataFrame:
-    """Current state out of stored updates: the highest version of each chunk."""
+    """Current state out of stored updates: that of the newest event, and of these the
+    highest version. Versions start anew when an idle chunk was forgotten."""
     rest = [c for c in updates.columns if c not in ("query_id", "chunk_index")]
     return updates.groupBy("query_id", "chunk_index").agg(
-        F.max_by(F.struct(*rest), "version").alias("_s")).select(
-        "query_id", "chunk_index", *[F.col(f"_s.{c}") for c in rest if c != "version"])
+        F.max_by(F.struct(*rest), F.struct("last_seq", "version")).alias("_s")).select(
+        "query_id", "chunk_index", *[F.col(f"_s.{c}") for c in rest if c not in ("version", "last_seq")])
 
 
 def session_status_stream(events: DataFrame) -> DataFrame:

@@ -23,17 +23,19 @@ class TtlReuse(StatefulProcessor):
         held = self.entry.get()[0] if self.entry.exists() else None
         asked = pd.concat(list(rows)).sort_values(["us", "request_id"])
         entries, computed = [], []
-        for us in asked["us"]:
-            fresh = held is None or us - held > self.ttl_us
-            if fresh:
+        for us, ok in zip(asked["us"], asked["ok"]):
+            # A late request is not served by an entry that did not exist yet.
+            fresh = held is None or not 0 <= us - held <= self.ttl_us
+            entries.append(int(us) if fresh else held)
+            if fresh and ok and (held is None or us > held):
                 held = int(us)
-            entries.append(held)
             computed.append(fresh)
-        self.entry.update((held,))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        # One millisecond more: an age of exactly ttl is still served.
-        self.handle.registerTimer((held + self.ttl_us) // 1000 + 1)
+        if held is not None:
+            self.entry.update((held,))
+            # One millisecond more: an age of exactly ttl is still served.
+            self.handle.registerTimer((held + self.ttl_us) // 1000 + 1)
         yield pd.DataFrame({"cache_key": key[0], "request_id": asked["request_id"].to_numpy(),
                             "computed": computed, "entry_us": entries})
 
@@ -48,8 +50,9 @@ class TtlReuse(StatefulProcessor):
 def ttl_reuse_stream(requests: DataFrame, ttl_seconds: float, delay: str = "1 minute") -> DataFrame:
     """Requests (cache_key, ts, request_id) with `computed` and `entry_us`.
 
-    Requests of a key are taken in time order within a micro-batch; between
-    micro-batches they must not run backwards. State ends when the watermark has
+    Requests of a key are taken in time order within a micro-batch. One that comes in a
+    later micro-batch than a newer one is computed unless the entry is older than it.
+    Where `ok` (boolean) is given, a failed call is computed but stores nothing. State ends when the watermark has
     passed the entry's life. Needs the RocksDB state store.
     """
     key_type = requests.schema["cache_key"].dataType
@@ -57,7 +60,8 @@ def ttl_reuse_stream(requests: DataFrame, ttl_seconds: float, delay: str = "1 mi
         T.StructField("cache_key", key_type), T.StructField("request_id", T.LongType()),
         T.StructField("computed", T.BooleanType()), T.StructField("entry_us", T.LongType())])
     rows = requests.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
-    rows = rows.select("cache_key", "ts", "request_id", F.unix_micros("ts").alias("us"))
+    ok = F.coalesce("ok", F.lit(False)) if "ok" in requests.columns else F.lit(True)
+    rows = rows.select("cache_key", "ts", "request_id", F.unix_micros("ts").alias("us"), ok.alias("ok"))
     return rows.groupBy("cache_key").transformWithStateInPandas(
         statefulProcessor=TtlReuse(int(ttl_seconds * 1_000_000)), outputStructType=out,
         outputMode="Append", timeMode="EventTime")

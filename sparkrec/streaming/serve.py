@@ -9,7 +9,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from sparkrec.config import DEFAULTS, Params
 from sparkrec.operators.filters import split_prompts
-from sparkrec.plans.recommend import Run, run_events, run_pipeline
+from sparkrec.plans.recommend import Run, failed_events, run_events, run_pipeline
+from sparkrec.sources.prompts import identified
+from sparkrec.storage import cut_lineage, intermediates
 
 STATE_STORE = ("spark.sql.streaming.stateStore.providerClass",
                "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
@@ -44,23 +46,28 @@ def recommend_stream(
 ) -> StreamingQuery:
     """Run the pipeline on each micro-batch of (query_id, text, ...).
 
-    Results, stage events and rejected prompts go to a folder per micro-batch.
+    Results, stage events and rejected prompts go to a folder per micro-batch. Where a
+    run fails, an error event per request takes the place of its events before the stream
+    ends with the failure; the batch is run anew when the stream starts again. Requests
+    without a query_id get one. Intermediate tables of a batch are deleted after it.
     `prepare` may return options that depend on the batch, such as its variants.
     """
 
     def serve(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
-        try:
+        with intermediates(batch.sparkSession):
+            batch = identified(cut_lineage(batch, "batch"), batch_id)
             accepted, rejected = split_prompts(batch)
-            extra = prepare(accepted) if prepare else {}
-            run = run_pipeline(accepted, collection, model, params, **options, **extra)
-            run.results.write.mode("overwrite").parquet(f"{results_path}/batch_id={batch_id}")
-            run_events(run).write.mode("overwrite").parquet(f"{events_path}/batch_id={batch_id}")
             rejected.write.mode("overwrite").parquet(f"{events_path}-rejected/batch_id={batch_id}")
+            try:
+                extra = prepare(accepted) if prepare else {}
+                run = run_pipeline(accepted, collection, model, params, **options, **extra)
+                run.results.write.mode("overwrite").parquet(f"{results_path}/batch_id={batch_id}")
+                run_events(run).write.mode("overwrite").parquet(f"{events_path}/batch_id={batch_id}")
+            except Exception as exc:
+                failed_events(accepted, str(exc)).write.mode("overwrite").parquet(f"{events_path}/batch_id={batch_id}")
+                raise
             if on_run:
                 on_run(run, batch_id)
-        finally:
-            batch.unpersist()
 
     return (queries.writeStream.foreachBatch(serve).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())

@@ -9,13 +9,15 @@ from sparkrec.config import Params
 from sparkrec.operators import chunk, confidence, evaluate, merge
 from sparkrec.operators.events import fold_events
 from sparkrec.operators.knn import knn_topk
-from sparkrec.operators.models import stream_tokens
+from sparkrec.operators.models import embed_texts, stream_tokens
 from sparkrec.plans.answer import chunk_requests
 from sparkrec.plans.recommend import recommend, run_events, run_pipeline
 from sparkrec.plans.retrieve import attach_documents
+from sparkrec.sources.prompts import as_queries, read_prompts
+from sparkrec.storage import cut_lineage, scratch_path
 from workload.base import (
-    SQL_INPUTS, SQL_MERGED, collection, questions, quoted, sql_hits, stand_in_answer, table,
-    user_prompts, variants,
+    SQL_INPUTS, SQL_MERGED, collection, questions, quoted, sql_hits, sql_strip, stand_in_answer,
+    stand_in_model, stand_in_vectors, table, user_prompts, variants,
 )
 
 CHUNK = 5
@@ -97,6 +99,20 @@ def recommendations(spark, sf):
     return shown_results(result)
 
 
+def recommend_prompts(spark, sf):
+    """Questions out of prompt files without ids, a third of them asked twice: expansion,
+    embedding, search, merge and answers. Every request has the same result as its repeat."""
+    asked = table(spark, sf, "conversations").where("role = 'user'").select("conv_id", F.col("text").alias("input_prompt"))
+    path = scratch_path(spark, "prompts")
+    asked.unionByName(asked.where("conv_id % 3 = 0")).select("input_prompt").write.json(path)
+    queries = as_queries(read_prompts(spark, path))
+    docs = table(spark, sf, "documents").select("doc_id", F.col("text").alias("document"),
+                                                F.create_map(F.lit("lang"), F.col("lang")).alias("meta"))
+    papers = cut_lineage(embed_texts(docs, stand_in_vectors))
+    result = recommend(queries, papers, stand_in_model, Params(top_k=5), embed=stand_in_vectors)
+    return shown_results(result.withColumn("query_id", F.xxhash64("query"))).drop("query_id")
+
+
 def shown_results(result):
     rows = result.select("query_id", F.length("query").alias("n_query"), "total_docs_retrieved", "num_chunks",
                          "chunk_size", F.explode_outer("responses").alias("r"))
@@ -106,6 +122,37 @@ def shown_results(result):
         "r.num_docs_in_chunk", "r.generated_response", F.sha2(texts, 256).alias("docs_hash"))
 
 
+def _sql_prompt(template: str) -> str:
+    before, after = template.split("%s")
+    return f"{quoted(before)} || text || {quoted(after)}"
+
+
+_SQL_RECOMMEND_PROMPTS = f"""WITH
+a AS (SELECT text FROM conversations WHERE role = 'user' UNION ALL
+      SELECT text FROM conversations WHERE role = 'user' AND conv_id % 3 = 0),
+asked AS (SELECT text, count(*) AS times, row_number() OVER (ORDER BY text) AS query_id FROM a GROUP BY text),
+x AS (SELECT *, sha256(text) AS h1, sha256({_sql_prompt(K.STEP_BACK_USER)}) AS h2, sha256({_sql_prompt(K.FUSION_USER)}) AS h3 FROM asked),
+raw AS (SELECT query_id, 0 AS k, text FROM x UNION ALL SELECT query_id, 1, 'passage ' || substr(h1, 1, 12) FROM x
+      UNION ALL SELECT query_id, 2, 'about ' || substr(h2, 1, 12) FROM x UNION ALL SELECT query_id, 3, {sql_strip("text")} FROM x
+      UNION ALL SELECT query_id, 4, 'way ' || substr(h3, 1, 6) FROM x
+      UNION ALL SELECT query_id, 5, 'way ' || substr(h3, 7, 6) FROM x UNION ALL SELECT query_id, 6, 'passage ' || substr(h3, 1, 12) FROM x),
+once AS (SELECT query_id, text, min(k) AS k FROM raw WHERE text <> '' GROUP BY query_id, text),
+v AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY k) - 1 AS variant_no, sha256(replace(text, chr(10), ' ')) AS h FROM once),
+q AS (SELECT query_id, variant_no, list_transform(range(1, 33, 4), lambda i: (('0x' || substr(h, i, 4))::INT / 65535.0)::FLOAT)::DOUBLE[] AS qv FROM v),
+dh AS (SELECT doc_id, text AS document, sha256(replace(text, chr(10), ' ')) AS h FROM documents),
+c AS (SELECT doc_id, document, list_transform(range(1, 33, 4), lambda i: (('0x' || substr(h, i, 4))::INT / 65535.0)::FLOAT)::DOUBLE[] AS dv FROM dh),
+{sql_hits(5)}, {SQL_MERGED}, {_SQL_PROMPTS.replace("documents d ON d.doc_id = query_id", "asked d ON d.query_id = blocks.query_id")},
+docs AS (SELECT query_id, chunk_index, sha256(string_agg(document, '|' ORDER BY pos)) AS docs_hash
+         FROM chunked GROUP BY query_id, chunk_index),
+totals AS (SELECT query_id, count(*) AS total, max(chunk_index) AS chunks FROM chunked GROUP BY query_id)
+SELECT length(d.text)::INT AS n_query, total AS total_docs_retrieved, chunks AS num_chunks, 5 AS chunk_size, p.chunk_index,
+       p.n AS num_docs_in_chunk, CASE WHEN right(sha256(p.prompt), 1) = '0'
+            THEN '[Error generating response for chunk ' || p.chunk_index || ']'
+            ELSE 'answer ' || sha256(p.prompt) END AS generated_response, docs.docs_hash
+FROM (SELECT *, unnest(range(times)) AS again FROM asked) d JOIN totals ON totals.query_id = d.query_id
+JOIN prompts p ON p.query_id = d.query_id JOIN docs ON docs.query_id = p.query_id AND docs.chunk_index = p.chunk_index"""
+
+
 _SQL_RUN = f"WITH {SQL_INPUTS}, {sql_hits(5)}, {SQL_MERGED}, {_SQL_PROMPTS}"
 _SQL_RECOMMEND = _SQL_RUN + f""",
 docs AS (SELECT query_id, chunk_index, sha256(string_agg(document, '|' ORDER BY pos)) AS docs_hash
@@ -236,6 +283,7 @@ QUERIES = {
     "query_summary": summary,
     "chunk_prompts": chunk_prompts,
     "recommend": recommendations,
+    "recommend_prompts": recommend_prompts,
     "run_events": run_event_log,
     "token_stream": token_stream,
     "streamed_events": streamed_events,
@@ -245,6 +293,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "recommend_prompts": _SQL_RECOMMEND_PROMPTS,
     "merge_first_seen": _SQL_BASE + " SELECT query_id, pos, variant_no, rank, doc_id FROM merged",
     "merge_rrf": _SQL_RRF,
     "not_seen_before": _SQL_BASE + """ SELECT m.query_id, m.doc_id FROM merged m WHERE NOT EXISTS (

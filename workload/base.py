@@ -3,24 +3,29 @@
 from __future__ import annotations
 
 import hashlib
+import json
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from sparkrec.functions.prompts import expansion_system
+
+_EXPANSIONS = {expansion_system(kind, 4): kind for kind in ("hyde", "step_back", "fusion")}
+
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
 def collection(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents that have a vector. The language stands for the category."""
-    docs = table(spark, sf, "documents")
+    """All documents, with a vector where there is one. The language stands for the category."""
+    docs = table(spark, sf, "documents").withColumn("text_hash", F.sha2("text", 256))
     vectors = table(spark, sf, "embeddings").withColumnRenamed("vec_id", "doc_id")
     meta = F.create_map(
         F.lit("lang"), F.col("lang"), F.lit("source"), F.col("source"),
         F.lit("label"), F.col("label").cast("string"), F.lit("categories"), F.col("lang"))
-    return docs.join(vectors, "doc_id").select(
+    return docs.join(vectors, "doc_id", "left").select(
         F.lit("papers").alias("collection"), "doc_id", F.col("text").alias("document"),
-        meta.alias("meta"), F.col("lang").alias("category"), F.sha2("text", 256).alias("text_hash"),
+        meta.alias("meta"), F.col("lang").alias("category"), "text_hash",
         "embedding", "lang", "source", "label")
 
 
@@ -55,7 +60,7 @@ SQL_INPUTS = """
 q AS (SELECT vec_id // 5 AS query_id, (vec_id % 5)::INT AS variant_no, embedding::DOUBLE[] AS qv
       FROM embeddings),
 c AS (SELECT d.doc_id, d.text AS document, d.lang, d.source, e.label, e.embedding::DOUBLE[] AS dv
-      FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id)"""
+      FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id)"""
 
 SQL_SPACE = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
@@ -69,10 +74,12 @@ def sql_hits(n: int, condition: str = "true", metric: str = "l2sq", variants: st
     dist = {"l2sq": "pow(list_distance(qv, dv), 2)", "cosine": "1 - list_cosine_similarity(qv, dv)",
             "ip": "1 - list_inner_product(qv, dv)"}[metric]
     return f"""
-pairs AS (SELECT {variants}.*, c.*, {dist} AS distance FROM {variants} JOIN c ON {condition}),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id, variant_no ORDER BY distance, doc_id)::INT AS rank
-           FROM pairs),
-hits AS (SELECT * FROM ranked WHERE rank <= {n})"""
+pairs AS (SELECT {variants}.query_id, {variants}.variant_no, c.doc_id, {dist} AS distance
+          FROM {variants} JOIN c ON dv IS NOT NULL AND ({condition})),
+top AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id, variant_no ORDER BY distance, doc_id)::INT AS rank
+           FROM pairs QUALIFY rank <= {n}),
+hits AS MATERIALIZED (SELECT v.* EXCLUDE (qv), c.* EXCLUDE (dv), top.distance, top.rank FROM top
+           JOIN {variants} v ON v.query_id = top.query_id AND v.variant_no = top.variant_no JOIN c ON c.doc_id = top.doc_id)"""
 
 
 SQL_MERGED = """
@@ -92,6 +99,19 @@ def stand_in_answer(system: str, prompt: str, model: str) -> str:
     return "answer " + digest
 
 
+def stand_in_model(system: str, prompt: str, model: str) -> str:
+    """Expansions made from a digest of their prompt, and answers as above."""
+    kind = _EXPANSIONS.get(system)
+    if kind is None:
+        return stand_in_answer(system, prompt, model)
+    digest = hashlib.sha256(prompt.encode()).hexdigest()
+    if kind == "hyde":
+        return "passage " + digest[:12]
+    if kind == "step_back":
+        return json.dumps({"abstracted_query": "about " + digest[:12], "categories": [], "confidence": "high"})
+    return json.dumps(["way " + digest[:6], "way " + digest[6:12], "passage " + digest[:12]])
+
+
 def stand_in_vectors(texts: list[str]) -> list[list[float]]:
     """Eight numbers out of a digest of the text."""
     out = []

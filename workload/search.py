@@ -78,14 +78,7 @@ SELECT {_SQL_HIT} FROM hits"""
 
 
 def category_gate(spark, sf):
-    asked = variants(spark, sf).withColumns({
-        "categories": F.when(F.col("query_id") % 4 == 0, F.array(F.lit("de"), F.lit("fr")))
-        .when(F.col("query_id") % 4 == 1, F.array(F.lit("zz")))
-        .when(F.col("query_id") % 4 == 2, F.array(F.lit("es"), F.lit("zz")))
-        .otherwise(F.array().cast("array<string>")),
-        "confidence": F.when(F.col("variant_no") == 1, "medium").otherwise("high"),
-    })
-    return _hits(knn_category_gate(asked, collection(spark, sf), 5))
+    return _hits(knn_category_gate(_gated(spark, sf), collection(spark, sf), 5))
 
 
 _SQL_GATE = f"""
@@ -112,6 +105,46 @@ def approximate_recall(spark, sf):
     return per_query.select("query_id", "variant_no", F.round("recall", 6).alias("recall"))
 
 
+def _centres(spark, sf):
+    """Every fiftieth vector as the centre of a cell, in order of its id."""
+    rows = table(spark, sf, "embeddings").where("vec_id % 50 = 0").orderBy("vec_id").select("embedding")
+    return rows.toPandas()["embedding"].tolist()
+
+
+def approximate_stored(spark, sf):
+    """A collection stored with cells; three cells are read for each variant."""
+    centres, path = _centres(spark, sf), scratch_path(spark, "cells")
+    with_cells = ivf.assign_cells(collection(spark, sf), centres)
+    coll.as_collection(with_cells, "papers").sortWithinPartitions("cell").write.partitionBy("collection").parquet(path)
+    docs = coll.open_collection(spark, path, "papers")
+    return _hits(ivf.knn_approximate(variants(spark, sf), docs, 10, centres, 3))
+
+
+def _gated(spark, sf):
+    """Variants with categories; some name none that exists, some are not sure."""
+    return variants(spark, sf).withColumns({
+        "categories": F.when(F.col("query_id") % 4 == 0, F.array(F.lit("de"), F.lit("fr")))
+        .when(F.col("query_id") % 4 == 1, F.array(F.lit("zz")))
+        .when(F.col("query_id") % 4 == 2, F.array(F.lit("es"), F.lit("zz")))
+        .otherwise(F.array().cast("array<string>")),
+        "confidence": F.when(F.col("variant_no") == 1, "medium").otherwise("high"),
+    })
+
+
+def gate_approximate(spark, sf):
+    """Category gate and cells at once, through `retrieve`."""
+    docs, centres = collection(spark, sf), _centres(spark, sf)
+    return _hits(retrieve(_gated(spark, sf), ivf.assign_cells(docs, centres), category_gate=True, centres=centres, probes=3))
+
+
+_SQL_CELLS = """
+cs AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS cell, embedding::DOUBLE[] AS cv FROM embeddings WHERE vec_id % 50 = 0),
+near AS (SELECT vec_id, cell, row_number() OVER (PARTITION BY vec_id ORDER BY list_distance(embedding::DOUBLE[], cv), cell) AS n
+         FROM embeddings, cs),
+placed AS (SELECT vec_id, cell FROM near WHERE n = 1), looks AS (SELECT vec_id, list(cell) AS cells FROM near WHERE n <= 3 GROUP BY vec_id)"""
+
+
+
 def get_documents(spark, sf):
     where = {"$or": [{"source": "src7"}, {"$and": [{"lang": "es"}, {"label": {"$lt": 3}}]}]}
     found = coll.get_documents(collection(spark, sf), where,
@@ -206,6 +239,14 @@ def rerank_called(spark, sf):
                        F.round("rerank_score", 6).alias("rerank_score"))
 
 
+def rerank_fallback(spark, sf):
+    """Variants whose rerank call fails are ordered by the pair scorer."""
+    hits = retrieve(_asked_with_text(spark, sf), collection(spark, sf), Params(top_k=5, rerank_top_n=7),
+                    reranker=stand_in_rerank, scorer=stand_in_scores)
+    return hits.select("query_id", "variant_no", "rank", "dense_rank", "doc_id",
+                       F.round("rerank_score", 6).alias("rerank_score"), F.round("cross_score", 6).alias("cross_score"))
+
+
 _SQL_SCORED = f"""
 WITH {SQL_INPUTS}, {sql_hits(20)},
 s AS (SELECT hits.*, ((length(d.text) * 7 + length(document)) % 101)::DOUBLE AS score, length(d.text) % 10 = 0 AS failed
@@ -238,6 +279,9 @@ QUERIES = {
     "rerank_join": rerank_join,
     "rerank_scored": rerank_scored,
     "rerank_called": rerank_called,
+    "rerank_fallback": rerank_fallback,
+    "knn_approximate_stored": approximate_stored,
+    "gate_approximate": gate_approximate,
 }
 
 ORACLE = {
@@ -267,4 +311,19 @@ ORACLE = {
     "rerank_called": _SQL_SCORED + """
         SELECT query_id, variant_no, n AS rank, rank AS dense_rank, doc_id, score AS rerank_score FROM o WHERE n <= 7 AND NOT failed
         UNION ALL SELECT query_id, variant_no, rank, rank, doc_id, NULL FROM o WHERE failed AND rank <= 5""",
+    "rerank_fallback": _SQL_SCORED + """
+        SELECT query_id, variant_no, n AS rank, rank AS dense_rank, doc_id, CASE WHEN NOT failed THEN score END AS rerank_score,
+               CASE WHEN failed THEN score END AS cross_score FROM o WHERE n <= CASE WHEN failed THEN 5 ELSE 7 END""",
+    "knn_approximate_stored": f"""WITH {SQL_INPUTS}, {_SQL_CELLS},
+        pairs AS (SELECT query_id, variant_no, doc_id, pow(list_distance(qv, dv), 2) AS distance
+          FROM q JOIN looks ON looks.vec_id = query_id * 5 + variant_no JOIN c ON dv IS NOT NULL JOIN placed ON placed.vec_id = doc_id
+          WHERE list_contains(cells, placed.cell)),
+        hits AS (SELECT *, row_number() OVER (PARTITION BY query_id, variant_no ORDER BY distance, doc_id)::INT AS rank FROM pairs)
+        SELECT {_SQL_HIT} FROM hits WHERE rank <= 10""",
+    "gate_approximate": _SQL_GATE.split("pairs AS")[0].replace(f"WITH {SQL_INPUTS}", f"WITH {SQL_INPUTS}, {_SQL_CELLS}") + f"""
+        pairs AS (SELECT query_id, variant_no, doc_id, pow(list_distance(qv, dv), 2) AS distance
+          FROM gq JOIN looks ON looks.vec_id = query_id * 5 + variant_no JOIN c ON dv IS NOT NULL JOIN placed ON placed.vec_id = doc_id
+          WHERE list_contains(cells, placed.cell) AND (NOT coalesce(gq.usable, false) OR list_contains(gq.wanted, c.lang))),
+        hits AS (SELECT *, row_number() OVER (PARTITION BY query_id, variant_no ORDER BY distance, doc_id)::INT AS rank FROM pairs)
+        SELECT {_SQL_HIT} FROM hits WHERE rank <= 5""",
 }

@@ -159,8 +159,8 @@ def json_validity(spark, sf):
 
 def display_documents(spark, sf):
     """Even documents as JSON records, odd ones as plain text."""
-    record = F.to_json(F.struct(F.substring("text", 1, 40).alias("title"), F.col("lang").alias("category"),
-                                F.substring("text", 41, 60).alias("summary"), F.col("source").alias("authors")))
+    record = F.to_json(F.struct(F.col("text").alias("title"), F.col("lang").alias("category"),
+                                F.col("text").alias("summary"), F.col("source").alias("authors")))
     document = F.when(F.col("doc_id") % 2 == 0, record).otherwise(F.col("text"))
     meta = F.create_map(F.lit("categories"), F.col("lang"), F.lit("source"), F.col("source"))
     card = text.display_document(document, meta)
@@ -216,9 +216,15 @@ def research_page(spark, sf):
     return research.page(research_rows(spark, sf), 3)
 
 
+def research_deep_page(spark, sf):
+    """A page far down, of ids that differ only beyond what a double can tell apart."""
+    rows = research_rows(spark, sf).withColumn("id", F.col("id") + (1 << 60))
+    return research.page(rows, 18)
+
+
 def research_pages(spark, sf):
-    """Every row with its page; small ranges, so that several are numbered."""
-    return research.all_pages(research_rows(spark, sf), rows_per_range=400).select(
+    """Every row with its page."""
+    return research.all_pages(research_rows(spark, sf)).select(
         "id", "category", "authors", "page", "place")
 
 
@@ -259,6 +265,7 @@ QUERIES = {
     "prompt_source": prompt_source,
     "response_parts": response_parts,
     "research_page": research_page,
+    "research_deep_page": research_deep_page,
     "research_pages": research_pages,
     "research_lengths": research_lengths,
     "category_dim": category_names,
@@ -276,8 +283,8 @@ ORACLE = {
         FROM documents""",
     "json_validity": """SELECT event_id, json_valid(CASE event_id % 4 WHEN 0 THEN props WHEN 1 THEN props || ' ok'
         WHEN 2 THEN substr(props, 1, length(props) - 1) ELSE '[' || props || ', null]' END) AS valid FROM events""",
-    "display_doc": """SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN substr(text, 1, 40) ELSE substr(text, 1, 120) END AS title,
-        lang AS category, CASE WHEN doc_id % 2 = 0 THEN substr(text, 41, 60) ELSE substr(text, 1, 300) END AS summary,
+    "display_doc": """SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN text ELSE substr(text, 1, 120) END AS title,
+        lang AS category, CASE WHEN doc_id % 2 = 0 THEN text ELSE substr(text, 1, 300) END AS summary,
         CASE WHEN doc_id % 2 = 0 THEN source ELSE '' END AS authors FROM documents""",
     "score_formats": """SELECT event_id, coalesce(floor(s * 100 + 0.5::DOUBLE)::BIGINT || '%', '—') AS percent,
         CASE WHEN s IS NULL THEN 'muted' WHEN s >= 0.7::DOUBLE THEN 'high' WHEN s >= 0.4::DOUBLE THEN 'mid' ELSE 'low' END AS band,
@@ -290,6 +297,8 @@ ORACLE = {
     "response_parts": """SELECT conv_id, turn, sha256(array_to_string(list_transform(string_split(text, '. '),
         lambda x: CASE WHEN length(x) % 7 <> 0 THEN x ELSE '{"n":' || length(x) || '}' END), chr(10))) AS text_hash FROM conversations""",
     "research_page": f"SELECT * FROM {_SQL_RESEARCH} ORDER BY id LIMIT 10 OFFSET 20",
+    "research_deep_page": f"""SELECT * REPLACE (id + 1152921504606846976 AS id) FROM {_SQL_RESEARCH}
+        ORDER BY id LIMIT 10 OFFSET 170""",
     "research_pages": f"""SELECT id, category, authors, (row_number() OVER (ORDER BY id) - 1) // 10 + 1 AS page,
         ((row_number() OVER (ORDER BY id) - 1) % 10 + 1)::INT AS place FROM {_SQL_RESEARCH}""",
     "research_lengths": "SELECT doc_id AS id, 'title' AS too_long FROM documents WHERE length(text) > 255",
