@@ -15,17 +15,25 @@ IDS = [i * 7 % 101 + (10_000 if i % 2 else 0) for i in range(95)]
 
 
 @pytest.mark.parametrize("number", [1, 2, 10, 11])
-def test_page(spark, monkeypatch, number):
+def test_page(spark, number):
     df = rows(spark, IDS)
     want = sorted(IDS)[(number - 1) * 10: number * 10]
     assert [r.id for r in research.page(df, number).collect()] == want
-    monkeypatch.setattr(research, "SHALLOW_ROWS", 10)  # take the way of deep pages
-    assert [r.id for r in research.page(df, number).collect()] == want
+    far = df.withColumn("id", F.col("id") + (1 << 60))  # beyond what doubles tell apart
+    assert [r.id - (1 << 60) for r in research.page(far, number).collect()] == want
+
+
+def test_pages_with_null_and_repeated_keys(spark):
+    df = rows(spark, [None, None, 3, 3, 3, 1, 2, None])
+    assert research.number_rows(df).count() == 8
+    pages = [[r.id for r in research.page(df, n, 3).collect()] for n in (1, 2, 3, 4)]
+    assert pages == [[None, None, None], [1, 2, 3], [3, 3], []]
 
 
 def test_all_pages(spark):
-    for per_range in (7, 1000):
-        got = {r.id: (r.page, r.place) for r in research.all_pages(rows(spark, IDS), rows_per_range=per_range).collect()}
+    for parts in (1, 7):
+        df = rows(spark, IDS).repartition(parts)
+        got = {r.id: (r.page, r.place) for r in research.all_pages(df).collect()}
         assert got == {i: (n // 10 + 1, n % 10 + 1) for n, i in enumerate(sorted(IDS))}
 
 
@@ -81,7 +89,9 @@ def test_prompt_files(spark, tmp_path):
     spark.createDataFrame([('{"input_prompt": "a"}',), ('{"other": 1}',), ("broken",)], "value string").write.text(path)
     asked = prompts.as_queries(prompts.read_prompts(spark, path))
     assert sorted(str(r.text) for r in asked.collect()) == ["None", "None", "a"]
+    assert len({r.query_id for r in asked.collect()}) == 3  # null texts, too, are requests of their own
     assert prompts.stream_prompts(spark, path).isStreaming
+    assert prompts.as_queries(prompts.stream_prompts(spark, path)).columns == ["text"]
 
 
 def test_result_sinks(spark, tmp_path):
@@ -92,8 +102,44 @@ def test_result_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "p")).collect() == df.collect()
 
 
-def test_checkpoint_folder_is_the_clusters(spark):
+def test_cells_are_stored_and_pushed_to_the_scan(spark, tmp_path):
+    from sparkrec.operators.ivf import knn_approximate
+
+    path = str(tmp_path / "index")
+    centres = [[5.0, 0.5], [6.0, 0.5], [40.0, 0.5]]
+    built = collection.build_index(docs(spark, range(20)).withColumn("document", F.repeat(F.lit("x"), (F.col("doc_id") + 1).cast("int"))),
+                                   path, embed, centres=centres)
+    assert {r.cell for r in built.collect()} == {0, 1}  # 6 to 20 letters are nearer to 6 than to 40
+    asked = spark.createDataFrame([(1, 0, [2.0, 0.5])], "query_id long, variant_no int, embedding array<float>")
+    found = knn_approximate(asked, built, 3, centres, 1)
+    assert [r.doc_id for r in found.orderBy("rank").collect()] == [1, 0, 2]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and "EqualTo(cell,0)" in plan.replace("In(cell, [0])", "EqualTo(cell,0)")
+
+
+def test_intermediate_tables_are_shared_and_go(spark):
+    import os
+
     folder = storage.shared_dir(spark)
     assert storage.scratch_path(spark, "x").startswith(folder)
-    cut = storage.cut_lineage(spark.range(5))
-    assert cut.count() == 5 and "ExistingRDD" in cut._jdf.queryExecution().executedPlan().toString()
+    outer = storage.cut_lineage(spark.range(5), "outer")
+    with storage.intermediates(spark):
+        inner = storage.cut_lineage(spark.range(5), "inner")
+        assert inner.count() == 5 and "FileScan parquet" in inner._jdf.queryExecution().executedPlan().toString()
+        place = inner.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert not os.path.exists(place) and outer.count() == 5
+    numbered = storage.with_row_no(spark.range(100, numPartitions=7), "n").collect()
+    assert [r.n for r in sorted(numbered)] == list(range(100))
+    storage.release(spark)
+    assert not os.path.exists(outer.inputFiles()[0].removeprefix("file://"))
+
+
+def test_a_cluster_needs_its_folder():
+    class Session:
+        class sparkContext:
+            master = "local-cluster[2,1,1024]"
+            getCheckpointDir = staticmethod(lambda: None)
+        class conf:
+            get = staticmethod(lambda key, default: default)
+    with pytest.raises(RuntimeError):
+        storage.shared_dir(Session)
