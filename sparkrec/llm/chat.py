@@ -10,6 +10,8 @@ written "~0", "~1", "~2" and "~3", so that no text can contain a control string.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from sparkrec.llm.common import stored
@@ -44,26 +46,34 @@ def chain(turns: DataFrame, *, conv: str = "conv_id", turn: str = "turn", role:
                        F.col(role).alias("role"), F.col(text).alias("text"), F.lit(1.0).alias("score"))
 
 
-def _jumps(nodes: DataFrame) -> list[DataFrame]:
-    """Stored tables of (key, id, jump, steps, total): level k leads 2^k messages up, or
-    past the root (null). total is the score of the messages passed. Each level is the
-    one before joined with itself; they end when every jump is past the root."""
+def _jumps(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Jumps of 1, 2, 4, ... messages up, and how each message's way to its root ends.
+
+    A level has (key, id, jump) of the messages that have so many above them. It is made
+    by joining the one before with what its jumps lead to, so a message takes part only
+    until its jumps pass the root. The ends are (key, id, steps, total): the number of
+    messages above it, and the scores from it to the root. Messages whose way runs in a
+    circle have no end.
+    """
     own = nodes.select("key", "id", "parent", "score")
     known = own.select("key", F.col("id").alias("jump"), F.lit(True).alias("known"))
-    first = own.withColumnRenamed("parent", "jump").join(known, ["key", "jump"], "left").select(
+    table = stored(own.withColumnRenamed("parent", "jump").join(known, ["key", "jump"], "left").select(
         "key", "id", F.when(F.col("known"), F.col("jump")).alias("jump"),
-        F.when(F.col("known"), 1).otherwise(0).cast("long").alias("steps"), F.col("score").alias("total"))
-    levels = [stored(first, "replies")]
+        F.when(F.col("known"), 1).otherwise(0).cast("long").alias("steps"), F.col("score").alias("total")), "replies")
+    levels, ended = [table.where("jump IS NOT NULL")], [table.where("jump IS NULL")]
     for _ in range(nodes.count().bit_length()):
         low = levels[-1]
-        up = low.select("key", F.col("id").alias("jump"), F.col("jump").alias("_jump"), F.col("steps").alias("_steps"),
-                        F.col("total").alias("_total"))
-        if low.where("jump IS NOT NULL").isEmpty():
+        if low.isEmpty():
             break
-        levels.append(stored(low.join(up, ["key", "jump"], "left").select(
-            "key", "id", F.col("_jump").alias("jump"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"),
-            (F.col("total") + F.coalesce("_total", F.lit(0.0))).alias("total")), "replies"))
-    return levels
+        to = reduce(DataFrame.union, [low, *ended]).select(
+            "key", F.col("id").alias("jump"), F.col("jump").alias("_jump"), F.col("steps").alias("_steps"),
+            F.col("total").alias("_total"))
+        table = stored(low.join(to, ["key", "jump"]).select(
+            "key", "id", F.col("_jump").alias("jump"), (F.col("steps") + F.col("_steps")).alias("steps"),
+            (F.col("total") + F.col("_total")).alias("total")), "replies")
+        levels.append(table.where("jump IS NOT NULL"))
+        ended.append(table.where("jump IS NULL"))
+    return [t.select("key", "id", "jump") for t in levels], reduce(DataFrame.union, ended).drop("jump")
 
 
 def paths(messages: DataFrame, branches: int = 1) -> DataFrame:
@@ -73,25 +83,31 @@ def paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     message whose parent is null or absent is a root. Of the leaves of a conversation the
     `branches` with the highest total score on their path are chosen; ties go to the
     longer path, then to the smaller id. All paths grow at once, by jumps of 1, 2, 4, ...
-    replies, so a path of n messages takes log2(n) joins. Null conversation ids are one
-    conversation, a null score counts 0. Messages that answer each other in a circle have
-    no root, and neither they nor what answers them is on a path.
+    replies, so a path of n messages takes part in log2(n) joins. Null conversation ids
+    are one conversation, a null score counts 0. Messages that answer each other in a
+    circle have no root, and neither they nor what answers them is on a path.
     """
     nodes = stored(messages.select(
         _key(F.col("conv_id")).alias("key"), "conv_id", "id", "parent", F.coalesce("role", F.lit("")).alias("role"),
         F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")), "messages")
-    levels = _jumps(nodes)
-    answered = levels[0].where("jump IS NOT NULL").select("key", F.col("jump").alias("id")).distinct()
-    leaves = levels[-1].where("jump IS NULL").join(answered, ["key", "id"], "left_anti")
+    levels, ends = _jumps(nodes)
+    answered = levels[0].select("key", F.col("jump").alias("id")).distinct()
     best = W.partitionBy("key").orderBy(F.desc("total"), F.desc("steps"), "id")
-    path = leaves.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= branches).select(
-        "key", F.col("id").alias("leaf"), "id", F.col("steps").alias("depth"), F.lit(0).cast("long").alias("back"))
-    for low in levels[:-1]:
-        up = low.select("key", "id", "jump", F.col("steps").alias("_steps"))
-        both = F.array(F.struct("id", "back"), F.struct(F.col("jump").alias("id"), (F.col("back") + F.col("_steps")).alias("back")))
-        path = path.join(up, ["key", "id"]).select("key", "leaf", "depth", F.explode(both).alias("m")).select(
-            "key", "leaf", "depth", "m.*").where("id IS NOT NULL")
-    return path.join(nodes, ["key", "id"]).select(
+    chosen = ends.join(answered, ["key", "id"], "left_anti").withColumn("_n", F.row_number().over(best))
+    path = stored(chosen.where(F.col("_n") <= branches).select(
+        "key", F.col("id").alias("leaf"), "id", F.col("steps").alias("depth"), F.lit(0).cast("long").alias("back")), "paths")
+    whole = []
+    for k, level in enumerate(levels):
+        whole.append(path.where(F.col("depth") < 1 << k))
+        path = path.where(F.col("depth") >= 1 << k)
+        if path.isEmpty():
+            break
+        both = F.array(F.struct("id", "back"), F.struct(F.col("jump").alias("id"), (F.col("back") + (1 << k)).alias("back")))
+        path = stored(path.join(level, ["key", "id"], "left").select("key", "leaf", "depth", F.explode(both).alias("m"))
+                      .select("key", "leaf", "depth", "m.*").where("id IS NOT NULL"), "paths")
+    else:
+        whole.append(path)
+    return reduce(DataFrame.union, [p.select("key", "leaf", "id", "depth", "back") for p in whole]).join(nodes, ["key", "id"]).select(
         "key", "conv_id", "leaf", (F.col("depth") - F.col("back")).alias("pos"), "role", "text")
 
 
