@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F, types as T
 
 from sparkrec.config import Params
-from sparkrec.operators.events import mark_streaming, session_status
+from sparkrec.operators.events import mark_streaming
 from sparkrec.storage import scratch_path
 from sparkrec.streaming.fold import fold_chunks_stream, latest_chunks, session_status_stream
 from sparkrec.streaming.reuse import ttl_reuse_stream
@@ -14,10 +14,24 @@ from workload import answers, logs, reuse
 from workload.base import collection, stand_in_answer, table, variants
 
 
-def _stream(spark, sf, name):
-    """The table's file as a stream."""
-    schema = table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+PARTS = 3
+
+
+def _stream(spark, sf, name, order):
+    """The table as a stream of several micro-batches: parts of the range of `order`, each
+    a file written after the one before."""
+    rows = table(spark, sf, name)
+    low, high = rows.agg(F.min(order), F.max(order)).first()
+    part = F.least(F.floor((order - low) * PARTS / F.lit(max(1, high - low))), F.lit(PARTS - 1))
+    path = scratch_path(spark, name)
+    for i in range(PARTS):
+        rows.where(part == i).coalesce(1).write.parquet(f"{path}/part-{i}")
+    return (spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1)
+            .option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(path))
+
+
+def _time():
+    return F.unix_micros(F.col("ts").cast("timestamp"))
 
 
 def _finish(query):
@@ -35,14 +49,16 @@ def _stored(spark, stream, name, mode):
 
 
 def stream_fold(spark, sf):
-    log = logs.event_log(_stream(spark, sf, "events"))
-    chunks = latest_chunks(_stored(spark, fold_chunks_stream(log), "fold", "update").drop("batch_id"))
-    status = session_status(logs.event_log(table(spark, sf, "events")))
-    return logs.shown_chunks(mark_streaming(chunks, status))
+    """Chunks and status both out of streams. The log's sessions pause for days, so nothing
+    counts as idle."""
+    log = logs.event_log(_stream(spark, sf, "events", _time()))
+    folded = fold_chunks_stream(log, idle_seconds=10 ** 8)
+    chunks = latest_chunks(_stored(spark, folded, "fold", "update").drop("batch_id"))
+    return logs.shown_chunks(mark_streaming(chunks, stream_status(spark, sf)))
 
 
 def stream_status(spark, sf):
-    log = logs.event_log(_stream(spark, sf, "events"))
+    log = logs.event_log(_stream(spark, sf, "events", _time()))
     rows = _stored(spark, session_status_stream(log), "status", "update")
     last = rows.groupBy("query_id").agg(F.max_by(F.struct(*[c for c in rows.columns if c not in ("query_id", "batch_id")]),
                                                  "batch_id").alias("s"))
@@ -50,7 +66,7 @@ def stream_status(spark, sf):
 
 
 def stream_ttl_reuse(spark, sf):
-    rows = _stream(spark, sf, "events").select(
+    rows = _stream(spark, sf, "events", _time()).select(
         F.col("user_id").alias("cache_key"), "ts", F.col("event_id").alias("request_id"))
     done = _stored(spark, ttl_reuse_stream(rows, reuse.SIX_HOURS), "reuse", "append")
     return done.select("request_id", "computed", "entry_us")
@@ -58,7 +74,7 @@ def stream_ttl_reuse(spark, sf):
 
 def stream_recommend(spark, sf):
     """Questions arrive as a stream; the collection is static."""
-    asked = _stream(spark, sf, "documents").select(F.col("doc_id").alias("query_id"), "text")
+    asked = _stream(spark, sf, "documents", F.col("doc_id")).select(F.col("doc_id").alias("query_id"), "text")
     results, events = scratch_path(spark, "results"), scratch_path(spark, "events")
     vectors = variants(spark, sf)
     _finish(recommend_stream(
