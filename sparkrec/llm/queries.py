@@ -32,6 +32,28 @@ def op3_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontam.report(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+def _sql_words(t: str) -> str:
+    upper = "".join(map(chr, range(65, 91)))
+    return (f"regexp_extract_all(translate(coalesce({t}, ''), '{upper}', '{upper.lower()}'), "
+            r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
+
+
+SQL_DECONTAMINATION = f"""WITH w AS (SELECT doc_id, {_sql_words("text")} AS ws FROM documents),
+b AS (SELECT item_id, {_sql_words("text")} AS ws FROM benchmark),
+bn AS (SELECT *, least({decontam.WINDOW}, len(ws)) AS n FROM b WHERE len(ws) > 0),
+bw AS (SELECT DISTINCT item_id, n, array_to_string(list_slice(ws, i, i + n - 1), ' ') AS win
+       FROM (SELECT *, unnest(range(1, len(ws) - n + 2)) AS i FROM bn)),
+dw AS (SELECT doc_id, n, i, array_to_string(list_slice(ws, i, i + n - 1), ' ') AS win
+       FROM (SELECT w.*, ns.n, unnest(range(1, len(ws) - ns.n + 2)) AS i FROM w, (SELECT DISTINCT n FROM bw) ns WHERE len(ws) >= ns.n)),
+h AS (SELECT doc_id, n, i, item_id FROM dw JOIN bw USING (n, win)),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM h) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+          FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM h) GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM w LEFT JOIN hit ON hit.doc_id = w.doc_id LEFT JOIN items ON items.doc_id = w.doc_id"""
+
+
 def op4_secrets(spark: SparkSession, sf: str) -> DataFrame:
     return secret_scan.report(secret_scan.find_secrets(table(spark, sf, "documents")))
 
@@ -141,6 +163,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op3_decontamination": SQL_DECONTAMINATION,
     "op7_sharding": SQL_SHARDING,
     "op9_chat": SQL_CHAT,
 }
