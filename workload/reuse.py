@@ -79,16 +79,25 @@ SELECT x.id AS request_id, entry_us IS NULL AS computed,
        coalesce(entry_us, (SELECT max(en.us) FROM en WHERE en.id = x.id)) AS entry_us FROM x"""
 
 
-def cache_lookup(spark, sf):
-    """Clicks look for the newest purchase of the same user within six hours."""
-    rows = table(spark, sf, "events").withColumn("cache_key", F.col("user_id"))
+def _looked_up(spark, sf, key, seconds):
+    rows = table(spark, sf, "events").withColumn("cache_key", key)
     stored = rows.where("event_type = 'purchase'").select(
         "cache_key", "ts", F.col("event_id").cast("string").alias("response"))
     asked = rows.where("event_type = 'click'").select("cache_key", "ts", "event_id")
-    found = cache.cache_lookup(asked, stored, SIX_HOURS)
+    found = cache.cache_lookup(asked, stored, seconds)
     return found.select("event_id", "response", micros(found, "entry_ts").alias("entry_us"))
 
 
+def cache_lookup(spark, sf):
+    """Clicks look for the newest purchase of the same user within six hours."""
+    return _looked_up(spark, sf, F.col("user_id"), SIX_HOURS)
+
+
+def cache_lookup_hot(spark, sf):
+    """One key holds all requests and entries."""
+    return _looked_up(spark, sf, F.lit(1).cast("long"), 1800)
+
+
 QUERIES = {
     "cache_keys": cache_keys,
     "memoised_answers": memoised,
@@ -96,6 +105,7 @@ QUERIES = {
     "ttl_reuse_hot": ttl_reuse_hot,
     "ttl_reuse_failures": ttl_reuse_failures,
     "cache_lookup": cache_lookup,
+    "cache_lookup_hot": cache_lookup_hot,
 }
 
 ORACLE = {
@@ -111,4 +121,9 @@ ORACLE = {
               ON p.user_id = c.user_id AND epoch_us(c.ts) - p.us BETWEEN 0 AND {SIX_HOURS * 1_000_000}
               WHERE c.event_type = 'click' GROUP BY c.event_id)
         SELECT event_id, r::VARCHAR AS response, entry_us FROM x""",
+    "cache_lookup_hot": """WITH p AS (SELECT epoch_us(ts) AS us, max(event_id::VARCHAR) AS r FROM events
+          WHERE event_type = 'purchase' GROUP BY 1),
+        x AS (SELECT event_id, epoch_us(ts) AS us FROM events WHERE event_type = 'click')
+        SELECT event_id, CASE WHEN x.us - p.us <= 1800000000 THEN r END AS response,
+               CASE WHEN x.us - p.us <= 1800000000 THEN p.us END AS entry_us FROM x ASOF LEFT JOIN p ON x.us >= p.us""",
 }
