@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sparkrec.llm.common import discard, stored
 
-LINE_END = r"(?<=\n|[.!?] )"   # a line goes to a line break or the end of a sentence
+# A line goes to a line break or the end of a sentence; the first look back is the cheap one.
+LINE_END = r"(?<=[\n ])(?<=\n|[.!?] )"
 SPREAD = 2                     # one line in so many ends a chunk
 RUN_WORDS = 10                 # a run of two lines or more counts from so many words on
 PASSAGE_WORDS = 50             # a single line counts, and is a chunk of its own, from so many on
@@ -17,7 +18,7 @@ PASSAGE_WORDS = 50             # a single line counts, and is a chunk of its own
 
 def _words(text: Column) -> Column:
     """Blanks and one more: cheap, and enough to tell long lines from short ones."""
-    return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(" "), F.lit(""))) + 1
 
 
 def _rotated(x: Column, by: int) -> Column:
