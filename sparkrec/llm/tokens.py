@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import string
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +12,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-CACHE_WORDS = 250_000
+CACHE_WORDS = 400_000
 
 # A word of plain letters and the marks behind it: two pieces for the tokenizer, whatever
 # stands around them, and already in composed form.
@@ -33,6 +35,9 @@ class Encoder:
     the tokenizer's model in the two pieces its splitter makes of them; all others go
     through the whole tokenizer. Only for a lower-casing byte-level tokenizer whose
     splitter keeps letters and marks apart and drops white space.
+
+    Words are kept in two generations of `cache_words` at most: the old one goes when the
+    new one is full, and words that are met again move from old to new.
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
@@ -42,31 +47,43 @@ class Encoder:
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
         self.cache: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         self.cache_words = cache_words
 
     def _piece(self, piece: str) -> bytes:
         data = piece.lower().encode()
-        found = self.cache.get(data)
+        found = self.cache.get(data) or self.old.get(data)
         if found is None:
-            shown = data.decode("latin-1").translate(self.letters)
-            ids = [t.id for t in self.model.tokenize(shown)]
-            found = self.cache[data] = np.array(ids, dtype="<u4").tobytes()
+            shown = data.decode("latin-1")
+            if not data.isascii():
+                shown = shown.translate(self.letters)
+            found = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+            self.cache[data] = found
         return found
 
-    def _word(self, word: bytes) -> bytes:
-        text = word.decode()
+    def _pieces(self, text: str) -> tuple[str, ...] | None:
+        """A plain word's letters and marks; None for any other word."""
+        if text.isascii():
+            core = text.rstrip(string.punctuation)
+            return (core, text[len(core):]) if not core or core.isalpha() else None
         plain = _PLAIN.fullmatch(text)
-        if plain:
-            found = b"".join(self._piece(p) for p in plain.groups() if p)
-        else:
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-            found = np.array(ids, dtype="<u4").tobytes()
+        return plain.groups() if plain else None
+
+    def _word(self, word: bytes) -> bytes:
+        found = self.old.get(word)
+        if found is None:
+            text = word.decode()
+            pieces = self._pieces(text)
+            if pieces is None:
+                found = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+            else:
+                found = b"".join([self._piece(p) for p in pieces if p])
         self.cache[word] = found
         return found
 
     def __call__(self, text: str) -> bytes:
         if len(self.cache) > self.cache_words:
-            self.cache.clear()
+            self.old, self.cache = self.cache, {}
         cache = self.cache
         words = text.encode("utf-8", "replace").split()
         return b"".join([cache.get(w) or self._word(w) for w in words])
