@@ -17,10 +17,10 @@ from sparkrec.llm.decontam import WORDS, find_words, mix
 SIZE = 1 << 18          # of the hashed feature space
 STYLE = 256             # places of it for marks of style, the rest is for words and their beginnings
 BEGINNINGS = (4, 5, 6)  # bytes of a word's beginning
-TRAIN_ROWS = 60_000     # documents whose features are kept for fitting, at most about so many
+TRAIN_ROWS = 30_000     # documents whose features are kept for fitting, at most about so many
 BYTES_AT_ONCE = 2_000_000
 REJECT = 0.5            # probability of low quality from which a document is rejected
-REJECT_TOXIC = 0.3      # the same for toxicity, where the scorer leans to the common case
+REJECT_TOXIC = 0.25     # the same for toxicity, where the scorer leans to the common case
 LEAST_DOCS = 4          # of the fitted ones must have a feature for it to count
 MOST_WEIGHT = 10.0      # of the rarer class against the other
 TRUST = 0.99            # in a given label
@@ -162,13 +162,18 @@ def estimate(counts: dict[int, int], labellers: int, truthful: int | None = None
     return dict(zip(codes.tolist(), bad.tolist())), table
 
 
+def values(places: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The value of each feature: 1 for those of style; those of words share the root of
+    their document's number of features."""
+    return np.where(places < STYLE, 1.0, np.repeat(1 / np.sqrt(np.maximum(lengths, 1)), lengths))
+
+
 def fit(features: list[np.ndarray], target: np.ndarray) -> np.ndarray:
     """Weights of a logistic scorer (the last one is the constant) by adaptive gradient
-    steps. A document's features share its length's root, and the rarer class counts more."""
+    steps; the rarer class counts more."""
     weights, squares = np.zeros(SIZE + 1), np.full(SIZE + 1, 1e-4)
     order = np.random.default_rng(0)
     known = np.bincount(np.concatenate(features), minlength=SIZE) >= LEAST_DOCS if len(features) else None
-    share = 1 / np.sqrt([max(1, len(f)) for f in features])
     features = [f[known[f]] for f in features]
     lengths = np.array([len(f) for f in features])
     rare = min(target.sum(), len(target) - target.sum())
@@ -179,10 +184,11 @@ def fit(features: list[np.ndarray], target: np.ndarray) -> np.ndarray:
         for chosen in np.array_split(order.permutation(use), -(-len(use) // BATCH)):
             places = np.concatenate([features[i] for i in chosen])
             starts = np.cumsum(lengths[chosen]) - lengths[chosen]
-            margin = np.add.reduceat(weights[places], starts) * share[chosen] + weights[SIZE]
+            x = values(places, lengths[chosen])
+            margin = np.add.reduceat(weights[places] * x, starts) + weights[SIZE]
             error = (1 / (1 + np.exp(-np.clip(margin, -50, 50))) - target[chosen]) * costs[chosen]
             touched, back = np.unique(places, return_inverse=True)
-            slope = np.bincount(back, weights=np.repeat(error * share[chosen], lengths[chosen])) / len(chosen)
+            slope = np.bincount(back, weights=np.repeat(error, lengths[chosen]) * x) / len(chosen)
             squares[touched] += slope ** 2
             weights[touched] -= slope / np.sqrt(squares[touched])
             step = error.mean()
@@ -207,10 +213,10 @@ class Model:
         if not features:
             return np.zeros(0), np.zeros(0)
         places, lengths = np.concatenate(features), np.array([len(f) for f in features])
-        starts = np.cumsum(lengths) - lengths
+        starts, x = np.cumsum(lengths) - lengths, values(places, lengths)
         out = []
         for w in (self.quality, self.toxic):
-            margin = np.add.reduceat(w[places].astype(np.float64), starts) / np.sqrt(lengths) + w[SIZE]
+            margin = np.add.reduceat(w[places] * x, starts) + w[SIZE]
             out.append(1 / (1 + np.exp(-np.clip(margin, -50, 50))))
         return out[0], out[1]
 
