@@ -1,4 +1,5 @@
-"""Removal of repeated runs of lines, cut where a rolling hash over line hashes says so.
+"""Removal of repeated runs of lines: all of them (`dedup_runs`), or those that a rolling hash
+over line hashes cuts as chunks (`dedup_lines`).
 
 Column expressions and joins only.
 """
@@ -112,3 +113,166 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         F.coalesce(F.length(text_col) - F.length("_new"), F.lit(0)).alias("removed_chars"))
     discard(spark, index)
     return out
+
+
+# --- all runs ---------------------------------------------------------------------------
+
+SPACE = r"\t-\r\x1c- \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+# Lines without words belong to the line before them; only a text's first one stands alone.
+RUN_END = LINE_END + rf"(?![{SPACE}&&[^\n]]*(?:\n|\z))"
+FIRST_LETTERS = rf"([^{SPACE}])[^{SPACE}]*+[{SPACE}]*+|[{SPACE}]++"
+PLACES = 16                    # a shortest run has at most so many lines: each has a word
+
+
+def _bare(line: Column) -> Column:
+    return F.rtrim(line, F.lit(" \n\r\t"))
+
+
+def spaced_words(text: Column) -> Column:
+    """Maximal runs without white space."""
+    return F.length(F.regexp_replace(text, FIRST_LETTERS, "$1"))
+
+
+def _let(value: Column, body) -> Column:
+    """body(value) with `value` computed once, also where a lambda of the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _runs(text: Column) -> Column:
+    """at (first line * PLACES + lines after it) and h of the shortest runs of lines that
+    count, from each line forward and from each line backward.
+
+    Each line of a longer run that counts is in a shortest one within it, and what is
+    a shortest one depends on its own lines only: a repeated run shows as repeated
+    shortest runs wherever it stands.
+    """
+    marks = F.transform(F.split(text, RUN_END, -1), lambda x: F.struct(F.xxhash64(_bare(x)).alias("h"), spaced_words(x).alias("n")))
+    none = F.array().cast("array<struct<at:bigint,h:bigint>>")
+
+    def of_lines(lines: Column) -> Column:
+        """`lines`: h and n of each line."""
+        last = F.size(lines) - 1
+        hashes, words = F.transform(lines, lambda x: x["h"]), F.flatten(F.transform(lines, lambda x, i: F.array_repeat(i, x["n"])))
+
+        def of_words(line_of: Column) -> Column:
+            """`line_of`: the line of each word."""
+            def first(p: Column) -> Column:
+                """The shortest run from word p, which begins a line, on; b is null if there is none."""
+                i, tenth = F.get(line_of, p), F.get(line_of, p + (RUN_WORDS - 1))
+                return F.struct(i.alias("a"), F.when(F.get(lines, i)["n"] >= PASSAGE_WORDS, i).when(
+                    tenth.isNotNull() & (i < last), F.greatest(i + 1, tenth)).alias("b"))
+
+            starts = F.filter(F.sequence(F.lit(0), F.size(line_of) - 1),
+                              lambda p: (p == 0) | (F.get(line_of, p) != F.get(line_of, p - 1)))
+            return _let(hashes, lambda h: _let(F.filter(F.transform(starts, first), lambda x: x["b"].isNotNull()),
+                                               lambda runs: F.flatten(F.transform(runs, lambda x, k: spread(h, runs, x, k)))))
+
+        def spread(h: Column, runs: Column, x: Column, k: Column) -> Column:
+            until = F.coalesce(F.get(runs, k + 1)["b"] - 1, last)
+            return F.transform(F.sequence(x["b"], F.greatest(x["b"], until)), lambda b: F.struct(
+                (x["a"].cast("long") * PLACES + b - x["a"]).alias("at"), F.xxhash64(F.slice(h, x["a"] + 1, b - x["a"] + 1)).alias("h")))
+
+        return _let(words, lambda w: F.when(F.size(w) > 0, of_words(w)).otherwise(none))
+
+    return _let(marks, of_lines)
+
+
+def _segments(proposed: str) -> Column:
+    """line, lines, src, src_line of the runs that the proposals (at, src, src_at) of a
+    document make up; each line once."""
+    def each(x: Column) -> Column:
+        a, b = F.floor(x["at"] / PLACES).cast("int"), F.floor(x["src_at"] / PLACES).cast("int")
+        return F.transform(F.sequence(F.lit(0), F.pmod(x["at"], F.lit(PLACES)).cast("int")), lambda o: F.struct(
+            (a + o).alias("line"), x["src"].alias("src"), (b + o).alias("src_line")))
+
+    return F.array_sort(F.flatten(F.transform(proposed, each)))
+
+
+def _islands(proposed: str) -> Column:
+    """src, src_line, lines, line: the proposed lines, once each, in unbroken pieces."""
+    def once(lines: Column) -> Column:
+        return F.filter(lines, lambda x, i: (i == 0) | (x["line"] != F.get(lines, i - 1)["line"]))
+
+    def pieces(lines: Column) -> Column:
+        def begins(i: Column) -> Column:
+            x, y = F.get(lines, i), F.get(lines, i - 1)
+            return (i == 0) | (x["line"] != y["line"] + 1) | (x["src"] != y["src"]) | (x["src_line"] != y["src_line"] + 1)
+
+        def cut(begin: Column) -> Column:
+            return F.transform(begin, lambda at, k: F.struct(
+                F.get(lines, at)["src"].alias("src"), F.get(lines, at)["src_line"].alias("src_line"),
+                (F.coalesce(F.get(begin, k + 1), F.size(lines)) - at).alias("lines"), F.get(lines, at)["line"].alias("line")))
+
+        return _let(F.filter(F.sequence(F.lit(0), F.size(lines) - 1), begins), cut)
+
+    return _let(_let(_segments(proposed), once), pieces)
+
+
+def _without(text: str, removed: str) -> Column:
+    """The text less its lines in `removed` (line, lines)."""
+    gone = F.flatten(F.transform(removed, lambda r: F.sequence(r["line"], r["line"] + r["lines"] - 1)))
+
+    def left(lines: Column) -> Column:
+        head = F.array_contains(gone, 1) & (spaced_words(F.get(lines, F.lit(0))) == 0)
+        all_gone = F.when(head, F.concat(gone, F.array(F.lit(0)))).otherwise(gone)
+        stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), all_gone)
+        return F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "")
+
+    return _let(F.split(text, RUN_END, -1), left)
+
+
+def dedup_runs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`docs` with the text of `text_col` less its repeated runs of lines, and removed_chunks
+    (pieces that went), removed_chars (both 0 where the text stays as it was).
+
+    A run of lines counts if it has PASSAGE_WORDS words, or two lines and RUN_WORDS words;
+    words are parted by any white space. Every line of a run that also stands at an
+    earlier place of the table goes, wherever it begins and ends: smaller id, then smaller
+    hash of the text, then place. White space at the end of a line is not compared, and
+    lines without words go with the line before them (the first with the second). Of
+    equal lines the first always stays. Hashes only propose; a line goes after its bytes
+    were compared with those of the earlier one. Hashes and places are shuffled for all
+    documents, texts once by document; the texts of pieces meet on the place of the earlier
+    one, which is one row, so that adaptive execution can split a hot one's copies.
+
+    A null or empty text stays. A null id is smaller than all others. Repeated rows are
+    one document and stay alike. A document of which everything is repeated becomes
+    empty. Other columns are kept; an empty table gives no rows.
+    """
+    spark = docs.sparkSession
+    columns = docs.columns
+    keyed = docs.withColumn("_key", F.xxhash64(F.col(id_col).cast("long"), text_col))
+    rows = keyed.where(F.length(text_col) > 0).select(F.col(id_col).cast("long").alias("id"), "_key", F.col(text_col).alias("text"))
+    index = stored(rows.select("id", "_key", F.explode(_runs(F.col("text"))).alias("r")).select("r.h", "id", "_key", "r.at"), "runs")
+    repeated = index.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("id", "_key", "at")).alias("first")).where("n > 1")
+    later = (F.col("_key") != F.col("first._key")) | (F.col("at") != F.col("first.at"))
+    proposed = index.join(repeated.drop("n"), "h").where(later).select(
+        "_key", F.struct("at", F.col("first._key").alias("src"), F.col("first.at").alias("src_at")).alias("p"))
+    proposed = proposed.groupBy("_key").agg(F.collect_set("p").alias("_proposed"))
+    segments = stored(proposed.select("_key", _islands("_proposed").alias("_segments")), "segments")
+    discard(spark, index)
+    place = segments.select(F.explode("_segments").alias("s")).select("s.src", "s.src_line", "s.lines").distinct()
+    wanted = place.groupBy("src").agg(F.collect_set(F.struct("src_line", "lines")).alias("_wanted")).withColumnRenamed("src", "_key")
+    marks = segments.join(wanted, "_key", "full_outer")
+    marked = stored(keyed.join(marks.hint("shuffle_hash"), "_key", "left"), "marked")
+
+    def texts(of: str, line: str) -> DataFrame:
+        def cut(lines: Column) -> Column:
+            return F.transform(of, lambda s: s.withField("bytes", F.array_join(
+                F.transform(F.slice(lines, s[line] + 1, s["lines"]), _bare), "\n")))
+
+        return marked.where(F.col(of).isNotNull()).select("_key", F.explode(_let(F.split(text_col, RUN_END, -1), cut)).alias("s")).select("_key", "s.*")
+
+    own = texts("_segments", "line")
+    first = (texts("_wanted", "src_line").withColumnsRenamed({"_key": "src", "bytes": "kept"})
+             .dropDuplicates(["src", "src_line", "lines"]))
+    verified = (own.join(first, ["src", "src_line", "lines"]).where(F.col("bytes") == F.col("kept"))
+                .groupBy("_key").agg(F.collect_set(F.struct("line", "lines")).alias("_removed")))
+    verified = stored(verified, "removed")
+
+    done = marked.join(verified.hint("shuffle_hash"), "_key", "left")
+    text = F.when(F.col("_removed").isNull(), F.col(text_col)).otherwise(_without(text_col, "_removed"))
+    return done.withColumn("_new", text).select(
+        *[F.col("_new").alias(c) if c == text_col else F.col(c) for c in columns],
+        F.coalesce(F.size("_removed"), F.lit(0)).alias("removed_chunks"),
+        F.coalesce(F.length(text_col) - F.length("_new"), F.lit(0)).alias("removed_chars"))

@@ -82,7 +82,7 @@ def op7_sharding(spark: SparkSession, sf: str) -> DataFrame:
 
 def op8_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """The documents after removal."""
-    out = line_dedup.dedup_lines(table(spark, sf, "documents"))
+    out = line_dedup.dedup_runs(table(spark, sf, "documents"))
     return out.select("doc_id", "text", "removed_chunks", "removed_chars")
 
 
