@@ -80,3 +80,11 @@ def test_nothing_and_repeated_rows(spark):
     assert sorted((str(r["doc_id"]), str(r["text"])) for r in got.collect()) == sorted(
         [("2", ""), ("2", ""), ("None", text), ("3", "None"), ("4", ""), ("5", "\n\n")])
     assert L.dedup_runs(docs.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("gap", ["\n", "\t", "\u00a0", "\r\n", " \u2003"])
+@pytest.mark.parametrize("n", [60, 600])
+def test_words_parted_by_any_white_space(spark, gap, n):
+    passage = gap.join(f"w{i}" for i in range(n)) + "\n"
+    got = run(spark, [(1, "one\n" + passage + "two"), (2, "three\n" + passage + "four")])
+    assert (got[1]["removed_chars"], got[2]["text"]) == (0, "three\nfour")
