@@ -139,17 +139,31 @@ def _bmp(data: bytes, at: int, ends: dict) -> tuple[str, int] | None:
 
 
 def _pdf(data: bytes, at: int, ends: dict) -> tuple[str, int] | None:
-    stop = _next(ends["end of pdf"], at)
-    return None if stop is None or not data[at + 5:at + 6].isdigit() else ("application/pdf", stop + 5 - at)
+    """To the last end mark before the next start, as each update of a file adds one."""
+    stop, after = _next(ends["end of pdf"], at), _next(ends["start of pdf"], at + 1)
+    if stop is None or not data[at + 5:at + 6].isdigit():
+        return None
+    until = len(ends["end of pdf"]) if after is None else bisect_left(ends["end of pdf"], after)
+    if until and ends["end of pdf"][until - 1] > stop:
+        stop = ends["end of pdf"][until - 1]
+    return "application/pdf", stop + 5 - at
+
+
+def _zip_ends(data: bytes, stops: list[int]) -> dict[int, int]:
+    """For each place where an archive would begin, the first end record that fits it."""
+    fits: dict[int, int] = {}
+    for stop in stops:
+        if stop + 22 <= len(data):
+            size, offset, comment = struct.unpack_from("<IIH", data, stop + 12)
+            central = data[stop - size:stop - size + 4] if size <= stop else b""
+            if stop - size - offset >= 0 and central in (b"PK\x01\x02", b"PK\x05\x06") and stop + 22 + comment <= len(data):
+                fits.setdefault(stop - size - offset, stop + 22 + comment)
+    return fits
 
 
 def _zip(data: bytes, at: int, ends: dict) -> tuple[str, int] | None:
-    stop = _next(ends["end of zip"], at)
-    if stop is None or stop + 22 > len(data):
-        return None
-    size, offset, comment = struct.unpack_from("<IIH", data, stop + 12)
-    whole = at + offset + size == stop and data[at + offset:at + offset + 4] in (b"PK\x01\x02", b"PK\x05\x06")
-    return ("application/zip", stop + 22 + comment - at) if whole and stop + 22 + comment <= len(data) else None
+    stop = ends["zip from"].get(at)
+    return None if stop is None else ("application/zip", stop - at)
 
 
 def _ogg(data: bytes, at: int, ends: dict) -> tuple[str, int] | None:
@@ -183,12 +197,14 @@ def sniff(tree, data: bytes) -> list[dict]:
     """All media in `data` whose structure is sound, outer ones first. One that begins
     inside another must end there too; depth counts what is around it."""
     starts: list[tuple[int, str]] = []
-    ends: dict[str, list[int]] = {"end of jpeg": [], "end of pdf": [], "end of zip": []}
+    ends: dict = {"end of jpeg": [], "end of pdf": [], "end of zip": []}
     for last, (name, size) in tree.iter(data.decode("latin-1")):
         if name in ends:
             ends[name].append(last - size + 1)
         else:
             starts.append((last - size + 1, name))
+    ends["start of pdf"] = sorted(at for at, name in starts if name == "application/pdf")
+    ends["zip from"] = _zip_ends(data, ends["end of zip"])
     found: list[dict] = []
     around: list[int] = []
     for at, name in sorted(starts):
