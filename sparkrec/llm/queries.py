@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparkrec.llm import chat, decontam, line_dedup, media, packing, pfor, quality, secret_scan, sharding, simhash
+from sparkrec.llm import chat, decontam, iblt, line_dedup, media, packing, pfor, quality, repair, secret_scan, sharding, simhash
 from sparkrec.storage import scratch_path
 
 TOKENIZER = "word_bpe_49k.json"
@@ -149,6 +149,15 @@ def op10_token_ids(spark: SparkSession, sf: str) -> DataFrame:
     return pfor.read_ids(spark, path)
 
 
+def op11_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document against its edited version and the next document."""
+    return iblt.revisions(table(spark, sf, "documents"))
+
+
+def op13_repair(spark: SparkSession, sf: str) -> DataFrame:
+    return repair.repair(table(spark, sf, "conversations"), damage=True)
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_packing": op2_packing,
@@ -160,6 +169,8 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_chat": op9_chat,
     "op10_token_ids": op10_token_ids,
+    "op11_fingerprints": op11_fingerprints,
+    "op13_repair": op13_repair,
 }
 
 ORACLE = {
