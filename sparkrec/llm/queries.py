@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparkrec.llm import chat, decontam, iblt, line_dedup, media, packing, pfor, quality, repair, secret_scan, sharding, simhash
+from sparkrec.llm import chat, decontam, hard_negatives, iblt, line_dedup, media, packing, pfor, quality, repair, secret_scan, sharding, simhash
 from sparkrec.storage import scratch_path
 
 TOKENIZER = "word_bpe_49k.json"
@@ -154,10 +154,79 @@ def op11_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     return iblt.revisions(table(spark, sf, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels of every seventh row are moved on by one; every hundredth row is an anchor."""
+    rows = table(spark, sf, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", label), anchor=F.col("vec_id") % 100 == 0)
+
+
+SQL_HARD_NEGATIVES = """WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+      FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER w)::INT AS rank, s.id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.id) QUALIFY row_number() OVER w <= 5"""
+
+
 def op13_repair(spark: SparkSession, sf: str) -> DataFrame:
     return repair.repair(table(spark, sf, "conversations"), damage=True)
 
 
+# Rows after damage with their faults (w), the cheapest edits of each prefix and state (dp: 0
+# nothing yet, 1 system, 2 user, 3 assistant came last), and the edits played back (o).
+SQL_REPAIR = r"""WITH RECURSIVE c AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+h AS (SELECT *, xor(list_reduce([4294967295::BIGINT] || flatten(list_transform(string_split(k, ''),
+        lambda ch: list_transform(range(8), lambda b: ((ord(ch) >> b) & 1)::BIGINT))),
+        lambda x, b: xor(x >> 1, CASE WHEN (xor(x, b) & 1) = 1 THEN 3988292384 ELSE 0 END)), 4294967295) % 20 AS r FROM c),
+d AS (SELECT conv_id, turn, CASE WHEN r = 4 THEN 'user' ELSE role END AS role,
+        CASE r WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE WHEN r = 3 THEN 2 ELSE 1 END)) AS copy
+      FROM h WHERE r <> 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS n, role[1] AS i FROM d),
+w AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1
+                     WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 THEN 2
+                     WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 3 ELSE 0 END AS fault,
+             lag(i) OVER (PARTITION BY conv_id ORDER BY n) || i AS pair FROM n),
+puts(a, b, put) AS (VALUES (0, 0, ''), (0, 2, 'I'), (0, 3, 'II'), (1, 1, ''), (1, 2, 'I'), (1, 3, 'II'), (2, 2, ''), (2, 3, 'I'), (3, 3, ''), (3, 2, 'I')),
+nexts(b, z, i) AS (VALUES (0, 1, 's'), (0, 2, 'u'), (1, 2, 'u'), (2, 3, 'a'), (3, 2, 'u')),
+dp AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS n, 0 AS z, {'cost': 0, 'audit': ''} AS best FROM c
+  UNION ALL
+  SELECT conv_id, n, z, min({'cost': cost, 'audit': audit}) FROM (
+    SELECT dp.conv_id, w.n, p.b AS z, dp.best.cost + 3 * len(put) + 4 AS cost, dp.best.audit || put || 'D' AS audit
+    FROM dp JOIN w ON w.conv_id IS NOT DISTINCT FROM dp.conv_id AND w.n = dp.n + 1 JOIN puts p ON p.a = dp.z
+    UNION ALL
+    SELECT dp.conv_id, w.n, x.z, dp.best.cost + 3 * len(put) + w.fault + CASE WHEN w.i = x.i THEN 0 ELSE 3 END,
+           dp.best.audit || put || CASE WHEN w.i = x.i THEN 'K' ELSE 'R' END
+    FROM dp JOIN w ON w.conv_id IS NOT DISTINCT FROM dp.conv_id AND w.n = dp.n + 1 JOIN puts p ON p.a = dp.z
+      JOIN nexts x ON x.b = p.b AND (x.i <> 's' OR w.i = 's') WHERE w.fault IN (0, 3)) GROUP BY ALL),
+e AS (SELECT conv_id, min({'cost': best.cost + 3 * close, 'audit': best.audit || repeat('I', close)}) AS best
+      FROM (SELECT *, max(n) OVER (PARTITION BY conv_id) AS last, CASE z WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END AS close FROM dp)
+      WHERE n = last GROUP BY conv_id),
+a AS (SELECT conv_id, best.audit AS audit, unnest(range(1, len(best.audit) + 1)) AS j FROM e),
+o AS (SELECT conv_id, j, audit[j] AS edit, len(replace(audit[:j], 'I', '')) AS n, len(replace(audit[:j], 'D', '')) AS k FROM a WHERE audit[j] <> 'D'),
+r AS (SELECT o.conv_id, o.j, o.k, edit, w.role, coalesce(CASE WHEN edit <> 'I' THEN w.text END, '') AS text,
+        bool_or(o.k = 1 AND edit = 'K' AND w.i = 's') OVER (PARTITION BY o.conv_id) AS led
+      FROM o LEFT JOIN w ON w.conv_id IS NOT DISTINCT FROM o.conv_id AND w.n = o.n),
+f AS (SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (k + led::INT) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text,
+             chr(10) ORDER BY j) AS repaired, count(*) AS n_repaired FROM r GROUP BY conv_id),
+g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank,
+        count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+        count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM w GROUP BY conv_id)
+SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, best.cost::BIGINT AS cost, best.audit AS audit,
+  sha256(coalesce(repaired, '')) AS repaired_sha256, coalesce(n_repaired, 0) AS n_repaired
+FROM e LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM e.conv_id LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM e.conv_id"""
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_packing": op2_packing,
@@ -170,6 +239,7 @@ QUERIES = {
     "op9_chat": op9_chat,
     "op10_token_ids": op10_token_ids,
     "op11_fingerprints": op11_fingerprints,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_repair": op13_repair,
 }
 
@@ -177,4 +247,6 @@ ORACLE = {
     "op3_decontamination": SQL_DECONTAMINATION,
     "op7_sharding": SQL_SHARDING,
     "op9_chat": SQL_CHAT,
+    "op12_hard_negatives": SQL_HARD_NEGATIVES,
+    "op13_repair": SQL_REPAIR,
 }
