@@ -4,7 +4,8 @@ The documents are never shuffled and no pair is emitted: each task streams its
 part of the document table past a block of query vectors and keeps the n best
 documents per query. What leaves a task is at most n rows per query, ranked once
 more in the JVM. The query block is broadcast only up to a byte bound; a larger
-query table is cut into blocks of that size, one pass over the documents each.
+query table is written to the shared folder in blocks of that size, and each task
+streams the blocks past the documents it holds, so these are still read once.
 Documents with a hot value (source, cell, category) need no special care, since
 nothing is grouped by it.
 """
@@ -17,14 +18,17 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from sparkrec.storage import cut_lineage
+from sparkrec.storage import cut_lineage, scratch_path
 
 METRICS = ("l2sq", "cosine", "ip")
 BLOCK_BYTES = 256 << 20  # bound on what a task holds for one block of queries
 MOST_TASKS = 10_000      # each sends at most n rows per query, which bounds what meets in one sort
 TILE = 1024              # queries handled at a time inside a task
+PUSHED = 1000            # labels that go to the scan as a filter at most; it only saves work
 # Slack on the matrix-product distance; survivors are measured exactly.
 SLACK = 1e-9
 
@@ -186,28 +190,23 @@ def _label_groups(lists: pa.Array, codes: dict) -> Iterator[tuple[tuple[int, ...
         yield labels, np.array(rows)
 
 
-def _scan(batches: Iterator[pa.RecordBatch], block, n: int, metric: str,
-          payload_names: Sequence[str], out_schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    held = block.value
-    queries = held["vectors"]
-    askers, codes, free = held["askers"], held["codes"], held["free"]
-    dim = queries.shape[1]
-    best = _Best(queries, n, metric, len(payload_names), held["bound"])
-    everyone = np.arange(len(queries))
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        vectors = (batch.column("_vector").flatten().to_numpy(zero_copy_only=False)
-                   .reshape(-1, dim).astype(np.float64))
-        ids = batch.column("_id").to_numpy(zero_copy_only=False)
-        payload = [np.array(batch.column(p).to_pylist(), object) for p in payload_names]
-        if askers is None:
-            best.add(everyone, vectors, ids, payload)
-            continue
-        for labels, rows in _label_groups(batch.column("_labels"), codes):
-            takers = np.unique(np.concatenate([free, *(askers[c] for c in labels)]))
-            if len(takers):
-                best.add(takers, vectors[rows], ids[rows], [x[rows] for x in payload])
+def _feed(best: _Best, held: dict, batch: pa.RecordBatch, payload_names: Sequence[str]) -> None:
+    """Measure a batch of documents against a block of queries."""
+    dim = held["vectors"].shape[1]
+    vectors = (batch.column("_vector").flatten().to_numpy(zero_copy_only=False)
+               .reshape(-1, dim).astype(np.float64))
+    ids = batch.column("_id").to_numpy(zero_copy_only=False)
+    payload = [np.array(batch.column(p).to_pylist(), object) for p in payload_names]
+    if held["askers"] is None:
+        best.add(np.arange(len(held["vectors"])), vectors, ids, payload)
+        return
+    for labels, rows in _label_groups(batch.column("_labels"), held["codes"]):
+        takers = np.unique(np.concatenate([held["free"], *(held["askers"][c] for c in labels)]))
+        if len(takers):
+            best.add(takers, vectors[rows], ids[rows], [x[rows] for x in payload])
+
+
+def _lists(best: _Best, held: dict, payload_names: Sequence[str], out_schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     query, place = np.nonzero(best.used)
     if len(query):
         columns = [pa.array(k[query]) for k in held["keys"]]
@@ -219,54 +218,98 @@ def _scan(batches: Iterator[pa.RecordBatch], block, n: int, metric: str,
         yield from table.to_batches(max_chunksize=10_000)
 
 
+def _scan(batches: Iterator[pa.RecordBatch], block, n: int, metric: str,
+          payload_names: Sequence[str], out_schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """One block of queries, which a task keeps while it reads its documents."""
+    held = block.value
+    best = _Best(held["vectors"], n, metric, len(payload_names), held["bound"])
+    for batch in batches:
+        if batch.num_rows:
+            _feed(best, held, batch, payload_names)
+    yield from _lists(best, held, payload_names, out_schema)
+
+
+def _buffers(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[pa.RecordBatch]]:
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.nbytes
+            if size >= most:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+def read_block(uri: str) -> pa.Table:
+    """A file of the shared folder, opened by Arrow."""
+    files, path = fs.FileSystem.from_uri(uri)
+    with files.open_input_file(path) as source:
+        return pq.read_table(source)
+
+
+def _scan_blocks(batches: Iterator[pa.RecordBatch], uris: Sequence[str], keys: Sequence[str], allowed: bool, n: int,
+                 metric: str, payload_names: Sequence[str], out_schema: pa.Schema, buffer_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Many blocks of queries: a task holds as many of its documents as fit the bound, and
+    streams the blocks past them out of the shared folder. Documents are read once."""
+    for documents in _buffers(batches, buffer_bytes):
+        for uri in uris:
+            held = _block(read_block(uri), keys, allowed)
+            best = _Best(held["vectors"], n, metric, len(payload_names), held["bound"])
+            for batch in documents:
+                _feed(best, held, batch, payload_names)
+            yield from _lists(best, held, payload_names, out_schema)
+
+
+def _block(table: pa.Table, keys: Sequence[str], allowed: bool) -> dict:
+    """Rows of queries (keys, _vector, _bound, _allowed) as numpy arrays."""
+    table = table.combine_chunks()
+    lists = table.column("_vector").combine_chunks()
+    vectors = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(table.num_rows, -1)
+    block = {
+        "keys": [table.column(k).to_numpy() for k in keys],
+        "vectors": vectors, "askers": None, "codes": None, "free": None, "bound": None,
+    }
+    if table.column("_bound").null_count < table.num_rows:
+        bounds = table.column("_bound").to_numpy(zero_copy_only=False)
+        block["bound"] = np.where(np.isnan(bounds), np.inf, bounds)
+    if allowed:
+        rows = table.column("_allowed").to_pylist()
+        labels = sorted({x for row in rows if row for x in row})
+        codes = {x: i for i, x in enumerate(labels)}
+        askers: list[list[int]] = [[] for _ in labels]
+        for i, row in enumerate(rows):
+            for x in set(row or ()):
+                askers[codes[x]].append(i)
+        block.update(askers=[np.array(a, np.int64) for a in askers], codes=codes,
+                     free=np.array([i for i, row in enumerate(rows) if row is None], np.int64))
+    return block
+
+
 # --- on the driver: query blocks of bounded size ----------------------------------
 
-def _query_blocks(queries: DataFrame, keys: Sequence[str], vector: str, allowed: str | None,
-                  block_bytes: int, held_bytes: int = 0):
-    """Query vectors as numpy blocks; vectors, labels and `held_bytes` per query stay below
-    the bound. Rows of one key are in one block."""
+def _narrow(queries: DataFrame, keys: Sequence[str], vector: str, allowed: str | None) -> DataFrame:
     bound = F.col("_bound") if "_bound" in queries.columns else F.lit(None).cast("double")
-    cols = [*keys, F.col(vector).alias("_vector"), bound.alias("_bound")]
-    cols.append((F.col(allowed) if allowed else F.lit(None).cast("array<string>")).alias("_allowed"))
-    queries = queries.where(F.col(vector).isNotNull()).select(*cols)
-    count, dim, labels = queries.agg(
-        F.count(F.lit(1)), F.max(F.size("_vector")), F.max(F.coalesce(F.size("_allowed"), F.lit(0)))).first()
-    if not count:
-        return
-    n_blocks = max(1, math.ceil(count * ((dim + max(labels, 0)) * 8 + held_bytes) / block_bytes))
-    if n_blocks == 1:
-        parts = [queries]
-    else:
-        placed = cut_lineage(queries.withColumn("_block", F.pmod(F.xxhash64(*keys), F.lit(n_blocks))))
-        parts = [placed.where(F.col("_block") == b).drop("_block") for b in range(n_blocks)]
-    for part in parts:
-        table = part.toArrow().combine_chunks()
-        if not table.num_rows:
-            continue
-        if table.num_rows != table.group_by(list(keys)).aggregate([]).num_rows:
-            raise ValueError(f"{', '.join(keys)} occur more than once among the queries")
-        lists = table.column("_vector").combine_chunks()
-        if (np.diff(lists.offsets.to_numpy()) != dim).any():
-            raise ValueError("query vectors differ in length")
-        vectors = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-        block = {
-            "keys": [table.column(k).to_numpy() for k in keys],
-            "vectors": vectors, "askers": None, "codes": None, "free": None, "bound": None,
-        }
-        if table.column("_bound").null_count < table.num_rows:
-            bounds = table.column("_bound").to_numpy(zero_copy_only=False)
-            block["bound"] = np.where(np.isnan(bounds), np.inf, bounds)
-        if allowed:
-            lists = table.column("_allowed").to_pylist()
-            labels = sorted({x for row in lists if row for x in row})
-            codes = {x: i for i, x in enumerate(labels)}
-            askers: list[list[int]] = [[] for _ in labels]
-            for i, row in enumerate(lists):
-                for x in set(row or ()):
-                    askers[codes[x]].append(i)
-            block.update(askers=[np.array(a, np.int64) for a in askers], codes=codes,
-                         free=np.array([i for i, row in enumerate(lists) if row is None], np.int64))
-        yield block
+    wanted = F.col(allowed) if allowed else F.lit(None).cast("array<string>")
+    return queries.where(F.col(vector).isNotNull()).select(
+        *keys, F.col(vector).alias("_vector"), bound.alias("_bound"), wanted.alias("_allowed"))
+
+
+def _blocks(asked: DataFrame, keys: Sequence[str], rows: int, n_blocks: int) -> list[str]:
+    """`asked` as files of at most `rows` rows in the shared folder; no vector passes the driver."""
+    path = scratch_path(asked.sparkSession, "queries")
+    asked.repartition(n_blocks, *keys).write.option("maxRecordsPerFile", rows).parquet(path)
+    return sorted(asked.sparkSession.read.schema(asked.schema).parquet(path).inputFiles())
+
+
+def _arrow_opens(uri: str) -> bool:
+    try:
+        files, path = fs.FileSystem.from_uri(uri)
+        return files.get_file_info(path).type == fs.FileType.File
+    except (pa.ArrowException, OSError):
+        return False
 
 
 def knn_topk(
@@ -321,24 +364,43 @@ def knn_topk(
         narrow.append(F.coalesce(F.col(labels), F.array().cast(kind)).alias("_labels"))
     docs = docs.select(*narrow)
 
-    passes = []
-    for block in _query_blocks(queries, keys, vector, allowed, block_bytes, n * (17 + 64 * len(carry))):
-        dim = block["vectors"].shape[1]
-        body = functools.partial(
-            _scan, block=spark.sparkContext.broadcast(block), n=n, metric=metric,
-            payload_names=tuple(carry), out_schema=arrow,
-        )
-        # Vectors of another length cannot be compared; the index check counts them.
-        usable = docs.where(F.size("_vector") == dim)
-        usable = usable.coalesce(tasks)
-        if allowed and not len(block["free"]) and len(block["codes"]) <= 1000:
-            wanted = F.array(*[F.lit(c) for c in block["codes"]]).cast(kind)
-            usable = usable.where(F.arrays_overlap("_labels", wanted))
-        passes.append(usable.mapInArrow(lambda it, body=body: body(it), schema))
-    if not passes:
-        hits = spark.createDataFrame([], schema)
-    else:
-        hits = functools.reduce(DataFrame.unionByName, passes)
+    asked = _narrow(queries, keys, vector, allowed)
+    count, shortest, dim, most_labels = asked.agg(
+        F.count(F.lit(1)), F.min(F.size("_vector")), F.max(F.size("_vector")),
+        F.max(F.coalesce(F.size("_allowed"), F.lit(0)))).first()
+    if not count:
+        return rank_hits(spark.createDataFrame([], schema), n, keys)
+    if shortest != dim:
+        raise ValueError("query vectors differ in length")
+    # Vectors of another length cannot be compared; the index check counts them.
+    usable = docs.where(F.size("_vector") == dim).coalesce(tasks)
+    per_query = (dim + max(most_labels, 0)) * 8 + n * (17 + 64 * len(carry))
+    repeated = f"{', '.join(keys)} occur more than once among the queries"
+    options = dict(n=n, metric=metric, payload_names=tuple(carry), out_schema=arrow)
+
+    def passed(table: pa.Table, docs: DataFrame) -> DataFrame:
+        """The documents past one block, which is broadcast."""
+        block = _block(table, keys, bool(allowed))
+        if allowed and not len(block["free"]) and len(block["codes"]) <= PUSHED:
+            docs = docs.where(F.arrays_overlap("_labels", F.array(*[F.lit(c) for c in block["codes"]]).cast(kind)))
+        body = functools.partial(_scan, block=spark.sparkContext.broadcast(block), **options)
+        return docs.mapInArrow(lambda it: body(it), schema)
+
+    n_blocks = max(1, math.ceil(count * per_query / block_bytes))
+    if n_blocks == 1:
+        table = asked.toArrow()
+        if table.num_rows != table.group_by(list(keys)).aggregate([]).num_rows:
+            raise ValueError(repeated)
+        return rank_hits(passed(table, usable), n, keys)
+    if not asked.groupBy(*keys).count().where("count > 1").isEmpty():
+        raise ValueError(repeated)
+    uris = _blocks(asked, keys, max(1, block_bytes // per_query), n_blocks)
+    if _arrow_opens(uris[0]):
+        body = functools.partial(_scan_blocks, uris=uris, keys=tuple(keys), allowed=bool(allowed), buffer_bytes=BLOCK_BYTES, **options)
+        hits = usable.mapInArrow(lambda it: body(it), schema)
+    else:  # one pass over the documents for each block
+        parts = (spark.read.schema(asked.schema).parquet(uri).toArrow() for uri in uris)
+        hits = functools.reduce(DataFrame.unionByName, [passed(p, usable) for p in parts])
     return rank_hits(hits, n, keys)
 
 

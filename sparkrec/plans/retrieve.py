@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sparkrec.config import DEFAULTS, Params
 from sparkrec.functions.scores import dense_score
+from sparkrec.operators import bloom
 from sparkrec.operators.filters import knn_category_gate, knn_filtered, where_to_column
 from sparkrec.operators.ivf import knn_approximate
 from sparkrec.operators.knn import knn_topk
@@ -16,25 +17,23 @@ from sparkrec.operators.models import embed_texts, score_pairs
 from sparkrec.operators.rerank import apply_results, call_reranker, cut_by_score
 from sparkrec.storage import cut_lineage
 
-SLOTS = 1 << 20  # of the filter in front of the documents, at most so many rows are broadcast
-
 
 def attach_documents(hits: DataFrame, collection: DataFrame, columns: tuple[str, ...] = ("document", "meta"),
                      kept: bool = False) -> DataFrame:
-    """Texts of hits. Only documents that are hits are shuffled, however many there are.
+    """Texts of hits. Documents that are no hits are dropped where they are read.
 
-    The hash slots of the hits' ids, SLOTS at most, are broadcast and let through the
-    documents of those slots while they are read. `kept` says that `hits` is stored; else
-    it is stored here, since it is read twice.
+    A Bloom filter of the hits' ids lets under 1 % of the others through. It has 12 bits
+    for each document that is a hit, and goes to the scan up to 64 MB, or 44 million such
+    documents; beyond that the join shuffles the texts of the collection. `kept` says that
+    `hits` is stored; else it is stored here, since it is read twice.
     """
     hits = hits if kept else cut_lineage(hits, "hits")
-
-    def slot(c: str) -> Column:
-        return F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(SLOTS)).cast("int").alias("_slot")
-
-    asked = hits.select(slot("doc_id")).distinct()
-    found = collection.select("doc_id", *columns, slot("doc_id")).join(F.broadcast(asked), "_slot", "left_semi")
-    return hits.join(found.drop("_slot"), "doc_id")
+    ids = cut_lineage(hits.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "ids")
+    bits = bloom.bits_for(ids.count())
+    found = collection.select("doc_id", *columns)
+    if bits:
+        found = found.where(bloom.might_contain(bloom.build(ids, "doc_id", bits), F.col("doc_id").cast("long"), bits))
+    return hits.join(found, "doc_id")
 
 
 def with_vectors(variants: DataFrame, embed: Callable | None, params: Params = DEFAULTS,

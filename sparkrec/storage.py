@@ -2,25 +2,24 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-_made: list[list[str]] = []   # paths made inside `intermediates`, innermost last
+# Paths made inside the innermost `intermediates` of this thread: runs side by side keep
+# their own.
+_made: ContextVar[list[str] | None] = ContextVar("_made", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder. Only a session on one machine may do without: it
-    gets a temporary one."""
+    """The cluster's checkpoint folder: spark.checkpoint.dir, or what setCheckpointDir named.
+    Where neither is set, the warehouse takes its place, which executors share as well."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="sparkrec-checkpoint-")
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/.sparkrec-checkpoints"
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
@@ -32,8 +31,9 @@ def _run_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder name of this application under the shared folder."""
     path = f"{_run_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    if _made:
-        _made[-1].append(path)
+    made = _made.get()
+    if made is not None:
+        made.append(path)
     return path
 
 
@@ -58,12 +58,14 @@ def release(spark: SparkSession) -> None:
 @contextmanager
 def intermediates(spark: SparkSession) -> Iterator[None]:
     """Intermediate tables made inside are deleted at the end; what shall outlast them
-    must have been written by then."""
-    _made.append([])
+    must have been written by then. Blocks may be nested, and threads may have one each."""
+    made: list[str] = []
+    token = _made.set(made)
     try:
         yield
     finally:
-        for path in _made.pop():
+        _made.reset(token)
+        for path in made:
             delete_path(spark, path)
 
 
