@@ -27,7 +27,7 @@ LOWEST = 80              # per cent of the positive's score
 SAMPLE = 2000            # rows for the cells and for the first bounds
 CELLS = 64
 BLOCK = 65_536           # rows of a tree, about
-LEAF = 256
+LEAF = 512               # rows kept by a leaf at most
 FAN = 32                 # children of a node at most
 LIMIT = 1 << 20          # of a component, so that inner products are exact in double
 NONE = 1 << 62
@@ -82,7 +82,8 @@ def _reach(radius: np.ndarray, length: float | np.ndarray, norm2: float) -> np.n
 
 class CoverTree:
     """Levels of nested nets. Each node's centre is the centre of one of its children; the
-    others follow by farthest point until half its radius is covered, or FAN are taken. A
+    others follow by farthest point until half its radius is covered, or there are FAN, or
+    one for half a leaf of rows. A
     node of at most LEAF rows, or of copies alone, keeps its rows."""
 
     def __init__(self, rows: np.ndarray, ids: np.ndarray, labels: np.ndarray, norm2: float):
@@ -103,7 +104,8 @@ class CoverTree:
                 order.append(members)
                 filled += len(members)
                 continue
-            centres, owner, distance = net(points[members], centre, norm2, FAN, near.max() / 2)
+            most = min(FAN, 2 * len(members) // LEAF + 1)
+            centres, owner, distance = net(points[members], centre, norm2, most, near.max() / 2)
             children, radius = [], []
             for k, c in enumerate(centres):
                 mine = np.flatnonzero(owner == k)
@@ -144,8 +146,12 @@ class CoverTree:
                     heapq.heappush(heap, (-(scores[i] + reach[i]), scores[i] - reach[i], int(at[i])))
                 continue
             a, b = node
-            scores, ids = self.rows[a:b] @ q, self.ids[a:b]
-            fit = ((self.labels[a:b] == label) & (ids != own)) if same else self.labels[a:b] != label
+            scores = self.rows[a:b] @ q
+            near = np.flatnonzero((scores >= floors.min()) & (scores <= highs.max()))
+            if not len(near):
+                continue
+            scores, ids, held = scores[near], self.ids[a:b][near], self.labels[a:b][near]
+            fit = (held == label) & (ids != own) if same else held != label
             for w in range(len(windows)):
                 hit = np.flatnonzero(fit & (scores >= floors[w]) & (scores <= highs[w]))
                 if len(hit):
