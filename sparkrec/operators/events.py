@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from sparkrec import constants as K, schemas
 
@@ -64,14 +64,20 @@ def fold_chunks(events: DataFrame) -> DataFrame:
         .alias("generated_response"))
 
 
-def session_status(events: DataFrame) -> DataFrame:
-    """Progress message, status, totals and error of each query after all events."""
-    kind, seq = F.col("type"), F.col("seq")
-    message = (
+def progress_message() -> Column:
+    """What an event shows as progress; null if it leaves what is shown."""
+    kind = F.col("type")
+    return (
         F.when(kind == "progress", F.coalesce("message", F.lit("")))
         .when(kind == "chunk_start", F.format_string(K.MSG_CHUNK_START, "chunk_index"))
         .when(kind == "chunk_end", F.format_string(K.MSG_CHUNK_END, "chunk_index"))
         .when(kind == "complete", F.lit("")))
+
+
+def session_status(events: DataFrame) -> DataFrame:
+    """Progress message, status, totals and error of each query after all events."""
+    kind, seq = F.col("type"), F.col("seq")
+    message = progress_message()
     at = lambda *kinds: F.when(kind.isin(*kinds), seq)
     return events.groupBy("query_id").agg(
         F.max_by(message, F.when(message.isNotNull(), seq)).alias("progress_message"),

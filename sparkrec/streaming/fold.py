@@ -5,21 +5,24 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Row, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from sparkrec import schemas
-from sparkrec.operators.events import session_status
+from sparkrec.operators.events import join_tokens, progress_message
 
 _DOCS_JSON = "docs_json"
+_TOKENS = T.ArrayType(T.StructType([T.StructField("seq", T.LongType()), T.StructField("token", T.StringType())]))
 OUT = T.StructType([
     T.StructField("query_id", T.LongType()),
     T.StructField("chunk_index", T.IntegerType()),
     T.StructField("last_seq", T.LongType()),
     T.StructField("version", T.LongType()),
+    T.StructField("from_seq", T.LongType()),
     T.StructField("num_docs_in_chunk", T.IntegerType()),
     T.StructField(_DOCS_JSON, T.StringType()),
-    T.StructField("generated_response", T.StringType()),
+    T.StructField("end_text", T.StringType()),
+    T.StructField("tokens", _TOKENS),
 ])
 _BOUNDS = T.StructType([
     T.StructField("version", T.LongType()),
@@ -31,18 +34,42 @@ _BOUNDS = T.StructType([
     T.StructField("end_docs", T.StringType()),
     T.StructField("end_text", T.StringType()),
 ])
+_STATUS = T.StructType([
+    T.StructField("message_seq", T.LongType()),
+    T.StructField("progress_message", T.StringType()),
+    T.StructField("final_seq", T.LongType()),
+    T.StructField("status", T.StringType()),
+    T.StructField("complete_seq", T.LongType()),
+    T.StructField("total_docs_retrieved", T.LongType()),
+    T.StructField("num_chunks", T.IntegerType()),
+    T.StructField("error_seq", T.LongType()),
+    T.StructField("error", T.StringType()),
+])
+STATUS_OUT = T.StructType([
+    T.StructField("query_id", T.LongType()),
+    *[_STATUS[c] for c in ("progress_message", "status", "total_docs_retrieved", "num_chunks", "error")],
+])
 
 
 def _int(v):
     return None if v is None or pd.isna(v) else int(v)
 
 
+def _due(handle: StatefulProcessorHandle, at: int) -> None:
+    """One timer, at the latest time asked for so far."""
+    for timer in list(handle.listTimers()):
+        at = max(at, timer)
+        handle.deleteTimer(timer)
+    handle.registerTimer(at)
+
+
 class ChunkFold(StatefulProcessor):
-    """State of one chunk: its first start, its last end, and the tokens since.
+    """State of one chunk: its first start and its last end.
 
-    Events may come in any order and more than once: what counts is seq. Tokens
-    that an end has replaced are forgotten. A chunk whose last event lies `idle_ms`
-    behind the watermark is forgotten as a whole.
+    Events may come in any order and more than once: what counts is seq. Tokens pass
+    through to the segment of their micro-batch and are not kept, but for those an end has
+    replaced: these go. So the work of a micro-batch follows its own events, however long
+    the text is. A chunk whose last event lies `idle_ms` behind the watermark is forgotten.
     """
 
     def __init__(self, idle_ms: int):
@@ -51,12 +78,12 @@ class ChunkFold(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.bounds = handle.getValueState("bounds", _BOUNDS)
-        self.tokens = handle.getMapState("tokens", "seq long", "token string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         held = self.bounds.get() if self.bounds.exists() else (0, 0, None, None, None, None, None, None)
         version, last, start, start_n, end, end_n, end_docs, end_text = held
         newest = timerValues.getCurrentWatermarkInMs()
+        new = []
         for frame in rows:
             for row in frame.itertuples(index=False):
                 seq = int(row.seq)
@@ -68,36 +95,25 @@ class ChunkFold(StatefulProcessor):
                     end, end_n = seq, _int(row.num_docs_in_chunk)
                     end_docs, end_text = row.docs_json, row.generated_response
                 elif row.type == "chunk_token":
-                    self.tokens.updateValue((seq,), (row.token,))
+                    new.append((seq, row.token))
         version += 1
         self.bounds.update((version, last, start, start_n, end, end_n, end_docs, end_text))
-        due = newest + self.idle_ms
-        for timer in list(self.handle.listTimers()):
-            due = max(due, timer)
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(due)
-        if start is None:
-            return
-        ended = end is not None and end > start
+        _due(self.handle, newest + self.idle_ms)
+        # A start may still come, or a smaller one; ends only grow.
+        ended = start is not None and end is not None and end > start
         first = end if ended else start
-        kept = []
-        for (seq,), (token,) in list(self.tokens.iterator()):
-            if seq > first:
-                kept.append((seq, token))
-            elif ended:
-                self.tokens.removeKey((seq,))
-        text = "".join(token for _, token in sorted(kept))
+        if ended:
+            new = [(seq, text) for seq, text in new if seq > end]
         yield pd.DataFrame({
             "query_id": [key[0]], "chunk_index": pd.array([key[1]], dtype="int32"), "last_seq": [last],
-            "version": [version],
+            "version": [version], "from_seq": pd.array([first], dtype="Int64"),
             "num_docs_in_chunk": pd.array([end_n if ended else start_n], dtype="Int32"),
-            _DOCS_JSON: [end_docs if ended else None],
-            "generated_response": [((end_text or "") if ended else "") + text],
+            _DOCS_JSON: [end_docs if ended else None], "end_text": [end_text if ended else None],
+            "tokens": [[{"seq": seq, "token": token} for seq, token in sorted(new)]],
         })
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.bounds.clear()
-        self.tokens.clear()
         return iter(())
 
     def close(self) -> None:
@@ -106,10 +122,11 @@ class ChunkFold(StatefulProcessor):
 
 def fold_chunks_stream(events: DataFrame, delay: str = "10 minutes", idle_seconds: int = 3600
                        ) -> DataFrame:
-    """Running fold of a stream of events: a row per changed chunk and micro-batch,
-    (last_seq, version) rising. Events may come up to `delay` late. Needs the RocksDB state
-    store. Event time drives the timers: with processing time, a run over what is
-    available would never come to an end."""
+    """Running fold of a stream of events: a row per changed chunk and micro-batch, with its
+    bounds so far and the tokens that are new; (last_seq, version) rises. from_seq is null
+    before there is a start; tokens up to it do not count, and are replaced by end_text. `latest_chunks` puts the rows together. Events may
+    come up to `delay` late. Needs the RocksDB state store. Event time drives the timers:
+    with processing time, a run over what is available would never come to an end."""
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
     rows = timed.where(F.col("type").isin("chunk_start", "chunk_token", "chunk_end")).select(
         "query_id", "chunk_index", "ts", F.unix_millis("ts").alias("ms"), "seq", "type", "num_docs_in_chunk", "token",
@@ -123,14 +140,76 @@ def fold_chunks_stream(events: DataFrame, delay: str = "10 minutes", idle_second
 
 
 def latest_chunks(updates: DataFrame) -> DataFrame:
-    """Current state out of stored updates: that of the newest event, and of these the
-    highest version. Versions start anew when an idle chunk was forgotten."""
-    rest = [c for c in updates.columns if c not in ("query_id", "chunk_index")]
-    return updates.groupBy("query_id", "chunk_index").agg(
-        F.max_by(F.struct(*rest), F.struct("last_seq", "version")).alias("_s")).select(
-        "query_id", "chunk_index", *[F.col(f"_s.{c}") for c in rest if c not in ("version", "last_seq")])
+    """Current state out of stored updates. The bounds are those of the newest event, and of
+    these the highest version (versions start anew when an idle chunk was forgotten); the
+    text is the end's, and the tokens of all segments behind it, each once."""
+    key = ["query_id", "chunk_index"]
+    rest = ["from_seq", "num_docs_in_chunk", "docs", "end_text"]
+    bounds = updates.where("from_seq IS NOT NULL").groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct("last_seq", "version")).alias("_s")).select(*key, "_s.*")
+    tokens = updates.select(*key, F.inline("tokens")).join(bounds.select(*key, "from_seq"), key).where("seq > from_seq")
+    once = tokens.groupBy(*key, "seq").agg(F.any_value("token").alias("token"))
+    text = join_tokens(once, key, "_later")
+    return bounds.join(text, key, "left").select(
+        *key, "num_docs_in_chunk", "docs",
+        F.concat(F.coalesce("end_text", F.lit("")), F.coalesce("_later", F.lit(""))).alias("generated_response"))
+
+
+class SessionStatus(StatefulProcessor):
+    """State of one query: its newest message, its newest end, and what ends told.
+
+    `keep_ms` after a query was complete or failed, or `idle_ms` after its last event, the
+    state ends.
+    """
+
+    def __init__(self, keep_ms: int, idle_ms: int):
+        self.keep_ms, self.idle_ms = keep_ms, idle_ms
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("status", _STATUS)
 
-def session_status_stream(events: DataFrame) -> DataFrame:
-    """Running status per query; the aggregates are the batch ones."""
-    return session_status(events)
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held = self.state.get() if self.state.exists() else (None, None, None, "loading", None, None, None, None, None)
+        said, message, final, status, complete, total, chunks, failed, error = held
+        newest = timerValues.getCurrentWatermarkInMs()
+        for frame in rows:
+            for row in frame.itertuples(index=False):
+                seq = int(row.seq)
+                newest = max(newest, int(row.ms))
+                if row.shown is not None and (said is None or seq > said):
+                    said, message = seq, row.shown
+                if row.type in ("complete", "error") and (final is None or seq > final):
+                    final, status = seq, "success" if row.type == "complete" else "error"
+                if row.type == "complete" and (complete is None or seq > complete):
+                    complete, total, chunks = seq, _int(row.total_docs_retrieved), _int(row.num_chunks)
+                if row.type == "error" and (failed is None or seq > failed):
+                    failed, error = seq, row.message
+        self.state.update((said, message, final, status, complete, total, chunks, failed, error))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(newest + (self.idle_ms if final is None else self.keep_ms))
+        yield pd.DataFrame({
+            "query_id": [key[0]], "progress_message": [message], "status": [status],
+            "total_docs_retrieved": pd.array([total], dtype="Int64"), "num_chunks": pd.array([chunks], dtype="Int32"), "error": [error]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def session_status_stream(events: DataFrame, delay: str = "10 minutes", keep_seconds: int = 600, idle_seconds: int = 86_400
+                          ) -> DataFrame:
+    """Running status per query: a row per changed query and micro-batch, the last of which
+    is what `session_status` gives for its events. Events may come up to `delay` late. The
+    state of a query ends `keep_seconds` after it was complete or failed, and
+    `idle_seconds` after its last event if it never was. Needs the RocksDB state store."""
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+    shown: Column = progress_message()
+    rows = timed.select("query_id", "ts", F.unix_millis("ts").alias("ms"), "seq", "type", shown.alias("shown"), "message",
+                        "total_docs_retrieved", "num_chunks")
+    return rows.groupBy("query_id").transformWithStateInPandas(
+        statefulProcessor=SessionStatus(keep_seconds * 1000, idle_seconds * 1000), outputStructType=STATUS_OUT,
+        outputMode="Update", timeMode="EventTime")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sparkrec import schemas
 from sparkrec.operators import events as ev
 from sparkrec.sources import sse
-from sparkrec.streaming.fold import fold_chunks_stream, latest_chunks
+from sparkrec.streaming.fold import fold_chunks_stream, latest_chunks, session_status_stream
 from sparkrec.streaming.reuse import drop_repeats, ttl_reuse_stream
 from sparkrec.streaming.serve import STATE_STORE, append_batches, recommend_stream
 
@@ -146,6 +146,59 @@ def test_streaming_fold_of_any_split_equals_the_batch_fold(spark, tmp_path):
     stored = spark.read.schema(out.schema).option("recursiveFileLookup", "true").parquet(str(tmp_path / "out"))
     assert stored.agg(F.max("version")).first()[0] == 3
     assert folded(latest_chunks(stored)) == plain_fold(rows)
+    assert folded(latest_chunks(stored.union(stored))) == plain_fold(rows)  # a repeated update changes nothing
+
+
+def test_a_batch_emits_its_own_tokens_only(spark, tmp_path):
+    """A long text grows by what is new; an end replaces it."""
+    spark.conf.set(*STATE_STORE)
+    batches = [[token(1, 2, 1, "early ")], [start(1, 1, 1)], *[[token(1, 10 + i, 1, f"t{i} ")] for i in range(4)],
+               [end(1, 20, 1, "whole")], [token(1, 21, 1, " more")]]
+    timed = lambda part: table(spark, part).withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("seq")))
+    stream = stream_of(spark, tmp_path, [timed(b) for b in batches], schemas.EVENTS)
+    out = fold_chunks_stream(stream, delay="1 hour")
+    query = append_batches(out, str(tmp_path / "out"), str(tmp_path / "state"), mode="update")
+    query.awaitTermination(200)
+    assert query.exception() is None
+    stored = spark.read.schema(out.schema).option("recursiveFileLookup", "true").parquet(str(tmp_path / "out"))
+    rows = {r.version: "".join(t.token for t in r.tokens) for r in stored.collect()}
+    assert rows == {1: "early ", 2: "", 3: "t0 ", 4: "t1 ", 5: "t2 ", 6: "t3 ", 7: "", 8: " more"}
+    state = [s for s in query.lastProgress["stateOperators"]][0]
+    assert state["numRowsTotal"] <= 3  # bounds and a timer, no tokens
+    assert folded(latest_chunks(stored)) == plain_fold([r for b in batches for r in b])
+    assert folded(latest_chunks(stored.where("version < 7")))[(1, 1)][2] == "early t0 t1 t2 t3 "
+
+
+def test_status_state_ends(spark, tmp_path):
+    """Complete and failed queries leave the state once the watermark is past their time."""
+    spark.conf.set(*STATE_STORE)
+    ended = [dict(query_id=q, seq=1, type="progress", message="m", step="s", status="start") for q in range(20)]
+    ended += [dict(query_id=q, seq=2, type="complete" if q % 2 else "error", message="bad", total_docs_retrieved=3, num_chunks=1) for q in range(20)]
+    at = lambda part, s: table(spark, part).withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000 + s)))
+    last = [dict(query_id=99, seq=1, type="complete", total_docs_retrieved=1, num_chunks=1)]
+    stream = stream_of(spark, tmp_path, [at(ended, 0), at(last, 5000), at(last, 10_000)], schemas.EVENTS)
+    out = session_status_stream(stream, delay="10 seconds", keep_seconds=60)
+    query = append_batches(out, str(tmp_path / "out"), str(tmp_path / "state"), mode="update")
+    query.awaitTermination(200)
+    assert query.exception() is None
+    sizes = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert max(sizes) >= 20 and sizes[-1] == 1  # the last one alone
+    rows = spark.read.option("recursiveFileLookup", "true").parquet(str(tmp_path / "out")).where("query_id < 20").collect()
+    want = {r.query_id: tuple(r)[1:] for r in ev.session_status(at(ended, 0)).collect()}
+    assert {r.query_id: tuple(r)[1:] for r in rows} == want
+
+
+def test_late_requests_go_to_their_own_table(spark, tmp_path):
+    spark.conf.set(*STATE_STORE)
+    df = spark.createDataFrame([("k", 0, 0), ("k", 1000, 1), ("j", 5000, 2), ("k", 10, 3), ("k", 5001, 4)], "cache_key string, s long, request_id long")
+    df = df.withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("s"))).drop("s")
+    stream = stream_of(spark, tmp_path, [df.where("request_id < 2"), df.where("request_id = 2"), df.where("request_id > 2")], df.schema)
+    query = append_batches(ttl_reuse_stream(stream, 300), str(tmp_path / "out"), str(tmp_path / "state"), late_path=str(tmp_path / "late"))
+    query.awaitTermination(120)
+    assert query.exception() is None
+    read = lambda n: spark.read.option("recursiveFileLookup", "true").parquet(str(tmp_path / n))
+    assert sorted(r.request_id for r in read("out").where("computed").collect()) == [0, 1, 2, 4]
+    assert [tuple(r) for r in read("late").collect()] == [("k", 3, None, None)]
 
 
 def test_streaming_reuse_over_micro_batches(spark, tmp_path):

@@ -134,12 +134,13 @@ def test_intermediate_tables_are_shared_and_go(spark):
     assert not os.path.exists(outer.inputFiles()[0].removeprefix("file://"))
 
 
-def test_a_cluster_needs_its_folder():
+def test_without_a_checkpoint_folder_the_warehouse_serves():
     class Session:
         class sparkContext:
-            master = "local-cluster[2,1,1024]"
-            getCheckpointDir = staticmethod(lambda: None)
+            folder = None
+            getCheckpointDir = classmethod(lambda cls: cls.folder)
+            setCheckpointDir = classmethod(lambda cls, path: setattr(cls, "folder", path))
         class conf:
-            get = staticmethod(lambda key, default: default)
-    with pytest.raises(RuntimeError):
-        storage.shared_dir(Session)
+            get = staticmethod(lambda key, default=None: "hdfs://x/warehouse" if key == "spark.sql.warehouse.dir" else default)
+    assert storage.shared_dir(Session).startswith("hdfs://x/warehouse/")
+    assert Session.sparkContext.folder == storage.shared_dir(Session)

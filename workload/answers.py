@@ -172,9 +172,13 @@ def run_event_log(spark, sf):
     """The event log a run makes, without its wall times."""
     run = run_pipeline(questions(spark, sf), collection(spark, sf), stand_in_answer, Params(top_k=5),
                        variants=variants(spark, sf))
-    return run_events(run).select("query_id", "seq", "type", "step", "status", "message", "count",
-                                  "num_chunks", "chunk_index", "num_docs_in_chunk",
-                                  F.size("docs").alias("n_docs"), "total_docs_retrieved", "chunk_size")
+    return shown_events(run_events(run))
+
+
+def shown_events(log):
+    return log.select("query_id", "seq", "type", "step", "status", "message", "count",
+                      "num_chunks", "chunk_index", "num_docs_in_chunk",
+                      F.size("docs").alias("n_docs"), "total_docs_retrieved", "chunk_size")
 
 
 _SQL_EVENTS = _SQL_RUN + f""",
