@@ -1,278 +1,233 @@
-"""Removal of repeated runs of lines: all of them (`dedup_runs`), or those that a rolling hash
-over line hashes cuts as chunks (`dedup_lines`).
+"""Removal of repeated runs of lines. A rolling hash over line hashes cuts texts into chunks
+of lines; chunks whose first lines occur more than once propose; lines go after a
+comparison of bytes with their first occurrence, line by line to both sides.
 
 Column expressions and joins only.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sparkrec.llm.common import discard, stored
 
-# A line goes to a line break or the end of a sentence; the first look back is the cheap one.
-LINE_END = r"(?<=[\n ])(?<=\n|[.!?] )"
-SPREAD = 2                     # one line in so many ends a chunk
 RUN_WORDS = 10                 # a run of two lines or more counts from so many words on
-PASSAGE_WORDS = 50             # a single line counts, and is a chunk of its own, from so many on
+PASSAGE_WORDS = 50             # a single line counts from so many on
+LONG_LINE = 150                # bytes from which a line may have so many words, and is a chunk of its own
+HOT_HASHES = 10_000            # at most so many hashes have so great a part of all chunks each
+SALTED = 5_000                 # copies of a chunk that meet its first occurrence in one place
 
+MARK = "\u0001"
+LINE_END = r"(?<=[\n ])(?<=\n|[.!?] )"
+SPACE = r"\t-\r\x1c- \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+FIRST_LETTERS = rf"([^{SPACE}])[^{SPACE}]*+[{SPACE}]*+|[{SPACE}]++"
+NO_ID = -(1 << 63)
 
-def _words(text: Column) -> Column:
-    """Blanks and one more: cheap, and enough to tell long lines from short ones."""
-    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(" "), F.lit(""))) + 1
 
+def spaced_words(text: Column) -> Column:
+    """Maximal runs without white space."""
+    return F.length(F.regexp_replace(text, FIRST_LETTERS, "$1"))
 
-def _rotated(x: Column, by: int) -> Column:
-    return F.shiftleft(x, by).bitwiseOR(F.shiftrightunsigned(x, 64 - by))
 
+def lines_of(text: Column) -> Column:
+    """Lines with their ends, so that they join to the text: up to a line break or the end of
+    a sentence; empty lines belong to the one before. The ends are marked and split at the
+    mark, which is cheaper than a pattern; texts that hold the mark itself take the pattern."""
+    marked = text
+    for end in ("\n", ". ", "! ", "? "):
+        marked = F.replace(marked, F.lit(end), F.lit(end + MARK))
+    for empty in ("\r\n", "\n"):
+        marked = F.replace(marked, F.lit(MARK + empty), F.lit(empty))
+    return F.when(F.contains(text, F.lit(MARK)), F.split(text, LINE_END, -1)).otherwise(F.split(marked, MARK, -1))
 
-def with_chunks(docs: DataFrame, text: Column) -> DataFrame:
-    """Adds _lines (with their ends, so that they join to the text) and _ends: the number
-    of the last line of each chunk.
 
-    A cyclic polynomial over the hashes of a line and the one before decides whether a
-    chunk ends, so lines that come or go elsewhere move no boundary but the next one.
-    Around a line of PASSAGE_WORDS or more there always is a boundary.
-    """
-    cut = docs.withColumn("_lines", F.split(text, LINE_END, -1))
-    cut = cut.withColumn("_marks", F.transform("_lines", lambda x: F.struct(
-        F.xxhash64(x).alias("h"), (_words(x) >= PASSAGE_WORDS).alias("long"))))
-    last = F.size("_lines") - 1
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with `value` computed once, also where a lambda of the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    def ends(i: Column) -> Column:
-        own, after = F.get("_marks", i), F.get("_marks", i + 1)
-        rolled = own["h"].bitwiseXOR(_rotated(F.coalesce(F.get("_marks", i - 1)["h"], F.lit(0).cast("long")), 1))
-        return (i == last) | own["long"] | F.coalesce(after["long"], F.lit(False)) | (F.pmod(rolled, F.lit(SPREAD)) == 0)
 
-    return cut.withColumn("_ends", F.filter(F.sequence(F.lit(0), last), ends)).drop("_marks")
+def _bare(line: Column) -> Column:
+    return F.rtrim(line, F.lit(" \n\r\t"))
 
 
-def chunk_text(lines: str, ends: str, no: Column) -> Column:
-    start = F.when(no == 0, 0).otherwise(F.get(ends, no - 1) + 1)
-    return F.array_join(F.slice(lines, start + 1, F.get(ends, no) - start + 1), "")
+def _hashes(lines: Column) -> Column:
+    """Hashes of the bare lines; the lowest bit says that a line is long."""
+    def one(line: Column) -> Column:
+        return F.shiftleft(F.shiftright(F.xxhash64(_bare(line)), 1), 1).bitwiseOR((F.octet_length(line) >= LONG_LINE).cast("long"))
 
+    return F.transform(lines, one)
 
-def _chunks(docs: DataFrame) -> Column:
-    """no, h, lines and words of each chunk of `with_chunks`."""
-    def one(end: Column, no: Column) -> Column:
-        start = F.when(no == 0, 0).otherwise(F.get("_ends", no - 1) + 1)
-        text = F.array_join(F.slice("_lines", start + 1, end - start + 1), "")
-        return F.struct(no.alias("no"), F.xxhash64(text).alias("h"), (end - start + 1).alias("lines"),
-                        _words(text).alias("words"))
 
-    return F.transform("_ends", one)
+def _empty() -> Column:
+    """The hash of a line without anything."""
+    return F.shiftleft(F.shiftright(F.xxhash64(F.lit("")), 1), 1)
 
 
-def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with the text of `text_col` less its repeated chunks, and removed_chunks,
-    removed_chars (both 0 where the text stays as it was).
-
-    A chunk counts if it has PASSAGE_WORDS words, or two lines and RUN_WORDS words. Of
-    chunks with equal bytes anywhere in the table the first one stays: smallest id, then
-    smallest hash of the text, then place. Hashes only propose; a chunk goes after its
-    bytes were compared with those of the first. Hashes and places are shuffled for all
-    documents, texts once by document; the texts of proposed chunks meet on their hash,
-    where the first is one row, so that adaptive execution can split a hot one's copies.
-
-    A null or empty text stays. A null id is smaller than all others. Repeated rows are
-    one document and stay alike. A document of which everything is repeated becomes
-    empty. Other columns are kept; an empty table gives no rows.
-    """
-    spark = docs.sparkSession
-    columns = docs.columns
-    key = F.xxhash64(F.col(id_col).cast("long"), text_col)
-    keyed = docs.withColumn("_key", key)
-    rows = keyed.where(F.length(text_col) > 0).select(F.col(id_col).cast("long").alias("id"), F.col("_key").alias("key"),
-                                                      F.col(text_col).alias("text"))
-    cut = with_chunks(rows, F.col("text"))
-    many = (F.col("c.words") >= PASSAGE_WORDS) | ((F.col("c.lines") > 1) & (F.col("c.words") >= RUN_WORDS))
-    index = stored(cut.select("id", "key", F.explode(_chunks(cut)).alias("c")).where(many)
-                   .select(F.col("c.h").alias("h"), "id", "key", F.col("c.no").alias("no")), "chunks")
-    repeated = index.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("id", "key", "no")).alias("first")).where("n > 1")
-    proposed = index.join(repeated, "h").select(
-        "key", F.struct("no", "h", (F.struct("id", "key", "no") == F.col("first")).alias("first")).alias("c"))
-    marks = proposed.groupBy("key").agg(F.collect_set("c").alias("_proposed")).withColumnRenamed("key", "_key")
-    marked = stored(keyed.join(marks.hint("shuffle_hash"), "_key", "left"), "marked")
-
-    cut = with_chunks(marked.where("_proposed IS NOT NULL"), F.col(text_col))
-    texts = cut.select("_key", F.explode("_proposed").alias("c"), "_lines", "_ends").select(
-        "_key", "c.no", "c.h", "c.first", chunk_text("_lines", "_ends", F.col("c.no")).alias("bytes"))
-    first = texts.where("first").select("h", F.col("bytes").alias("kept")).dropDuplicates(["h"])
-    verified = (texts.where("NOT first").join(first, "h").where(F.col("bytes") == F.col("kept"))
-                .groupBy("_key").agg(F.collect_set("no").alias("_removed")))
-    verified = stored(verified, "removed")
-
-    done = marked.join(verified.hint("shuffle_hash"), "_key", "left")
-    changed = with_chunks(done, F.when(F.col("_removed").isNotNull(), F.col(text_col)))
-    stay = F.array_except(F.sequence(F.lit(0), F.size("_ends") - 1), "_removed")
-    new = F.array_join(F.transform(stay, lambda no: chunk_text("_lines", "_ends", no)), "")
-    text = F.when(F.col("_removed").isNull(), F.col(text_col)).otherwise(new)
-    out = changed.withColumn("_new", text).select(
-        *[F.col("_new").alias(c) if c == text_col else F.col(c) for c in columns],
-        F.coalesce(F.size("_removed"), F.lit(0)).alias("removed_chunks"),
-        F.coalesce(F.length(text_col) - F.length("_new"), F.lit(0)).alias("removed_chars"))
-    discard(spark, index)
-    return out
+def _rolled(first: Column, second: Column) -> Column:
+    """A cyclic polynomial over the hashes of two lines."""
+    return F.shiftleft(first, 1).bitwiseOR(F.shiftrightunsigned(first, 63)).bitwiseXOR(second)
 
 
-# --- all runs ---------------------------------------------------------------------------
+def _starts(hashes: Column) -> Column:
+    """Numbers of the lines that begin a chunk: every second one, as the rolling hash over it
+    and the next one says, and every long line. Lines that come or go elsewhere move no start
+    but that of the line before them."""
+    def begins(i: Column) -> Column:
+        own, after = F.get(hashes, i), F.get(hashes, i + 1)
+        pair = (_rolled(own, after).bitwiseAND(F.lit(8)) == 0) & (own != _empty()) & (after != _empty())
+        return (own.bitwiseAND(F.lit(1)) == 1) | F.coalesce(pair, F.lit(False))
 
-SPACE = r"\t-\r\x1c- \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-# Lines without words belong to the line before them; only a text's first one stands alone.
-RUN_END = LINE_END + rf"(?![{SPACE}&&[^\n]]*(?:\n|\z))"
-FIRST_LETTERS = rf"([^{SPACE}])[^{SPACE}]*+[{SPACE}]*+|[{SPACE}]++"
-PLACES = 16                    # a shortest run has at most so many lines: each has a word
+    return F.filter(F.sequence(F.lit(0), F.size(hashes) - 1), begins)
 
 
-def _bare(line: Column) -> Column:
-    return F.rtrim(line, F.lit(" \n\r\t"))
+def _chunk_key(hashes: Column, i: Column) -> Column:
+    """What proposes a chunk: a long line, or the first two lines."""
+    own = F.get(hashes, i)
+    return F.when(own.bitwiseAND(F.lit(1)) == 1, own).otherwise(F.xxhash64(own, F.get(hashes, i + 1)))
 
 
-def spaced_words(text: Column) -> Column:
-    """Maximal runs without white space."""
-    return F.length(F.regexp_replace(text, FIRST_LETTERS, "$1"))
-
+def chunk_keys(text: Column) -> Column:
+    """h and at (number of its first line) of each chunk."""
+    return _let(_hashes(lines_of(text)), lambda hashes: F.transform(
+        _starts(hashes), lambda i: F.struct(_chunk_key(hashes, i).alias("h"), i.alias("at"))))
 
-def _let(value: Column, body) -> Column:
-    """body(value) with `value` computed once, also where a lambda of the body uses it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
 
+def _segment(lines: Column, starts: Column, at: Column) -> Column:
+    """What a chunk is compared in: the bare lines behind the start before it, and those up to
+    the next start. Whatever a repeated run has beyond these, other chunks propose."""
+    k = F.array_position(starts, at).cast("int") - 1
+    first = F.coalesce(F.get(starts, k - 1) + 1, F.lit(0))
+    last = F.coalesce(F.get(starts, k + 1), F.size(lines) - 1)
+    return F.struct(F.transform(F.reverse(F.slice(lines, first + 1, at - first)), _bare).alias("back"),
+                    F.transform(F.slice(lines, at + 1, last - at + 1), _bare).alias("fore"))
 
-def _runs(text: Column) -> Column:
-    """at (first line * PLACES + lines after it) and h of the shortest runs of lines that
-    count, from each line forward and from each line backward.
-
-    Each line of a longer run that counts is in a shortest one within it, and what is
-    a shortest one depends on its own lines only: a repeated run shows as repeated
-    shortest runs wherever it stands.
-    """
-    marks = F.transform(F.split(text, RUN_END, -1), lambda x: F.struct(F.xxhash64(_bare(x)).alias("h"), spaced_words(x).alias("n")))
-    none = F.array().cast("array<struct<at:bigint,h:bigint>>")
 
+def segments(text: Column, wanted: str) -> Column:
+    """The places of `wanted` (structs with `at`), each with its segment `s`."""
     def of_lines(lines: Column) -> Column:
-        """`lines`: h and n of each line."""
-        last = F.size(lines) - 1
-        hashes, words = F.transform(lines, lambda x: x["h"]), F.flatten(F.transform(lines, lambda x, i: F.array_repeat(i, x["n"])))
-
-        def of_words(line_of: Column) -> Column:
-            """`line_of`: the line of each word."""
-            def first(p: Column) -> Column:
-                """The shortest run from word p, which begins a line, on; b is null if there is none."""
-                i, tenth = F.get(line_of, p), F.get(line_of, p + (RUN_WORDS - 1))
-                return F.struct(i.alias("a"), F.when(F.get(lines, i)["n"] >= PASSAGE_WORDS, i).when(
-                    tenth.isNotNull() & (i < last), F.greatest(i + 1, tenth)).alias("b"))
-
-            starts = F.filter(F.sequence(F.lit(0), F.size(line_of) - 1),
-                              lambda p: (p == 0) | (F.get(line_of, p) != F.get(line_of, p - 1)))
-            return _let(hashes, lambda h: _let(F.filter(F.transform(starts, first), lambda x: x["b"].isNotNull()),
-                                               lambda runs: F.flatten(F.transform(runs, lambda x, k: spread(h, runs, x, k)))))
+        return _let(_starts(_hashes(lines)), lambda starts: F.transform(
+            wanted, lambda w: w.withField("s", _segment(lines, starts, w["at"]))))
 
-        def spread(h: Column, runs: Column, x: Column, k: Column) -> Column:
-            until = F.coalesce(F.get(runs, k + 1)["b"] - 1, last)
-            return F.transform(F.sequence(x["b"], F.greatest(x["b"], until)), lambda b: F.struct(
-                (x["a"].cast("long") * PLACES + b - x["a"]).alias("at"), F.xxhash64(F.slice(h, x["a"] + 1, b - x["a"] + 1)).alias("h")))
+    return _let(lines_of(text), of_lines)
 
-        return _let(words, lambda w: F.when(F.size(w) > 0, of_words(w)).otherwise(none))
 
-    return _let(marks, of_lines)
+def _same(a: Column, b: Column) -> Column:
+    """How many lines two lists have in common from the first on."""
+    differs = F.array_position(F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False))), False)
+    return F.when(differs > 0, differs - 1).otherwise(F.size(a)).cast("int")
 
 
-def _segments(proposed: str) -> Column:
-    """line, lines, src, src_line of the runs that the proposals (at, src, src_at) of a
-    document make up; each line once."""
-    def each(x: Column) -> Column:
-        a, b = F.floor(x["at"] / PLACES).cast("int"), F.floor(x["src_at"] / PLACES).cast("int")
-        return F.transform(F.sequence(F.lit(0), F.pmod(x["at"], F.lit(PLACES)).cast("int")), lambda o: F.struct(
-            (a + o).alias("line"), x["src"].alias("src"), (b + o).alias("src_line")))
+def islands(gone: str) -> Column:
+    """first and last of the unbroken pieces of a set of line numbers."""
+    def of_sorted(numbers: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(0), F.size(numbers) - 1), lambda i: (i == 0) | (F.get(numbers, i) != F.get(numbers, i - 1) + 1))
+        return _let(begins, lambda b: F.transform(b, lambda i, k: F.struct(
+            F.get(numbers, i).alias("first"), F.get(numbers, F.coalesce(F.get(b, k + 1), F.size(numbers)) - 1).alias("last"))))
 
-    return F.array_sort(F.flatten(F.transform(proposed, each)))
+    return _let(F.array_sort(F.array_distinct(F.flatten(F.transform(gone, lambda g: F.sequence(g["first"], g["last"]))))), of_sorted)
 
 
-def _islands(proposed: str) -> Column:
-    """src, src_line, lines, line: the proposed lines, once each, in unbroken pieces."""
-    def once(lines: Column) -> Column:
-        return F.filter(lines, lambda x, i: (i == 0) | (x["line"] != F.get(lines, i - 1)["line"]))
-
-    def pieces(lines: Column) -> Column:
-        def begins(i: Column) -> Column:
-            x, y = F.get(lines, i), F.get(lines, i - 1)
-            return (i == 0) | (x["line"] != y["line"] + 1) | (x["src"] != y["src"]) | (x["src_line"] != y["src_line"] + 1)
+def _without(text: Column, gone: str) -> Column:
+    """text and pieces: the text less those unbroken pieces of `gone` that count."""
+    def of_lines(lines: Column) -> Column:
+        def counts(p: Column) -> Column:
+            own = F.slice(lines, p["first"] + 1, p["last"] - p["first"] + 1)
+            words, full = spaced_words(F.array_join(own, "")), F.size(F.filter(own, lambda x: _bare(x) != ""))
+            return (words >= PASSAGE_WORDS) | ((full > 1) & (words >= RUN_WORDS))
 
-        def cut(begin: Column) -> Column:
-            return F.transform(begin, lambda at, k: F.struct(
-                F.get(lines, at)["src"].alias("src"), F.get(lines, at)["src_line"].alias("src_line"),
-                (F.coalesce(F.get(begin, k + 1), F.size(lines)) - at).alias("lines"), F.get(lines, at)["line"].alias("line")))
+        def cut(pieces: Column) -> Column:
+            out = F.flatten(F.transform(pieces, lambda p: F.sequence(p["first"], p["last"])))
+            stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), out)
+            return F.struct(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "").alias("text"), F.size(pieces).alias("pieces"))
 
-        return _let(F.filter(F.sequence(F.lit(0), F.size(lines) - 1), begins), cut)
+        return _let(F.filter(islands(gone), counts), cut)
 
-    return _let(_let(_segments(proposed), once), pieces)
+    return _let(lines_of(text), of_lines)
 
 
-def _without(text: str, removed: str) -> Column:
-    """The text less its lines in `removed` (line, lines)."""
-    gone = F.flatten(F.transform(removed, lambda r: F.sequence(r["line"], r["line"] + r["lines"] - 1)))
+def _repeated(index: DataFrame) -> DataFrame:
+    """h, n and the first place (first_id, first_key, first_at) of the chunks that occur more than
+    once. The smallest id is found for all; where it is, for those that repeat alone."""
+    counted = index.groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("first_id")).where("n > 1")
+    return stored(counted, "repeated")
 
-    def left(lines: Column) -> Column:
-        head = F.array_contains(gone, 1) & (spaced_words(F.get(lines, F.lit(0))) == 0)
-        all_gone = F.when(head, F.concat(gone, F.array(F.lit(0)))).otherwise(gone)
-        stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), all_gone)
-        return F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "")
 
-    return _let(F.split(text, RUN_END, -1), left)
+def _with_repeated(index: DataFrame, repeated: DataFrame) -> DataFrame:
+    """Rows of the index whose hash repeats. Hashes of a ten-thousandth of all repeated chunks
+    or more, of which there are HOT_HASHES at most, are broadcast; the others are joined."""
+    total = repeated.agg(F.sum("n")).first()[0] or 0
+    is_hot = F.col("n") * HOT_HASHES >= total
+    hot, cold = F.broadcast(repeated.where(is_hot)), repeated.where(~is_hot)
+    return index.join(hot, "h").unionByName(index.join(hot, "h", "left_anti").join(cold, "h"))
 
 
-def dedup_runs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with the text of `text_col` less its repeated runs of lines, and removed_chunks
     (pieces that went), removed_chars (both 0 where the text stays as it was).
 
-    A run of lines counts if it has PASSAGE_WORDS words, or two lines and RUN_WORDS words;
-    words are parted by any white space. Every line of a run that also stands at an
-    earlier place of the table goes, wherever it begins and ends: smaller id, then smaller
-    hash of the text, then place. White space at the end of a line is not compared, and
-    lines without words go with the line before them (the first with the second). Of
-    equal lines the first always stays. Hashes only propose; a line goes after its bytes
-    were compared with those of the earlier one. Hashes and places are shuffled for all
-    documents, texts once by document; the texts of pieces meet on the place of the earlier
-    one, which is one row, so that adaptive execution can split a hot one's copies.
-
-    A null or empty text stays. A null id is smaller than all others. Repeated rows are
-    one document and stay alike. A document of which everything is repeated becomes
-    empty. Other columns are kept; an empty table gives no rows.
+    Two chunks that begin with the same two lines, or the same long line, are compared byte
+    by byte and line by line, forward and backward, with the first of their kind in the
+    table: smallest id, then smallest hash of the text, then place. Lines that are equal go
+    if they make up a piece of two lines and RUN_WORDS words, or of PASSAGE_WORDS words,
+    parted by any white space. White space at the end of a line is not compared. A removed
+    line always has an equal one at an earlier place, so the first of equal lines stays.
+
+    Hashes and places are shuffled for all documents, texts once by document; those of
+    documents that lose something a second time. A chunk that very many documents share
+    is broadcast while it is looked up, and salted where its copies meet the first one.
+
+    Ids must be whole numbers or null, which is smaller than all others. A null or empty
+    text stays. Rows that share id and text are one document and stay alike. A document of
+    which everything is repeated becomes empty. Other columns are kept whatever their
+    names, but for the two that are added, which replace those of the same name. An empty
+    table gives no rows.
     """
     spark = docs.sparkSession
-    columns = docs.columns
-    keyed = docs.withColumn("_key", F.xxhash64(F.col(id_col).cast("long"), text_col))
-    rows = keyed.where(F.length(text_col) > 0).select(F.col(id_col).cast("long").alias("id"), "_key", F.col(text_col).alias("text"))
-    index = stored(rows.select("id", "_key", F.explode(_runs(F.col("text"))).alias("r")).select("r.h", "id", "_key", "r.at"), "runs")
-    repeated = index.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("id", "_key", "at")).alias("first")).where("n > 1")
-    later = (F.col("_key") != F.col("first._key")) | (F.col("at") != F.col("first.at"))
-    proposed = index.join(repeated.drop("n"), "h").where(later).select(
-        "_key", F.struct("at", F.col("first._key").alias("src"), F.col("first.at").alias("src_at")).alias("p"))
-    proposed = proposed.groupBy("_key").agg(F.collect_set("p").alias("_proposed"))
-    segments = stored(proposed.select("_key", _islands("_proposed").alias("_segments")), "segments")
-    discard(spark, index)
-    place = segments.select(F.explode("_segments").alias("s")).select("s.src", "s.src_line", "s.lines").distinct()
-    wanted = place.groupBy("src").agg(F.collect_set(F.struct("src_line", "lines")).alias("_wanted")).withColumnRenamed("src", "_key")
-    marks = segments.join(wanted, "_key", "full_outer")
-    marked = stored(keyed.join(marks.hint("shuffle_hash"), "_key", "left"), "marked")
-
-    def texts(of: str, line: str) -> DataFrame:
-        def cut(lines: Column) -> Column:
-            return F.transform(of, lambda s: s.withField("bytes", F.array_join(
-                F.transform(F.slice(lines, s[line] + 1, s["lines"]), _bare), "\n")))
-
-        return marked.where(F.col(of).isNotNull()).select("_key", F.explode(_let(F.split(text_col, RUN_END, -1), cut)).alias("s")).select("_key", "s.*")
-
-    own = texts("_segments", "line")
-    first = (texts("_wanted", "src_line").withColumnsRenamed({"_key": "src", "bytes": "kept"})
-             .dropDuplicates(["src", "src_line", "lines"]))
-    verified = (own.join(first, ["src", "src_line", "lines"]).where(F.col("bytes") == F.col("kept"))
-                .groupBy("_key").agg(F.collect_set(F.struct("line", "lines")).alias("_removed")))
-    verified = stored(verified, "removed")
-
-    done = marked.join(verified.hint("shuffle_hash"), "_key", "left")
-    text = F.when(F.col("_removed").isNull(), F.col(text_col)).otherwise(_without(text_col, "_removed"))
-    return done.withColumn("_new", text).select(
-        *[F.col("_new").alias(c) if c == text_col else F.col(c) for c in columns],
-        F.coalesce(F.size("_removed"), F.lit(0)).alias("removed_chunks"),
-        F.coalesce(F.length(text_col) - F.length("_new"), F.lit(0)).alias("removed_chars"))
+    columns = [c for c in docs.columns if c not in ("removed_chunks", "removed_chars")]
+    others = [F.col(c) for c in columns if c != text_col] or [F.lit(0).alias("none")]
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text_col).alias("key"),
+                       F.col(text_col).alias("text"), F.struct(*others).alias("row"))
+    index = rows.where(F.length("text") > 0).select("id", "key", F.explode(chunk_keys(F.col("text"))).alias("c"))
+    index = stored(index.select("c.h", "id", "key", "c.at"), "chunks")
+    counted = _repeated(index)
+    found = stored(_with_repeated(index, counted), "found")
+    first = (found.where("id = first_id").groupBy("h").agg(F.min(F.struct("key", "at")).alias("f"))
+             .select("h", F.col("f.key").alias("first_key"), F.col("f.at").alias("first_at")))
+    first = stored(first.join(counted, "h"), "first")
+    placed = _with_repeated(found.drop("n", "first_id"), first)
+    later = (F.col("id") != F.col("first_id")) | (F.col("key") != F.col("first_key")) | (F.col("at") != F.col("first_at"))
+    salts = F.ceil(F.col("n") / SALTED).cast("int")
+    own = placed.where(later).groupBy("id", "key").agg(F.collect_set(F.struct(
+        "at", F.col("first_id").alias("src_id"), F.col("first_key").alias("src_key"), F.col("first_at").alias("src_at"), salts.alias("salts"))).alias("own"))
+    asked = first.groupBy(F.col("first_id").alias("id"), F.col("first_key").alias("key")).agg(
+        F.collect_set(F.struct(F.col("first_at").alias("at"), salts.alias("salts"))).alias("asked"))
+    marks = own.join(asked, ["id", "key"], "full_outer")
+    marked = stored(rows.join(marks.hint("shuffle_hash"), ["id", "key"], "left"), "marked")
+
+    def places(of: str) -> DataFrame:
+        rows = marked.where(F.col(of).isNotNull()).select("id", "key", F.explode(segments(F.col("text"), of)).alias("w"))
+        return rows.select("id", "key", "w.*")
+
+    salt = F.pmod(F.xxhash64("id", "key"), F.col("salts"))
+    mine = places("own").withColumn("salt", salt).drop("salts")
+    theirs = places("asked").select(F.col("id").alias("src_id"), F.col("key").alias("src_key"), F.col("at").alias("src_at"),
+                                    F.col("s").alias("src"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - F.lit(1).cast("long"))).alias("salt"))
+    theirs = theirs.dropDuplicates(["src_id", "src_key", "src_at", "salt"])
+    compared = mine.join(theirs, ["src_id", "src_key", "src_at", "salt"]).select(
+        "id", "key", "at", _same(F.col("s.fore"), F.col("src.fore")).alias("fore"), _same(F.col("s.back"), F.col("src.back")).alias("back"))
+    gone = compared.where("fore > 0").groupBy("id", "key").agg(F.collect_set(F.struct(
+        (F.col("at") - F.col("back")).alias("first"), (F.col("at") + F.col("fore") - 1).alias("last"))).alias("gone"))
+    gone = stored(gone, "gone")
+
+    touched = marked.where("own IS NOT NULL").join(gone.hint("shuffle_hash"), ["id", "key"], "left").withColumn(
+        "new", F.when(F.col("gone").isNotNull(), _without(F.col("text"), "gone")))
+    pieces = F.coalesce(F.col("new.pieces"), F.lit(0))
+    touched = touched.select("row", F.when(pieces > 0, F.col("new.text")).otherwise(F.col("text")).alias("text"), pieces.alias("removed_chunks"),
+                             F.when(pieces > 0, F.length("text") - F.length("new.text")).otherwise(0).alias("removed_chars"))
+    same = marked.where("own IS NULL").select("row", "text", F.lit(0).alias("removed_chunks"), F.lit(0).alias("removed_chars"))
+    out = same.unionByName(touched).select(
+        *[F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in columns], "removed_chunks", "removed_chars")
+    discard(spark, index, found)
+    return out

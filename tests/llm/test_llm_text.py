@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from sparkrec.llm import decontam as D, line_dedup as L, secret_scan as X
+from sparkrec.llm import decontam as D, secret_scan as X
 
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 WORD = re.compile("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -88,90 +88,6 @@ def test_long_words_and_chunks(monkeypatch):
     assert all(np.array_equal(a, b) for a, b in zip(whole, D.find_words(data)))
 
 
-# --- lines -----------------------------------------------------------------------------
-
-def signed(x):
-    return x - (1 << 64) if x >> 63 else x
-
-
-def chunks_of(text):
-    lines = re.split(r"(?<=\n)|(?<=[.!?] )", text)
-    h = [xxhash.xxh64_intdigest(x.encode(), seed=42) for x in lines]
-    long = [x.count(" ") + 1 >= L.PASSAGE_WORDS for x in lines]
-    out, start = [], 0
-    for i in range(len(lines)):
-        before = h[i - 1] if i else 0
-        rolled = h[i] ^ (before << 1 | before >> 63) & (2 ** 64 - 1)
-        if i == len(lines) - 1 or long[i] or long[i + 1] or signed(rolled) % L.SPREAD == 0:
-            out.append(lines[start:i + 1])
-            start = i + 1
-    return out
-
-
-def removed(docs):
-    """Texts after removal, by brute force on the chunks themselves."""
-    def counts(c):
-        n = "".join(c).count(" ") + 1
-        return n >= L.PASSAGE_WORDS or len(c) > 1 and n >= L.RUN_WORDS
-
-    seen = {}
-    for key, text in docs:
-        for no, c in enumerate(chunks_of(text) if text else []):
-            if counts(c):
-                h = signed(xxhash.xxh64_intdigest(text.encode(), seed=signed_seed(key)))
-                place = (-2 ** 70 if key is None else key, h, no)
-                seen["".join(c)] = min(seen.get("".join(c), place), place)
-    out = []
-    for key, text in docs:
-        if not text:
-            out.append((key, text))
-            continue
-        h = signed(xxhash.xxh64_intdigest(text.encode(), seed=signed_seed(key)))
-        kept = [c for no, c in enumerate(chunks_of(text))
-                if not counts(c) or seen["".join(c)] == (-2 ** 70 if key is None else key, h, no)]
-        out.append((key, "".join(x for c in kept for x in c)))
-    return out
-
-
-def signed_seed(key):
-    """xxhash64 of several columns chains: the hash of one is the seed of the next."""
-    return 42 if key is None else xxhash.xxh64_intdigest(int(key).to_bytes(8, "little", signed=True), seed=42)
-
-
-def test_line_removal(spark):
-    rng = random.Random(8)
-    sentence = lambda: " ".join(rng.choice("abcdefghijklmnop") * rng.randint(1, 6) for _ in range(rng.randint(3, 14))) + rng.choice([". ", ".\n", "\n"])
-    passage = [sentence() for _ in range(8)]
-    heavy = " ".join(f"w{i}" for i in range(60)) + "\n"
-    docs = []
-    for i in range(40):
-        lines = [sentence() for _ in range(rng.randint(1, 9))]
-        if i % 3 == 0:
-            lines[1:1] = passage
-        if i % 4 == 0:
-            lines.append(heavy)
-        docs.append((i, "".join(lines)))
-    docs += [(50, docs[3][1]), (51, docs[3][1]), (52, None), (53, ""), (54, "\n\n"), (None, docs[3][1]), (55, heavy * 3),
-             (56, ("Getzbe des.\n" * 500))]
-    frame = spark.createDataFrame([(*d, "z", 1) for d in docs], "doc_id long, text string, h string, no long").repartition(3)
-    out = L.dedup_lines(frame)
-    assert out.columns == [*frame.columns, "removed_chunks", "removed_chars"]
-    got = {(r["doc_id"], r["text"]) for r in out.collect()}
-    assert got == set(removed(docs))
-    changed = {r["doc_id"] for r in out.where("removed_chunks > 0").collect()}
-    assert 3 in changed and 4 in changed and 1 not in changed
-    texts = dict(docs)
-    for r in out.collect():
-        assert r["removed_chars"] == len(texts[r["doc_id"]] or "") - len(r["text"] or "")
-
-
-def test_lines_of_nothing_and_repeated_rows(spark):
-    text = "one two three four five six. seven eight nine ten eleven. twelve " * 9
-    frame = spark.createDataFrame([(1, text, None), (1, text, None)], "doc_id long, text string, lang string")
-    assert L.dedup_lines(frame.limit(0)).collect() == []
-    assert len({r["text"] for r in L.dedup_lines(frame).collect()}) == 1
-
-
 # --- secrets ---------------------------------------------------------------------------
 
 ASSIGN = re.compile(X.ASSIGN[0], re.I | re.A)
@@ -215,8 +131,3 @@ def test_models_from_given_samples(spark):
     right = sum(X.score(s, ratio) > 0 for s in strings[200:]) + sum(X.score(n, ratio) <= 0 for n in names[200:])
     assert right >= 198
     assert X.find_secrets(spark.createDataFrame([], "doc_id long, text string"), samples=samples).collect() == []
-
-
-def test_no_python_in_line_removal(spark):
-    frame = spark.createDataFrame([(1, "a b.\nc")], "doc_id long, text string").where(F.col("doc_id") > 0)
-    assert "Python" not in L.dedup_lines(frame)._jdf.queryExecution().executedPlan().toString().replace("Scan ExistingRDD", "")
