@@ -55,8 +55,8 @@ def ttl_reuse(spark, sf):
 
 
 def ttl_reuse_hot(spark, sf):
-    """Five keys hold all requests; every key is cut into blocks of the time line."""
-    return _timed(cache.ttl_reuse(_events(spark, sf, "event_type"), 1800, hot_times=100, block_windows=8))
+    """Five keys hold all requests; blocks are short and their tree has several levels."""
+    return _timed(cache.ttl_reuse(_events(spark, sf, "event_type"), 1800, block_windows=8, fan=4))
 
 
 def ttl_reuse_failures(spark, sf):
