@@ -31,7 +31,8 @@ def starts_of(lines):
     out = []
     for i, own in enumerate(h):
         after = h[i + 1] if i + 1 < len(h) else None
-        pair = after is not None and not ((own << 1 | own >> 63) & (2 ** 64 - 1) ^ after) & 8
+        rolled = None if after is None else (own << 1 | own >> 63) & (2 ** 64 - 1) ^ after
+        pair = after is not None and (rolled - (1 << 64) if rolled >> 63 else rolled) % L.SPREAD == 0
         if own & 1 or pair and line_hash("") not in (own, after):
             out.append((i, (own,) if own & 1 else (own, after)))
     return out
@@ -47,26 +48,21 @@ def without_runs(docs):
             first.setdefault(h, (key, i))
     out = {}
 
-    def segment(key, i):
-        lines, bare, starts = parts[key]
+    def window(key, i):
+        lines, _, starts = parts[key]
         at = [x for x, _ in starts]
         k = at.index(i)
-        return bare[at[k - 1] + 1 if k else 0:i][::-1], bare[i:(at[k + 1] if k + 1 < len(at) else len(lines) - 1) + 1]
-
-    def same(a, b):
-        n = 0
-        while n < min(len(a), len(b)) and a[n] == b[n]:
-            n += 1
-        return n
+        return at[k - 1] + 1 if k else 0, at[k + 1] if k + 1 < len(at) else len(lines) - 1
 
     for key, text in docs:
         lines, bare, starts = parts[key]
         gone = set()
         for i, h in starts:
-            if first[h] != (key, i):
-                back, fore = map(same, segment(key, i), segment(*first[h]))
-                if fore:
-                    gone |= set(range(i - back, i + fore))
+            other, j = first[h]
+            if (other, j) != (key, i):
+                low, high = window(key, i)
+                theirs = parts[other][1]
+                gone |= {x for x in range(low, high + 1) if 0 <= x - i + j < len(theirs) and bare[x] == theirs[x - i + j]}
         kept, piece = set(range(len(lines))), []
         for i in [*sorted(gone), None]:
             if piece and i != piece[-1] + 1:
