@@ -28,6 +28,7 @@ COLLECTION = T.StructType([
     T.StructField("text_hash", T.StringType()),
     T.StructField("embedding", T.ArrayType(T.FloatType())),
     T.StructField("cell", T.IntegerType()),
+    T.StructField("cells", T.StringType()),  # which centres the cell is one of
 ])
 
 # One wide row per event; fields a type does not use are null, and so left out

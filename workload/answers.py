@@ -14,6 +14,7 @@ from sparkrec.plans.answer import chunk_requests
 from sparkrec.plans.recommend import recommend, run_events, run_pipeline
 from sparkrec.plans.retrieve import attach_documents
 from sparkrec.sources.prompts import as_queries, read_prompts
+from sparkrec.sources.results import write_json, write_parquet
 from sparkrec.storage import cut_lineage, scratch_path
 from workload.base import (
     SQL_INPUTS, SQL_MERGED, collection, questions, quoted, sql_hits, sql_strip, stand_in_answer,
@@ -99,6 +100,17 @@ def recommendations(spark, sf):
     return shown_results(result)
 
 
+def recommend_json(spark, sf):
+    """The results written as JSON and as Parquet, and read back by their schema."""
+    result = recommend(questions(spark, sf), collection(spark, sf), stand_in_answer, Params(top_k=5), variants=variants(spark, sf))
+    kept, path, other = cut_lineage(result, "results"), scratch_path(spark, "json"), scratch_path(spark, "parquet")
+    write_json(kept, path)
+    write_parquet(kept, other)
+    back = spark.read.schema(kept.schema)
+    return shown_results(back.json(path)).withColumn("sink", F.lit("json")).union(
+        shown_results(back.parquet(other)).withColumn("sink", F.lit("parquet")))
+
+
 def recommend_prompts(spark, sf):
     """Questions out of prompt files without ids, a third of them asked twice: expansion,
     embedding, search, merge and answers. Every request has the same result as its repeat."""
@@ -287,6 +299,7 @@ QUERIES = {
     "query_summary": summary,
     "chunk_prompts": chunk_prompts,
     "recommend": recommendations,
+    "recommend_json": recommend_json,
     "recommend_prompts": recommend_prompts,
     "run_events": run_event_log,
     "token_stream": token_stream,
@@ -298,10 +311,12 @@ QUERIES = {
 
 ORACLE = {
     "recommend_prompts": _SQL_RECOMMEND_PROMPTS,
+    "recommend_json": f"SELECT r.*, unnest(['json', 'parquet']) AS sink FROM ({_SQL_RECOMMEND}) r",
     "merge_first_seen": _SQL_BASE + " SELECT query_id, pos, variant_no, rank, doc_id FROM merged",
     "merge_rrf": _SQL_RRF,
-    "not_seen_before": _SQL_BASE + """ SELECT m.query_id, m.doc_id FROM merged m WHERE NOT EXISTS (
-        SELECT 1 FROM hits h WHERE h.variant_no = 0 AND h.query_id = m.query_id AND h.document = m.document)""",
+    "not_seen_before": f"""WITH {SQL_INPUTS}, {sql_hits(20)},
+        g AS (SELECT query_id, document, min(variant_no) AS v, arg_min(doc_id, variant_no * 1000 + rank) AS doc_id FROM hits GROUP BY query_id, document)
+        SELECT query_id, doc_id FROM g WHERE v > 0""",
     "chunk_docs": _SQL_BASE + """ SELECT query_id, chunk_index, count(*)::INT AS num_docs_in_chunk,
         string_agg(doc_id::VARCHAR, ',' ORDER BY pos) AS doc_ids, string_agg(doc_no::VARCHAR, ',' ORDER BY pos) AS doc_nos,
         sum(length(document))::BIGINT AS n_chars FROM chunked GROUP BY query_id, chunk_index""",

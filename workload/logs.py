@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparkrec import schemas
+from sparkrec import constants as K, schemas
 from sparkrec.operators import events as ev
 from sparkrec.sources import sse
 from sparkrec.storage import scratch_path
+from sparkrec.streaming.serve import append_batches
 from workload.base import table
 
 
@@ -82,6 +83,23 @@ def sse_roundtrip(spark, sf):
                        "generated_response", "total_docs_retrieved", "num_chunks", "chunk_size", "elapsed_ms")
 
 
+def sse_broken(spark, sf):
+    """A log whose frames are cut short or no data now and then, read as a stream."""
+    log = _log(spark, sf)
+    text = sse.frame([c for c in log.columns if c not in ("docs",)])
+    cut = F.expr("substring(f, 1, length(f) - 4)")
+    value = (F.when(F.col("seq") % 10 == 3, F.concat(cut, F.lit(K.FRAME_END)))
+             .when(F.col("seq") % 10 == 4, F.concat(F.lit(": "), F.col("f"))).otherwise(F.col("f")))
+    path, out = scratch_path(spark, "frames"), scratch_path(spark, "events")
+    log.withColumn("f", text).select(F.rtrim(value, F.lit("\n")).alias("value")).write.option("lineSep", K.FRAME_END).text(path)
+    query = append_batches(sse.stream_frames(spark, path), out, scratch_path(spark, "state"))
+    query.awaitTermination()
+    if query.exception():
+        raise query.exception()
+    back = spark.read.schema(schemas.EVENTS).option("recursiveFileLookup", "true").parquet(out)
+    return back.select("query_id", "seq", "type", "message", "chunk_index", "token", "generated_response", "elapsed_ms")
+
+
 SQL_LOG = """
 l0 AS (SELECT *, (props ->> '$.k')::INT AS k FROM events),
 l1 AS (SELECT *, CASE event_type WHEN 'signup' THEN 'chunk_start' WHEN 'click' THEN 'chunk_token' WHEN 'view' THEN 'progress'
@@ -130,6 +148,7 @@ QUERIES = {
     "stage_metrics": stage_metrics,
     "token_texts": token_texts,
     "sse_roundtrip": sse_roundtrip,
+    "sse_broken": sse_broken,
 }
 
 ORACLE = {
@@ -142,5 +161,7 @@ ORACLE = {
         FROM log WHERE type IN ('progress', 'complete') GROUP BY 1""",
     "token_texts": f"""WITH {SQL_LOG} SELECT query_id, chunk_index, string_agg(token, '' ORDER BY seq) AS text
         FROM log WHERE type = 'chunk_token' GROUP BY query_id, chunk_index""",
+    "sse_broken": f"""WITH {SQL_LOG} SELECT query_id, seq, type, message, chunk_index, token, generated_response, elapsed_ms
+        FROM log WHERE seq % 10 NOT IN (3, 4)""",
     "sse_roundtrip": f"WITH {SQL_LOG} SELECT * EXCLUDE (ts) FROM log",
 }

@@ -97,27 +97,76 @@ def approximate_all_cells(spark, sf):
     return _hits(ivf.knn_approximate(variants(spark, sf), docs, 10, centres, 8))
 
 
+CELLS = 256  # at most, however large the tables are; documents of all sizes are placed in them
+
+
 def approximate_recall(spark, sf):
+    """What three cells of each variant find of the exact result."""
     docs, asked = collection(spark, sf), variants(spark, sf)
-    centres = ivf.train_cells(docs, 16)
-    found = ivf.knn_approximate(asked, docs, 10, centres, 6)
+    found = ivf.knn_approximate(asked, docs, 10, _centres(spark, sf), 3)
     per_query = ivf.recall(found, knn_topk(asked, docs, 10))
     return per_query.select("query_id", "variant_no", F.round("recall", 6).alias("recall"))
 
 
 def _centres(spark, sf):
-    """Every fiftieth vector as the centre of a cell, in order of its id."""
-    rows = table(spark, sf, "embeddings").where("vec_id % 50 = 0").orderBy("vec_id").select("embedding")
-    return rows.toPandas()["embedding"].tolist()
+    """The centres of the cells: the vectors of the CELLS smallest ids divisible by 50."""
+    rows = table(spark, sf, "embeddings").where("vec_id % 50 = 0").orderBy("vec_id").limit(CELLS)
+    return rows.select("embedding").toPandas()["embedding"].tolist()
 
 
-def approximate_stored(spark, sf):
-    """A collection stored with cells; three cells are read for each variant."""
-    centres, path = _centres(spark, sf), scratch_path(spark, "cells")
+def _stored_cells(spark, sf, centres):
+    path = scratch_path(spark, "cells")
     with_cells = ivf.assign_cells(collection(spark, sf), centres)
     coll.as_collection(with_cells, "papers").sortWithinPartitions("cell").write.partitionBy("collection").parquet(path)
-    docs = coll.open_collection(spark, path, "papers")
-    return _hits(ivf.knn_approximate(variants(spark, sf), docs, 10, centres, 3))
+    return coll.open_collection(spark, path, "papers")
+
+
+def approximate_stored(spark, sf):
+    """A collection stored with cells; three cells are read for each variant."""
+    centres = _centres(spark, sf)
+    return _hits(ivf.knn_approximate(variants(spark, sf), _stored_cells(spark, sf, centres), 10, centres, 3))
+
+
+def exact_by_cells(spark, sf):
+    """Three cells bound each variant; further ones are read only where they could help."""
+    centres = _centres(spark, sf)
+    docs = _stored_cells(spark, sf, centres)
+    return _hits(ivf.knn_by_cells(variants(spark, sf), docs, 10, ivf.measure_cells(docs, centres), 3))
+
+
+def _half_broken(texts):
+    """Vectors, but for texts with an odd number of letters: these fail."""
+    return [None if len(t) % 2 else v for t, v in zip(texts, stand_in_vectors(texts))]
+
+
+def index_repair(spark, sf):
+    """An index in three appends, one of which is repeated and one fails once rows are
+    written; then what has no vector is embedded again."""
+    docs = table(spark, sf, "documents").select(
+        "doc_id", F.col("text").alias("document"), F.create_map(F.lit("categories"), F.col("lang")).alias("meta"))
+    path = scratch_path(spark, "index")
+    for part in (0, 1, 1):
+        coll.build_index(docs.where(F.col("doc_id") % 3 == part), path, _half_broken, "papers", append_id=f"part-{part}")
+    lost = coll.as_collection(docs.where("doc_id % 3 = 2"), "papers").drop("collection")
+    lost.write.parquet(f"{path}/collection=papers/append=lost")  # never committed
+    coll.build_index(docs, path, stand_in_vectors, "papers")
+    before = coll.open_collection(spark, path, "papers").select("doc_id", F.col("embedding").isNull().alias("was_missing"))
+    after = coll.repair_index(spark, path, stand_in_vectors, "papers")
+    return after.join(before, "doc_id").select("doc_id", "category", "text_hash", "was_missing", F.col("embedding").isNotNull().alias("has_vector"))
+
+
+def two_collections(spark, sf):
+    """Two names in one folder; each is opened, switched to and scanned by itself."""
+    docs = table(spark, sf, "documents").select(
+        "doc_id", "source", F.col("text").alias("document"), F.create_map(F.lit("categories"), F.col("lang")).alias("meta"))
+    path = scratch_path(spark, "two")
+    odd = F.col("doc_id") % 2 == 1
+    coll.build_index(docs.where(odd).drop("source"), path, stand_in_vectors, "odd")
+    coll.build_index(docs.where(~odd).drop("source"), path, stand_in_vectors, "even")
+    rows = [coll.scan(coll.open_collection(spark, path, n)).select(
+        F.lit(n).alias("name"), "doc_id", F.length("document").alias("n_chars"), F.col("meta")["categories"].alias("category"))
+        for n in ("even", "odd", "absent")]
+    return rows[0].union(rows[1]).union(rows[2])
 
 
 def _gated(spark, sf):
@@ -137,8 +186,9 @@ def gate_approximate(spark, sf):
     return _hits(retrieve(_gated(spark, sf), ivf.assign_cells(docs, centres), category_gate=True, centres=centres, probes=3))
 
 
-_SQL_CELLS = """
-cs AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS cell, embedding::DOUBLE[] AS cv FROM embeddings WHERE vec_id % 50 = 0),
+_SQL_CELLS = f"""
+cs AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS cell, embedding::DOUBLE[] AS cv FROM embeddings WHERE vec_id % 50 = 0
+       QUALIFY cell < {CELLS}),
 near AS (SELECT vec_id, cell, row_number() OVER (PARTITION BY vec_id ORDER BY list_distance(embedding::DOUBLE[], cv), cell) AS n
          FROM embeddings, cs),
 placed AS (SELECT vec_id, cell FROM near WHERE n = 1), looks AS (SELECT vec_id, list(cell) AS cells FROM near WHERE n <= 3 GROUP BY vec_id)"""
@@ -212,14 +262,11 @@ def rerank_join(spark, sf):
 
 _SQL_RERANK = f"""
 WITH {SQL_INPUTS}, {sql_hits(20)},
-res AS (SELECT query_id, variant_no, rank, doc_id, label, row_number() OVER (PARTITION BY query_id, variant_no
-        ORDER BY label DESC, doc_id DESC) AS result_no FROM hits),
-ok AS (SELECT *, row_number() OVER (PARTITION BY query_id, variant_no ORDER BY result_no) AS n
-       FROM res WHERE query_id % 4 <> 0 AND label <> 9)
-SELECT query_id, variant_no, n::INT AS rank, rank AS dense_rank, doc_id, round(label / 10.0, 6)::DOUBLE AS rerank_score
-FROM ok WHERE n <= 8
-UNION ALL
-SELECT query_id, variant_no, rank, rank, doc_id, NULL FROM hits WHERE query_id % 4 = 0 AND rank <= 5"""
+res AS (SELECT query_id, variant_no, rank, doc_id, label, query_id % 4 = 0 AS failed,
+        row_number() OVER (PARTITION BY query_id, variant_no ORDER BY label = 9, label DESC, doc_id DESC) AS n FROM hits)
+SELECT query_id, variant_no, CASE WHEN failed THEN rank ELSE n::INT END AS rank, rank AS dense_rank, doc_id,
+       CASE WHEN NOT failed THEN round(label / 10.0, 6)::DOUBLE END AS rerank_score
+FROM res WHERE CASE WHEN failed THEN rank <= 5 ELSE n <= 8 AND label <> 9 END"""
 
 
 def _asked_with_text(spark, sf):
@@ -281,6 +328,9 @@ QUERIES = {
     "rerank_called": rerank_called,
     "rerank_fallback": rerank_fallback,
     "knn_approximate_stored": approximate_stored,
+    "knn_by_cells": exact_by_cells,
+    "index_repair": index_repair,
+    "two_collections": two_collections,
     "gate_approximate": gate_approximate,
 }
 
@@ -314,6 +364,16 @@ ORACLE = {
     "rerank_fallback": _SQL_SCORED + """
         SELECT query_id, variant_no, n AS rank, rank AS dense_rank, doc_id, CASE WHEN NOT failed THEN score END AS rerank_score,
                CASE WHEN failed THEN score END AS cross_score FROM o WHERE n <= CASE WHEN failed THEN 5 ELSE 7 END""",
+    "knn_by_cells": f"WITH {SQL_INPUTS}, {sql_hits(10)} SELECT {_SQL_HIT} FROM hits",
+    "index_repair": """SELECT doc_id, lang AS category, sha256(text) AS text_hash,
+        doc_id % 3 < 2 AND length(replace(text, chr(10), ' ')) % 2 = 1 AS was_missing, true AS has_vector FROM documents""",
+    "two_collections": """SELECT CASE WHEN doc_id % 2 = 1 THEN 'odd' ELSE 'even' END AS name, doc_id,
+        length(text)::INT AS n_chars, lang AS category FROM documents""",
+    "knn_approximate_recall": f"""WITH {SQL_INPUTS}, {_SQL_CELLS},
+        pairs AS (SELECT query_id, variant_no, doc_id, pow(list_distance(qv, dv), 2) AS distance, list_contains(cells, placed.cell) AS near
+          FROM q JOIN looks ON looks.vec_id = query_id * 5 + variant_no JOIN c ON dv IS NOT NULL JOIN placed ON placed.vec_id = doc_id),
+        best AS (SELECT *, row_number() OVER (PARTITION BY query_id, variant_no ORDER BY distance, doc_id) AS rank FROM pairs QUALIFY rank <= 10)
+        SELECT query_id, variant_no, round(count(*) FILTER (near) / count(*), 6)::DOUBLE AS recall FROM best GROUP BY query_id, variant_no""",
     "knn_approximate_stored": f"""WITH {SQL_INPUTS}, {_SQL_CELLS},
         pairs AS (SELECT query_id, variant_no, doc_id, pow(list_distance(qv, dv), 2) AS distance
           FROM q JOIN looks ON looks.vec_id = query_id * 5 + variant_no JOIN c ON dv IS NOT NULL JOIN placed ON placed.vec_id = doc_id

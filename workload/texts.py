@@ -228,6 +228,37 @@ def research_pages(spark, sf):
         "id", "category", "authors", "page", "place")
 
 
+def research_stored(spark, sf):
+    """The table written as Parquet and read by its declared schema."""
+    path = scratch_path(spark, "research")
+    research_rows(spark, sf).withColumn("extra", F.lit(1)).write.parquet(path)
+    return research.read_research(spark, path).select("id", F.length("title").alias("n_title"), "category",
+                                                      F.sha2("summary", 256).alias("summary_hash"), "authors")
+
+
+def _repeated_keys(spark, sf):
+    """Seven rows to a key; a twelfth of the rows has none."""
+    key = F.when(F.col("id") % 12 > 0, F.floor(F.col("id") / 7).cast("long"))
+    return research_rows(spark, sf).withColumn("id", key)
+
+
+def research_index_pages(spark, sf):
+    """Pages out of an ordered table with counts of its ranges: the first, one in the middle,
+    the last, and the one behind it."""
+    path = scratch_path(spark, "ordered")
+    research.write_ordered(_repeated_keys(spark, sf), path, ranges=8)
+    last = -(-spark.read.parquet(f"{path}/rows").count() // 10)
+    pages = [research.page_of(spark, path, n).withColumn("page", F.lit(n).cast("long")) for n in (1, last // 2, last, last + 1)]
+    rows = pages[0].union(pages[1]).union(pages[2]).union(pages[3])
+    return rows.groupBy("page", "id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def research_repeated_keys(spark, sf):
+    """Where the pages of a table with repeated and missing keys begin and end."""
+    rows = research.all_pages(_repeated_keys(spark, sf))
+    return rows.groupBy("page", "id").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first_place"))
+
+
 def research_lengths(spark, sf):
     rows = research_rows(spark, sf).withColumn("title", F.col("summary"))
     return research.length_violations(rows).select("id", F.array_join("too_long", ",").alias("too_long"))
@@ -253,6 +284,10 @@ def category_list(spark, sf):
     return dimension.render_categories(codes.withColumn("seq", F.col("code")))
 
 
+_SQL_PAGES = """WITH k AS (SELECT CASE WHEN doc_id % 12 > 0 THEN doc_id // 7 END AS id FROM documents),
+p AS (SELECT id, (row_number() OVER (ORDER BY id NULLS FIRST) - 1) // 10 + 1 AS page,
+      (row_number() OVER (ORDER BY id NULLS FIRST) - 1) % 10 + 1 AS place FROM k)"""
+
 QUERIES = {
     "expand_variants": expanded,
     "step_back_records": step_back_records,
@@ -267,6 +302,9 @@ QUERIES = {
     "research_page": research_page,
     "research_deep_page": research_deep_page,
     "research_pages": research_pages,
+    "research_stored": research_stored,
+    "research_index_pages": research_index_pages,
+    "research_repeated_keys": research_repeated_keys,
     "research_lengths": research_lengths,
     "category_dim": category_names,
     "category_unknown": category_unknown,
@@ -301,6 +339,10 @@ ORACLE = {
         ORDER BY id LIMIT 10 OFFSET 170""",
     "research_pages": f"""SELECT id, category, authors, (row_number() OVER (ORDER BY id) - 1) // 10 + 1 AS page,
         ((row_number() OVER (ORDER BY id) - 1) % 10 + 1)::INT AS place FROM {_SQL_RESEARCH}""",
+    "research_stored": f"""SELECT id, length(title)::INT AS n_title, category, sha256(summary) AS summary_hash, authors FROM {_SQL_RESEARCH}""",
+    "research_index_pages": _SQL_PAGES + """ SELECT page, id, count(*) AS n FROM p
+        WHERE page IN (1, (SELECT max(page) // 2 FROM p), (SELECT max(page) FROM p)) GROUP BY page, id""",
+    "research_repeated_keys": _SQL_PAGES + """ SELECT page, id, count(*) AS n, min(place)::INT AS first_place FROM p GROUP BY page, id""",
     "research_lengths": "SELECT doc_id AS id, 'title' AS too_long FROM documents WHERE length(text) > 255",
     "category_dim": """SELECT lang AS code, count(*) AS n, CASE lang WHEN 'en' THEN 'English' WHEN 'fr' THEN 'French'
         WHEN 'de' THEN 'German' END AS name, lang IN ('en', 'fr', 'de') AS known FROM documents GROUP BY lang""",
