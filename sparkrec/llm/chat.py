@@ -34,7 +34,7 @@ def unescape(text: Column) -> Column:
 
 
 def _key(conv: Column) -> Column:
-    return F.coalesce(conv.cast("string"), F.lit("null"))
+    return F.coalesce(F.concat(F.lit("="), conv.cast("string")), F.lit("null"))
 
 
 def chain(turns: DataFrame, *, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:

@@ -206,8 +206,10 @@ def report(docs: DataFrame, benchmark: DataFrame, **columns: str) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                       **columns: str) -> DataFrame:
-    """`docs` without those that repeat a passage of the benchmark."""
+    """`docs` without those that repeat a passage of the benchmark. Other columns are kept,
+    whatever their names."""
     leaks = scan(docs, benchmark, id_col=id_col, text_col=text_col, **columns).where("runs IS NOT NULL")
-    key = F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit("")))
-    return (docs.withColumn("_key", key).join(leaks.select(F.col("key").alias("_key")).distinct(), "_key", "left_anti")
-            .select(*docs.columns))
+    leaks = leaks.select(F.col("doc_id").alias("leak"), F.col("key").alias("leak_key")).distinct()
+    own = F.col(id_col).cast("long")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), own.alias("id"), F.xxhash64(own, F.coalesce(F.col(text_col), F.lit(""))).alias("key"))
+    return rows.join(leaks, (F.col("key") == F.col("leak_key")) & F.col("id").eqNullSafe(F.col("leak")), "left_anti").select("row.*")

@@ -17,6 +17,7 @@ from sparkrec.llm.decontam import WORDS, find_words, mix
 SIZE = 1 << 18          # of the hashed feature space
 STYLE = 256             # places of it for marks of style, the rest is for words and their beginnings
 BEGINNINGS = (4, 5, 6)  # bytes of a word's beginning
+BLOCK = 200             # words among which repeated ones are counted
 TRAIN_ROWS = 30_000     # documents whose features are kept for fitting, at most about so many
 BYTES_AT_ONCE = 2_000_000
 REJECT = 0.5            # probability of low quality from which a document is rejected
@@ -63,6 +64,13 @@ def beginnings(data: bytes, starts: np.ndarray, ends: np.ndarray, size: int) ->
     return np.where(ends - starts > size, mix(number), np.uint64(0))
 
 
+def repeated(words: np.ndarray) -> float:
+    """The mean share of words that came before in their block of BLOCK words: a measure that
+    does not grow with the length of the text."""
+    block = np.arange(len(words), dtype=np.uint64) // np.uint64(BLOCK) * np.uint64(0x9E3779B97F4A7C15)
+    return 1 - len(np.unique(words + block)) / max(1, len(words)) if len(words) else 0.0
+
+
 class Features:
     """Votes and hashed features of texts; every text is read whole."""
 
@@ -91,7 +99,7 @@ class Features:
                 text.count("!!") / n,
                 text.count("|") / n,
                 float(np.count_nonzero(own[1:] == own[:-1])) / n,
-                1 - len(kinds) / n if 20 <= n <= 2000 else 0.5,
+                repeated(own),
                 sum(text.count(c) for c in ".,;:?!") / n,
             )
             found = [int(np.isin(kinds, x).sum()) for x in self.insults]

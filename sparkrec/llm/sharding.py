@@ -70,10 +70,12 @@ def place(df: DataFrame, shards: Sequence[str], slots: int, *, key: str = "doc_i
     source = F.col(key).cast("string")
     if salt is not None:
         source = F.concat_ws("#", source, F.col(salt).cast("string"))
-    kept = df.withColumn("_slot", slot_of(source, slots)).drop(slot_col, shard_col)
-    table = lookup_table(df.sparkSession, shards, slots).withColumnRenamed("shard", "_shard")
-    return (kept.join(F.broadcast(table), kept["_slot"] == table["slot"], "left").drop(table["slot"])
-            .withColumnsRenamed({"_slot": slot_col, "_shard": shard_col}))
+    others = [F.col(c) for c in df.columns if c not in (slot_col, shard_col)]
+    rows = df.select(F.struct(*others).alias("row"), slot_of(source, slots).alias("of")) if others else df.select(
+        F.struct(F.lit(0).alias("none")).alias("row"), slot_of(source, slots).alias("of"))
+    table = lookup_table(df.sparkSession, shards, slots)
+    found = rows.join(F.broadcast(table), F.col("of") == F.col("slot"), "left")
+    return found.select(*(["row.*"] if others else []), F.col("of").alias(slot_col), F.col("shard").alias(shard_col))
 
 
 def write_shards(placed: DataFrame, path: str, shard_col: str = "shard", files: int = 1) -> None:

@@ -13,6 +13,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sparkrec.llm.common import discard, documents, slices, stored
+from sparkrec.operators import bloom
+from sparkrec.storage import with_row_no
 
 SHINGLE = 3
 MOST_BITS = 3
@@ -35,15 +37,15 @@ def pivot(i: int) -> int:
     return xxhash.xxh64_intdigest(b"pivot", seed=i)
 
 
-def shingle_hashes(text: str) -> Iterator[np.ndarray]:
+def shingle_hashes(text: str, size: int = SHINGLE) -> Iterator[np.ndarray]:
     """Hashes of a text's word shingles, some at a time."""
     data = b" ".join(text.encode("utf-8", "replace").translate(_LOWER).split())
     if not data:
         return
     blanks = np.flatnonzero(np.frombuffer(data, dtype=np.uint8) == 32)
     starts, ends = np.r_[0, blanks + 1], np.r_[blanks, len(data)]
-    if len(starts) > SHINGLE:
-        starts, ends = starts[:1 - SHINGLE], ends[SHINGLE - 1:]
+    if len(starts) > size:
+        starts, ends = starts[:1 - size], ends[size - 1:]
     else:
         starts, ends = starts[:1], ends[-1:]
     digest = xxhash.xxh64_intdigest
@@ -52,7 +54,7 @@ def shingle_hashes(text: str) -> Iterator[np.ndarray]:
         yield np.array([digest(data[a:b], 42) for a, b in pairs], dtype=np.uint64)
 
 
-def fingerprint_batch(texts: list[str]) -> np.ndarray:
+def fingerprint_batch(texts: list[str], size: int = SHINGLE) -> np.ndarray:
     """Fingerprints as signed 64-bit integers; a bit is set if most shingles have it set."""
     ones, totals = np.zeros((len(texts), 64), dtype=np.int64), np.zeros(len(texts), dtype=np.int64)
     rows: list[int] = []
@@ -71,7 +73,7 @@ def fingerprint_batch(texts: list[str]) -> np.ndarray:
 
     held = 0
     for i, text in enumerate(texts):
-        for hashes in shingle_hashes(text):
+        for hashes in shingle_hashes(text, size):
             rows.append(i)
             parts.append(hashes)
             held += len(hashes)
@@ -249,11 +251,26 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     component_id unless its group has no other. An empty table gives no rows.
     """
     prints = stored(fingerprints(documents(docs, id_col, text_col)), "fingerprints")
-    nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
-    buckets, found = links(nodes.where("rep IS NOT NULL"))
+    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("named"))
+    # A fingerprint of rows without an id links others, too: it has a number above all ids
+    # (and below, if ids come near the end of what a long holds).
+    top = prints.agg(F.max("doc_id")).first()[0]
+    nameless = nodes.where("named IS NULL").count()
+    if nameless:
+        free = (top if top is not None else 0) + 1
+        if free + nameless >= 1 << 63:
+            raise ValueError("ids leave no room for rows without an id")
+        numbered = with_row_no(nodes.where("named IS NULL"), "rep", "nameless").withColumn("rep", F.col("rep") + free)
+        nodes = nodes.where("named IS NOT NULL").withColumn("rep", F.col("named")).unionByName(numbered)
+    else:
+        nodes = nodes.withColumn("rep", F.col("named"))
+    nodes = stored(nodes, "nodes")
+    buckets, found = links(nodes.select("rep", "fp"))
     classes = components(found)
     labels = nodes.join(classes, nodes["rep"] == classes["id"], "left").select(
-        "fp", F.coalesce("component_id", "rep").alias("component_id"))
+        "fp", F.coalesce("component_id", "named").alias("component_id"))
+    if nameless:  # a group of rows without an id alone has none
+        labels = labels.withColumn("component_id", F.when(F.col("component_id") < free, F.col("component_id")))
     discard(docs.sparkSession, buckets)
     return prints.join(labels, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "fp")
@@ -265,3 +282,125 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     gone = near_duplicates(docs, id_col=id_col, text_col=text_col).where(
         F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(id_col))
     return docs.join(gone, id_col, "left_anti")
+
+
+# --- documents alike in most of their shingles --------------------------------------------
+
+SIMILAR_SHINGLE = 5
+SIMILARITY = 0.8
+BANDS = 8               # keys of a document
+ROWS = 4                # smallest shingles that make up a key
+APART = 26              # bits, more than fingerprints of such a pair differ in
+SALTED = 2000           # pairs with one document in one place
+
+
+def shingle_set(text: str, size: int) -> np.ndarray:
+    parts = list(shingle_hashes(text, size))
+    return np.unique(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
+
+
+_MULTIPLIERS = np.array([pivot(1000 + i) | 1 for i in range(BANDS * ROWS)], dtype=np.uint64)
+_OFFSETS = np.array([pivot(2000 + i) for i in range(BANDS * ROWS)], dtype=np.uint64)
+
+
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """Keys of a set of shingles; two sets share one with probability 1 - (1 - s^ROWS)^BANDS,
+    where s is their similarity."""
+    least = np.full(BANDS * ROWS, 2 ** 64 - 1, dtype=np.uint64)
+    for at in range(0, len(shingles), 4096):
+        part = shingles[at:at + 4096, None] * _MULTIPLIERS + _OFFSETS
+        least = np.minimum(least, (part ^ (part >> np.uint64(31))).min(axis=0))
+    return np.array([xxhash.xxh64_intdigest(row.tobytes()) for row in least.reshape(BANDS, ROWS)], dtype=np.uint64).view(np.int64)
+
+
+def _described(rows: DataFrame, size: int) -> DataFrame:
+    """doc_id, key, digest of the set of shingles, fp and band keys of (doc_id, key, text)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = batch.column("text")
+            for a, b in slices(batch, pc.binary_length(text).to_pylist(), 8_000_000):
+                texts = text.slice(a, b - a).to_pylist()
+                sets = [shingle_set(t, size) for t in texts]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").slice(a, b - a), batch.column("key").slice(a, b - a),
+                     pa.array([xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets]), pa.array(fingerprint_batch(texts, size)),
+                     pa.array([band_keys(s).tolist() for s in sets], pa.list_(pa.int64()))], names=["doc_id", "key", "digest", "fp", "bands"])
+
+    return rows.mapInArrow(run, "doc_id long, key long, digest string, fp long, bands array<long>")
+
+
+def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SIMILAR_SHINGLE,
+                   similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id and component_id (the smallest doc_id of its group) of documents that share
+    `similarity` of their word shingles or more, over any number of links.
+
+    At such a similarity some ten of 64 bits differ, too many for pivots to propose pairs.
+    So equal keys of smallest shingles propose, the pivot table discards by the maximum
+    coordinate difference, and the shingles of both texts decide. Documents with equal
+    sets of shingles are one node. A bucket of any size proposes one pair for each member,
+    with its head; every band has other heads, so members of a large group meet several.
+
+    Documents without words are alike. Rows without an id are left out. An empty table gives
+    no rows.
+    """
+    spark = docs.sparkSession
+    rows = documents(docs, id_col, text_col).where("doc_id IS NOT NULL").withColumn("key", F.xxhash64("text"))
+    seen = stored(_described(rows, shingle), "described")
+    nodes = seen.groupBy("digest").agg(F.min(F.struct("doc_id", "key", "fp", "bands")).alias("n")).select(
+        "digest", F.col("n.doc_id").alias("rep"), "n.key", "n.fp", "n.bands")
+    nodes = stored(nodes, "nodes")
+    banded = nodes.select("rep", "key", "fp", F.posexplode("bands").alias("band", "h"))
+    head = F.struct(F.xxhash64("rep", "band").alias("order"), F.col("rep").alias("b"), F.col("key").alias("b_key"), F.col("fp").alias("b_fp"))
+    buckets = banded.groupBy("band", "h").agg(F.count("*").alias("n"), F.min(head).alias("head")).where("n > 1")
+    buckets = stored(buckets.select("band", "h", "n", "head.b", "head.b_key", "head.b_fp"), "buckets")
+    total = buckets.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") * 10_000 >= total  # 10,000 of them at most
+    on = ["band", "h"]
+    met = banded.join(F.broadcast(buckets.where(hot)), on).unionByName(
+        banded.join(F.broadcast(buckets.where(hot)), on, "left_anti").join(buckets.where(~hot), on))
+    coordinates = F.greatest(*[F.abs(_distance(F.col("fp"), pivot(i)) - _distance(F.col("b_fp"), pivot(i))) for i in range(TABLE_PIVOTS)])
+    pairs = met.where((F.col("rep") != F.col("b")) & (coordinates <= APART)).groupBy("rep", "key", "b", "b_key").agg(F.max("n").alias("n"))
+    pairs = stored(pairs.withColumn("salts", F.ceil(F.col("n") / SALTED)).drop("n"), "pairs")
+
+    heads = pairs.groupBy(F.col("b").alias("doc_id"), F.col("b_key").alias("key")).agg(F.max("salts").alias("salts"))
+    members = pairs.groupBy(F.col("rep").alias("doc_id"), "key").agg(F.collect_list(F.struct("b", "b_key", "salts")).alias("others"))
+    ids = stored(heads.select("doc_id").union(members.select("doc_id")).distinct(), "ids")
+    bits = bloom.bits_for(ids.count())
+    needed = rows.where(bloom.might_contain(bloom.build(ids, "doc_id", bits), F.col("doc_id"), bits)) if bits else rows
+    once = needed.join(members.join(heads, ["doc_id", "key"], "full_outer"), ["doc_id", "key"]).dropDuplicates(["doc_id", "key"])
+    texts = stored(once, "candidates")
+    left = texts.where("others IS NOT NULL").select("doc_id", "text", F.explode("others").alias("o")).select(
+        F.col("doc_id").alias("a"), F.col("text").alias("own"), "o.b", "o.b_key", F.pmod(F.xxhash64("doc_id"), F.col("o.salts")).alias("salt"))
+    right = texts.where("salts IS NOT NULL").select(F.col("doc_id").alias("b"), F.col("key").alias("b_key"), F.col("text").alias("other"),
+                                                   F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, np.empty(0, np.uint64)
+        for batch in batches:
+            found = []
+            for i in range(batch.num_rows):
+                b = batch.column("b")[i].as_py()
+                if b != last:
+                    last, held = b, shingle_set(batch.column("other")[i].as_py(), shingle)
+                own = shingle_set(batch.column("own")[i].as_py(), shingle)
+                both = len(np.intersect1d(own, held, assume_unique=True))
+                if both >= similarity * (len(own) + len(held) - both):
+                    a = batch.column("a")[i].as_py()
+                    found.append((max(a, b), min(a, b)))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["a", "b"])
+
+    linked = left.join(right, ["b", "b_key", "salt"]).select("a", "b", "own", "other").mapInArrow(decide, "a long, b long")
+    classes = components(stored(linked.where("a <> b").distinct(), "links"))
+    labels = nodes.join(classes, nodes["rep"] == classes["id"], "left").select("digest", F.coalesce("component_id", "rep").alias("component_id"))
+    discard(spark, texts, buckets)
+    return seen.join(labels, "digest").select("doc_id", "component_id")
+
+
+def drop_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SIMILAR_SHINGLE,
+                 similarity: float = SIMILARITY) -> DataFrame:
+    """`docs` with one document of each group of `similar_groups`: that with the smallest id.
+    Rows without an id cannot be named and stay; rows that share an id stay or go together."""
+    groups = similar_groups(docs, id_col=id_col, text_col=text_col, shingle=shingle, similarity=similarity)
+    gone = groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(id_col)).distinct()
+    return docs.join(gone, id_col, "left_anti")

@@ -142,6 +142,39 @@ def test_estimates_without_truth():
     assert K.estimate({}, 3)[0] == {}
 
 
+def test_estimates_against_brute_force():
+    """The estimates over vote patterns are those of a plain loop over rows."""
+    rng = np.random.default_rng(8)
+    rows = [tuple(int(v) for v in rng.choice(3, size=3, p=[0.2, 0.5, 0.3])) for _ in range(300)]
+    codes = [sum(v * 3 ** i for i, v in enumerate(r)) for r in rows]
+    got, table = K.estimate({c: codes.count(c) for c in set(codes)}, 3, rounds=7)
+    bad = [(2.0 * r.count(K.BAD) + 0.1) / (r.count(K.GOOD) + 2.0 * r.count(K.BAD) + 1.0) for r in rows]
+    for _ in range(7):
+        said = {(j, t, v): 0.5 + sum((b if t else 1 - b) for r, b in zip(rows, bad) if r[j] == v) for j in range(3) for t in (0, 1) for v in range(3)}
+        said = {(j, t, v): x / sum(said[j, t, w] for w in range(3)) for (j, t, v), x in said.items()}
+        prior = [1 + sum(1 - b for b in bad), 1 + sum(bad)]
+        new = []
+        for r in rows:
+            like = [prior[t] * np.prod([said[j, t, r[j]] for j in range(3)]) for t in (0, 1)]
+            new.append(like[1] / sum(like))
+        bad = new
+    assert np.allclose([got[c] for c in codes], bad, atol=1e-9)
+    assert all(np.isclose(table[j, t, v], x) for (j, t, v), x in said.items())
+
+
+def test_votes_do_not_depend_on_the_length():
+    """Ten words in random order: the same vote below and above any length."""
+    rng = np.random.default_rng(0)
+    words = [f"word{i}" for i in range(10)]
+    read = K.Features()
+    votes = {n: read([" ".join(rng.choice(words, size=n))])[0][0] // 3 ** 5 % 3 for n in (400, 1900, 2100, 30_000)}
+    assert set(votes.values()) == {K.BAD}
+    fresh = {n: K.repeated(np.arange(n, dtype=np.uint64)) for n in (1, 150, 2000, 50_000)}
+    assert set(fresh.values()) == {0.0} and K.repeated(np.empty(0, np.uint64)) == 0.0
+    some = rng.integers(50, size=1000).astype(np.uint64)
+    assert np.isclose(K.repeated(some), 1 - sum(len(set(some[i:i + 200].tolist())) for i in range(0, 1000, 200)) / 1000)
+
+
 def test_given_labels_are_held():
     bad, _ = K.estimate({K.BAD * 3: 10, K.GOOD * 3: 5, K.BAD + K.GOOD * 3: 5}, 2, truthful=1)
     assert bad[K.BAD * 3] > 0.9 and bad[K.BAD + K.GOOD * 3] < 0.1

@@ -7,6 +7,7 @@ import string
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from sparkrec.llm import simhash as S
 
@@ -89,3 +90,57 @@ def test_empty_and_drop(spark):
     kept = S.drop_near_duplicates(docs)
     assert kept.columns == docs.columns
     assert sorted(r["component_id"] for r in kept.collect()) == [2, 3, 4, 5]
+
+
+def test_rows_without_an_id_link_others(spark):
+    """Two fingerprints that only a row without an id joins are one group."""
+    rows = spark.createDataFrame([(1, 0), (None, 7), (2, 63), (None, 1 << 40), (5, 1 << 20 | 1 << 30 | 1 << 50 | 1 << 60)], "doc_id long, fp long")
+    real = S.fingerprints
+    S.fingerprints = lambda docs: rows
+    try:
+        got = {(r.doc_id, r.fp): r.component_id for r in S.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect()}
+    finally:
+        S.fingerprints = real
+    assert got[(1, 0)] == got[(2, 63)] == got[(None, 7)] == 1 and got[(None, 1 << 40)] == 1
+
+
+def test_similar_documents(spark):
+    """Of planted pairs with a similarity of 0.8 to 1 nine tenths and more are found, and no others."""
+    rng = random.Random(6)
+    word = lambda: f"w{rng.randrange(50_000)}"
+    grams = lambda t: {tuple(t[i:i + 5]) for i in range(max(1, len(t) - 4))}
+    like = lambda a, b: len(grams(a) & grams(b)) / len(grams(a) | grams(b))
+    docs, near = [], []
+    for i in range(400):
+        a = [word() for _ in range(rng.choice([30, 80, 300, 900]))]
+        b = list(a)
+        while like(a, b) > rng.uniform(0.7, 1):
+            b[rng.randrange(len(b))] = word()
+        docs += [(i, " ".join(a)), (1000 + i, " ".join(b))]
+        near.append((like(a, b), i))
+    docs += [(5000, docs[0][1]), (5001, docs[0][1].upper()), (5002, None), (5003, ""), (5004, "one"), (None, docs[0][1])]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in S.similar_groups(frame).collect()}
+    due = [i for s, i in near if s >= 0.8]
+    found = [i for _, i in near if got[1000 + i] == i]
+    assert len(due) > 150 and len(set(due) & set(found)) >= 0.95 * len(due)
+    assert set(found) <= set(due)
+    assert got[5000] == got[5001] == 0 and got[5002] == got[5003] == 5002 and got[5004] == 5004 and None not in got
+    kept = S.drop_similar(frame.withColumns({"key": F.lit(1), "digest": F.lit(2), "rep": F.lit(3)}))
+    assert kept.columns == ["doc_id", "text", "key", "digest", "rep"]
+    assert {r.doc_id for r in kept.collect()} == {i for i, c in got.items() if i == c} | {None}
+    assert S.drop_similar(frame.limit(0)).collect() == []
+
+
+def test_a_large_group_of_near_copies(spark, monkeypatch):
+    """Thousands of copies, each with words of its own, are one group although each is compared with few others."""
+    monkeypatch.setattr(S, "SALTED", 50)
+    rng = random.Random(7)
+    base = [f"w{rng.randrange(5000)}" for _ in range(400)]
+    docs = []
+    for i in range(1500):
+        t = list(base)
+        t[rng.randrange(400)] = f"x{i}"
+        docs.append((i, " ".join(t)))
+    got = [r.component_id for r in S.similar_groups(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()]
+    assert got.count(0) >= 0.99 * len(docs)

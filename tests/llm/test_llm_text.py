@@ -4,11 +4,12 @@ import hashlib
 import random
 import re
 import string
+import time
+import zlib
 
 import numpy as np
 import pytest
 import xxhash
-from pyspark.sql import functions as F
 
 from sparkrec.llm import decontam as D, secret_scan as X
 
@@ -121,13 +122,52 @@ def test_secrets(spark):
     assert by[7]["n_access"] == 1 and by[6]["n_assign"] == 1 and by[8]["n_hex"] == 1
 
 
-def test_models_from_given_samples(spark):
+def test_random_against_ordinary():
+    """500 random and 500 ordinary strings of nine kinds each; the names are made of words that were not learned from."""
+    words = X.ordinary_words()
+    held = [w for w in words if zlib.crc32(w.encode()) % 4 == 0]
+    models = X.sampled(X.labelled(300, [w for w in words if zlib.crc32(w.encode()) % 4]))
+    strings = X.labelled(56, held, seed=9)
+    assert {k for _, _, k in strings} == {*X.RANDOM_KINDS, *X.ORDINARY_KINDS} and len(strings) > 1000
+    said = [(models.score(t) >= X.MARGIN, secret) for t, secret, _ in strings]
+    right = sum(a and b for a, b in said)
+    assert right / sum(a for a, _ in said) >= 0.95 and right / sum(b for _, b in said) >= 0.95
+    for text in ("-" * 32, "=" * 24, "THIS_IS_A_CONSTANT_NAME_OF_CONFIG", "https//www/example/com/path/to/page", "getUserAccountConfigurationFactory"):
+        assert models.score(text) < X.MARGIN
+    rng = random.Random(3)
+    assert all(models.score("".join(rng.choice(string.digits) for _ in range(24))) >= X.MARGIN for _ in range(100))
+
+
+def test_planted_strings(spark):
+    """Random strings are found at their places, also beside and around base spans; names are left alone."""
+    rng = random.Random(2)
+    key = lambda n: "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(n))
+    rows, want = [], {}
+    for i in range(200):
+        a, b, name = key(40), key(30), X._ordinary(X.ORDINARY_KINDS[i % 9], rng, X.WORDS)
+        lead = "日本 é " * (i % 3)
+        text = f"{lead}start {a} then ({name}) and token={b} or deadbeefdeadbeefdeadbeef{'G' + a} end"
+        rows.append((i, text))
+        at, glued = len(lead) + 6, text.index("deadbeef") + 24
+        want[i] = {(3, at, at + 40), (3, glued, glued + 41)}
+    got = X.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    for r in got:
+        assert {tuple(s) for s in r["spans"] if s["kind"] == 3} >= want[r["doc_id"]]
+    assert sum(s["kind"] == 3 for r in got for s in r["spans"]) <= 2 * len(rows) * 1.02
+
+
+def test_long_texts_take_time_in_proportion():
+    text = ("né " + "Zk9Qw3VxT7bLp2RmY8sHc4Jd ") * 100_000
+    began = time.time()
+    _, strings, _ = X._scan_slice(X.Patterns(), [text])
+    assert len(strings[0]) == 100_000 and strings[0][-1]["start"] == len(text) - 25 and time.time() - began < 20
+
+
+def test_given_samples(spark):
     rng = random.Random(1)
     kinds = string.ascii_letters + string.digits
     strings = ["".join(rng.choice(kinds) for _ in range(30)) for _ in range(300)]
     names = ["_".join(rng.choice(["user", "count", "name", "index", "value", "total", "first"]) for _ in range(4)) for _ in range(300)]
-    samples = spark.createDataFrame([*((s, True) for s in strings[:200]), *((n, False) for n in names[:200]), (None, None)], "text string, secret boolean")
-    ratio = X.train(X.sample_counts(samples))
-    right = sum(X.score(s, ratio) > 0 for s in strings[200:]) + sum(X.score(n, ratio) <= 0 for n in names[200:])
-    assert right >= 198
-    assert X.find_secrets(spark.createDataFrame([], "doc_id long, text string"), samples=samples).collect() == []
+    models = X.sampled([*((s, True, "r") for s in strings[:200]), *((n, False, "o") for n in names[:200]), (None, None, "x"), ("a", None, "x")])
+    assert sum(models.score(s) > 0 for s in strings[200:]) + sum(models.score(n) <= 0 for n in names[200:]) >= 198
+    assert X.find_secrets(spark.createDataFrame([], "doc_id long, text string"), samples=[]).collect() == []
