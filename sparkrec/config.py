@@ -23,7 +23,6 @@ class Params:
     rrf_constant: int = 60
     metric: str = "l2sq"
     model: str = "default"
-    temperature: float = 0.0
 
     @property
     def budget(self) -> int:
