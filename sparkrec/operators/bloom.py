@@ -33,7 +33,7 @@ def build(ids: DataFrame, id_col: str, bits: int) -> DataFrame:
     words = ids.where(F.col(id_col).isNotNull()).select(place.alias("p")).select(
         F.shiftright("p", 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("p", F.lit(64)).cast("int")).alias("bits"))
     zeros = ids.sparkSession.range(bits // 64).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("bits"))
-    whole = words.groupBy("word").agg(F.bit_or("bits").alias("bits")).union(zeros).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    whole = words.union(zeros).groupBy("word").agg(F.bit_or("bits").alias("bits"))
 
     def in_order(key: str, value: str) -> Column:
         return F.transform(F.array_sort(F.collect_list(F.struct(key, value))), lambda x: x[value])
