@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sparkrec.llm.common import documents, stored, with_base
-from sparkrec.llm.tokens import encoder
+from sparkrec.llm.tokens import encoded, encoder
 
 BLOCK = 256
 PERCENTILE = 0.9
@@ -132,8 +132,6 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, *,
     null text counts as empty, a null id comes first, equal ids follow the hash and then
     the text. An empty table writes no segment. Other columns are not read.
     """
-    tail = np.array([end_id], dtype="<u4").tobytes()
-
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode_text, part = encoder(tokenizer_path), TaskContext.get().partitionId()
         doc_ids: list[int | None] = []
@@ -146,13 +144,14 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, *,
                 "payload": pa.array([encode_segment(doc_ids, ids)], pa.binary())})
 
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                doc_ids.append(doc_id)
-                ids.append(encode_text(text.as_py()) + tail)
-                held += len(ids[-1]) // 4
-                if held >= SEGMENT_IDS:
-                    yield packed()
-                    segment, start, held, doc_ids, ids = segment + 1, start + held, 0, [], []
+            for some_ids, some in encoded(encode_text, batch, end_id):
+                for doc_id, own in zip(some_ids.to_pylist(), some):
+                    doc_ids.append(doc_id)
+                    ids.append(own)
+                    held += len(own) // 4
+                    if held >= SEGMENT_IDS:
+                        yield packed()
+                        segment, start, held, doc_ids, ids = segment + 1, start + held, 0, [], []
         if ids:
             yield packed()
 

@@ -9,10 +9,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from sparkrec.llm.common import slices
+
 CACHE_WORDS = 400_000
+BATCH_BYTES = 8 << 20          # texts whose words are numbered at once
 
 # A word of plain letters and the marks behind it: two pieces for the tokenizer, whatever
 # stands around them, and already in composed form.
@@ -81,12 +85,37 @@ class Encoder:
         self.cache[word] = found
         return found
 
-    def __call__(self, text: str) -> bytes:
+    def _words(self, words: list[bytes]) -> list[bytes]:
         if len(self.cache) > self.cache_words:
             self.old, self.cache = self.cache, {}
         cache = self.cache
-        words = text.encode("utf-8", "replace").split()
-        return b"".join([cache.get(w) or self._word(w) for w in words])
+        return [cache.get(w) or self._word(w) for w in words]
+
+    def __call__(self, text: str) -> bytes:
+        return b"".join(self._words(text.encode("utf-8", "replace").split()))
+
+    def batch(self, texts: pa.Array, end_id: int) -> list[bytes]:
+        """The ids of each text, with `end_id` behind them. Only the different words of all
+        texts are looked up; their ids are dealt to the words by number."""
+        words = pc.ascii_split_whitespace(texts)
+        bounds = words.offsets.to_numpy().astype(np.int64)
+        numbered = words.flatten().dictionary_encode()
+        known = self._words(numbered.dictionary.cast(pa.binary()).to_pylist())
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        ids = pa.array(np.frombuffer(b"".join(known), dtype="<u4"))
+        offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+        dealt = pa.ListArray.from_arrays(pa.array(offsets), ids).take(numbered.indices)
+        ends = dealt.offsets.to_numpy()[bounds - bounds[0]].astype(np.int64)
+        data = np.insert(dealt.flatten().to_numpy(), ends[1:], end_id).tobytes()
+        places = (4 * (ends + np.arange(len(ends)))).tolist()
+        return [data[a:b] for a, b in zip(places, places[1:])]
+
+
+def encoded(encode: Encoder, batch: pa.RecordBatch, end_id: int) -> Iterator[tuple[pa.Array, list[bytes]]]:
+    """doc_id and ids of the rows of a batch, some BATCH_BYTES of text at a time."""
+    texts = batch.column("text")
+    for low, high in slices(batch, pc.binary_length(texts).to_pylist(), BATCH_BYTES):
+        yield batch.column("doc_id").slice(low, high - low), encode.batch(texts.slice(low, high - low), end_id)
 
 
 def encoder(path: str) -> Encoder:
@@ -106,15 +135,11 @@ TOKEN_SCHEMA = "part int, row long, doc_id long, start long, n_ids long, ids bin
 def token_rows(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     """Per document of (doc_id, text): its ids with `end_id` behind them, the partition
     and row it is in, and how many ids the rows before it in that partition have."""
-    tail = np.array([end_id], dtype="<u4").tobytes()
-
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode_text, part = encoder(tokenizer_path), TaskContext.get().partitionId()
         row = start = 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                doc_ids = batch.column("doc_id").slice(at, 256)
-                ids = [encode_text(t) + tail for t in batch.column("text").slice(at, 256).to_pylist()]
+            for doc_ids, ids in encoded(encode_text, batch, end_id):
                 sizes = np.array([len(x) // 4 for x in ids], dtype=np.int64)
                 ends = start + np.cumsum(sizes)
                 yield pa.RecordBatch.from_arrays([
