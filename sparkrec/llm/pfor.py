@@ -48,19 +48,26 @@ def encode_blocks(values: np.ndarray) -> tuple[np.ndarray, bytes]:
     rest = full - least[:, None]
     k = int(PERCENTILE * (BLOCK - 1))
     width = _bits(np.partition(rest, k, axis=1)[:, k])
-    blocks: list[bytes] = [b""] * len(full)
-    for w in np.unique(width).tolist():
-        chosen = np.flatnonzero(width == w)
-        part = rest[chosen]
-        bits = np.unpackbits(part.astype(">u4").view(np.uint8).reshape(len(chosen), BLOCK, 4), axis=2)
-        packed = np.packbits(bits[:, :, 32 - w:].reshape(len(chosen), -1), axis=1)
-        high = part >> w if w < 32 else np.zeros_like(part)
-        for i, p, h in zip(chosen.tolist(), packed, high):
-            at = np.flatnonzero(h)
-            head = np.array([(least[i], w, len(at))], dtype=_BLOCK_HEAD).tobytes()
-            blocks[i] = b"".join((head, p.tobytes(), at.astype("<u2").tobytes(), h[at].astype("<u4").tobytes()))
-    sizes = np.array([len(b) for b in blocks])
-    return (np.cumsum(sizes) - sizes).astype("<u4"), b"".join(blocks)
+    shifted = np.where(width[:, None] < 32, rest >> np.minimum(width, 31)[:, None], 0).astype("<u4")
+    outliers = np.count_nonzero(shifted, axis=1)
+    size = _BLOCK_HEAD.itemsize
+    sizes = size + BLOCK // 8 * width.astype(np.int64) + 6 * outliers
+    starts = np.cumsum(sizes) - sizes
+    out = np.empty(int(sizes.sum()), dtype=np.uint8)
+    heads = np.empty(len(full), dtype=_BLOCK_HEAD)
+    heads["least"], heads["width"], heads["exceptions"] = least, width, outliers
+    out[starts[:, None] + np.arange(size)] = heads.view(np.uint8).reshape(-1, size)
+    for w in np.unique(width[width > 0]).tolist():
+        chosen, n = np.flatnonzero(width == w), -(-w // 8)
+        low = rest[chosen].astype(">u4").view(np.uint8).reshape(len(chosen), BLOCK, 4)[:, :, 4 - n:]
+        bits = np.unpackbits(low, axis=2)[:, :, 8 * n - w:]
+        out[starts[chosen, None] + size + np.arange(BLOCK * w // 8)] = np.packbits(bits.reshape(len(chosen), -1), axis=1)
+    block, at = np.nonzero(shifted)
+    first = starts[block] + size + BLOCK // 8 * width[block].astype(np.int64)
+    nth = np.arange(len(block)) - (np.cumsum(outliers) - outliers)[block]
+    out[(first + 2 * nth)[:, None] + np.arange(2)] = at.astype("<u2").view(np.uint8).reshape(-1, 2)
+    out[(first + 2 * outliers[block] + 4 * nth)[:, None] + np.arange(4)] = shifted[block, at].view(np.uint8).reshape(-1, 4)
+    return starts.astype("<u4"), out.tobytes()
 
 
 def decode_blocks(starts: np.ndarray, data: bytes, n: int) -> np.ndarray:
@@ -73,10 +80,12 @@ def decode_blocks(starts: np.ndarray, data: bytes, n: int) -> np.ndarray:
         chosen = np.flatnonzero(heads["width"] == w)
         if w:
             places = starts[chosen, None].astype(np.int64) + size + np.arange(BLOCK * w // 8)
-            bits = np.unpackbits(raw[places], axis=1).reshape(len(chosen), BLOCK, w)
-            wide = np.zeros((len(chosen), BLOCK, 32), dtype=np.uint8)
-            wide[:, :, 32 - w:] = bits
-            out[chosen] = np.packbits(wide, axis=2).view(">u4").reshape(len(chosen), BLOCK)
+            wholes = -(-w // 8)
+            wide = np.zeros((len(chosen), BLOCK, 8 * wholes), dtype=np.uint8)
+            wide[:, :, 8 * wholes - w:] = np.unpackbits(raw[places], axis=1).reshape(len(chosen), BLOCK, w)
+            full = np.zeros((len(chosen), BLOCK, 4), dtype=np.uint8)
+            full[:, :, 4 - wholes:] = np.packbits(wide, axis=2)
+            out[chosen] = full.view(">u4").reshape(len(chosen), BLOCK)
     for i in np.flatnonzero(heads["exceptions"]).tolist():
         w, k = int(heads["width"][i]), int(heads["exceptions"][i])
         at = int(starts[i]) + size + BLOCK * w // 8

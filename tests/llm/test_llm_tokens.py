@@ -4,12 +4,13 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sparkrec.llm import packing, pfor
+from sparkrec.llm import packing, pfor, tokens
 from sparkrec.llm.tokens import Encoder
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -36,6 +37,22 @@ def test_encoder_on_any_text(text):
     assert ENCODER(text) == ids_of(text, 0)[:-1].tobytes()
 
 
+def test_batches_are_the_tokenizer():
+    """Also when the word cache is smaller than a batch, texts come from a part of an array, and a
+    piece of a batch is one text."""
+    texts = pa.array(["left out", *ODD, *ODD, " \n ", "a"]).slice(1)
+    want = [ids_of(t, 7).tobytes() for t in texts.to_pylist()]
+    assert ENCODER.batch(texts, 7) == want
+    rows = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), texts], names=["doc_id", "text"])
+    for most in (1, 100, 1 << 20):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(tokens, "BATCH_BYTES", most)
+            parts = [(ids.to_pylist(), own) for ids, own in tokens.encoded(ENCODER, rows, 7)]
+        assert [i for ids, _ in parts for i in ids] == list(range(len(texts)))
+        assert [x for _, own in parts for x in own] == want
+    assert ENCODER.batch(pa.array([], pa.string()), 7) == []
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 2 ** 32 - 1), max_size=600), st.integers(0, 31))
 def test_blocks_round_trip(values, shift):
