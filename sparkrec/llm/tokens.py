@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from sparkrec.llm.common import slices
 
 CACHE_WORDS = 400_000
-BATCH_BYTES = 8 << 20          # texts whose words are numbered at once
+BATCH_BYTES = 2 << 20          # texts whose words are numbered at once
 
 # A word of plain letters and the marks behind it: two pieces for the tokenizer, whatever
 # stands around them, and already in composed form.
