@@ -1,8 +1,11 @@
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
-from sparkrec.operators import ivf
+from sparkrec.operators import ivf, knn
 from sparkrec.operators.knn import distance, knn_topk
 
 SCHEMA_Q = "query_id long, variant_no int, embedding array<float>"
@@ -116,3 +119,57 @@ def test_approximate_search(spark):
     some = ivf.recall(ivf.knn_approximate(q, d, 5, centres, 2), exact)
     values = [r.recall for r in some.collect()]
     assert len(values) == 30 and all(0 <= v <= 1 for v in values) and np.mean(values) > 0.4
+
+
+def test_lists_leave_a_task_in_small_batches():
+    """What a task sends is made some rows at a time, so it holds no second copy of its lists."""
+    n, rows = 20, 60_000
+    best = knn._Best(np.zeros((rows, 2)), n, "l2sq", 1)
+    best.used[:], best.payload[0][:] = True, "h" * 64
+    schema = pa.schema([("query_id", pa.int64()), ("doc_id", pa.int64()), ("distance", pa.float64()), ("text_hash", pa.string())])
+    tracemalloc.start()
+    sent = 0
+    for batch in knn._lists(best, {"keys": [np.arange(rows)]}, ["text_hash"], schema):
+        sent += batch.num_rows
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sent == n * rows and peak < 10 << 20
+
+
+def test_labels_of_a_block_take_arrays():
+    """Many labels for each query become arrays at once, not Python objects."""
+    rows, cells = 4000, 256
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, rows * cells + 1, cells), pa.int32()), pa.array(np.tile(np.arange(cells), rows), pa.int32()))
+    table = pa.table({"query_id": np.arange(rows), "_vector": pa.ListArray.from_arrays(pa.array(np.arange(rows + 1), pa.int32()), pa.array(np.zeros(rows))),
+                      "_bound": pa.nulls(rows, pa.float64()), "_allowed": lists})
+    tracemalloc.start()
+    held = knn._block(table, ["query_id"], True)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert all((held["askers"][held["codes"][c]] == np.arange(rows)).all() for c in range(cells)) and not len(held["free"])
+    assert peak < 48 * rows * cells
+
+
+def test_a_large_query_table_goes_in_blocks(spark, monkeypatch):
+    """20,000 queries with lists of 20 texts' hashes are more than a task holds at once."""
+    made = []
+    blocks = knn._blocks
+    monkeypatch.setattr(knn, "_blocks", lambda *a: made.append(blocks(*a)) or made[-1])
+    q = spark.range(20_000).select(F.col("id").alias("query_id"), F.lit(0).alias("variant_no"), F.array_repeat(F.rand(1).cast("float"), 4).alias("embedding"))
+    d = spark.range(50).select(F.col("id").alias("doc_id"), F.array_repeat(F.rand(2).cast("float"), 4).alias("embedding"), F.sha2(F.col("id").cast("string"), 256).alias("text_hash"))
+    assert knn_topk(q, d, 20, carry=["text_hash"]).count() == 400_000
+    assert len(made) == 1 and len(made[0]) > 1
+
+
+@pytest.mark.parametrize("metric", ["l2sq", "cosine", "ip"])
+@pytest.mark.parametrize("shift", [0.0, 1e4, 1e13])
+def test_far_from_zero_the_result_is_exact(spark, metric, shift):
+    """Single precision only proposes; far from zero it cannot tell the vectors apart."""
+    rng = np.random.default_rng(3)
+    docs, asked = rng.normal(size=(300, 5)) + shift, rng.normal(size=(12, 5)) + shift
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(docs)], "doc_id long, embedding array<double>")
+    q = spark.createDataFrame([(i // 3, i % 3, v.tolist()) for i, v in enumerate(asked)], "query_id long, variant_no int, embedding array<double>")
+    want = q.withColumnRenamed("embedding", "qv").crossJoin(d).withColumn("x", distance(F.col("qv"), F.col("embedding"), metric))
+    w = W.partitionBy("query_id", "variant_no").orderBy("x", "doc_id")
+    want = want.withColumn("rank", F.row_number().over(w)).where("rank <= 6")
+    assert found(knn_topk(q, d, 6, metric)) == found(want)
