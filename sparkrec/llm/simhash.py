@@ -3,6 +3,7 @@ tables of distances to reference fingerprints (pivots)."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -10,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from sparkrec.llm.common import discard, documents, slices, stored
 from sparkrec.operators import bloom
@@ -292,6 +293,9 @@ BANDS = 8               # keys of a document
 ROWS = 4                # smallest shingles that make up a key
 APART = 26              # bits, more than fingerprints of such a pair differ in
 SALTED = 2000           # pairs with one document in one place
+ORDER_SAMPLE = 20_000   # documents that tell which shingles are frequent; only the order of shingles depends on it
+FREQUENT = 100_000      # such shingles at most
+FEW = 3                 # members of a group that a shingle proposes before all of them
 
 
 def shingle_set(text: str, size: int) -> np.ndarray:
@@ -313,8 +317,45 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(row.tobytes()) for row in least.reshape(BANDS, ROWS)], dtype=np.uint64).view(np.int64)
 
 
-def _described(rows: DataFrame, size: int) -> DataFrame:
-    """doc_id, key, digest of the set of shingles, fp and band keys of (doc_id, key, text)."""
+def frequent_shingles(rows: DataFrame, size: int) -> np.ndarray:
+    """Shingles of three documents and more of a sample, the most frequent last."""
+    step = max(1, rows.count() // ORDER_SAMPLE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                found = shingle_set(text, size)
+                if len(found):
+                    yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], names=["h"])
+
+    counts = rows.where(F.pmod("key", F.lit(step)) == 0).select("text").mapInArrow(run, "h long").groupBy("h").count()
+    top = counts.where("count > 2").orderBy(F.desc("count"), "h").limit(FREQUENT).toArrow()
+    return top.column("h").to_numpy()[::-1].astype(np.int64).view(np.uint64)
+
+
+def prefix_length(n: int, least: float) -> int:
+    """How many of n shingles, in any one order for all texts, have one in common with
+    every set that shares `least` of them."""
+    return n - math.ceil(least * n - 1e-9) + 1 if n else 0
+
+
+def _described(rows: DataFrame, size: int, similarity: float) -> DataFrame:
+    """doc_id, key, digest of the set of shingles, fp, band keys, number of shingles and the first of
+    them (frequent ones come last) of (doc_id, key, text)."""
+    by_rank = frequent_shingles(rows, size)
+    by_hash = np.argsort(by_rank)
+    held = rows.sparkSession.sparkContext.broadcast((by_rank[by_hash], by_hash))
+
+    def first(shingles: np.ndarray) -> np.ndarray:
+        frequent, rank = held.value
+        wanted = prefix_length(len(shingles), similarity)
+        if not len(frequent):
+            return shingles[:wanted]
+        at = np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)
+        hot = frequent[at] == shingles
+        rare = shingles[~hot][:wanted]
+        return np.concatenate((rare, shingles[hot][np.argsort(rank[at[hot]])][:wanted - len(rare)]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = batch.column("text")
@@ -324,9 +365,41 @@ def _described(rows: DataFrame, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(a, b - a), batch.column("key").slice(a, b - a),
                      pa.array([xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets]), pa.array(fingerprint_batch(texts, size)),
-                     pa.array([band_keys(s).tolist() for s in sets], pa.list_(pa.int64()))], names=["doc_id", "key", "digest", "fp", "bands"])
+                     pa.array([band_keys(s).tolist() for s in sets], pa.list_(pa.int64())), pa.array([len(s) for s in sets], pa.int64()),
+                     pa.array([first(s).view(np.int64) for s in sets], pa.list_(pa.int64()))],
+                    names=["doc_id", "key", "digest", "fp", "bands", "n", "first"])
+
+    return rows.mapInArrow(run, "doc_id long, key long, digest string, fp long, bands array<long>, n long, first array<long>")
+
 
-    return rows.mapInArrow(run, "doc_id long, key long, digest string, fp long, bands array<long>")
+def _between_groups(shingles: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rows of `shingles` (rep, key, n, place, h) that documents of different groups have, with their group."""
+    named = shingles.join(classes, shingles["rep"] == classes["id"], "left").select(
+        "rep", "key", "n", "place", "h", F.coalesce("component_id", "rep").alias("own"))
+    shared = named.groupBy("h").agg(F.min("own").alias("_x"), F.max("own").alias("_y")).where("_x <> _y").select("h")
+    return stored(named.join(shared, "h"), "shingles")
+
+
+def _apart_but_alike(shingles: DataFrame, similarity: float, most: int | None = None) -> DataFrame:
+    """rep, key, b, b_key, n (pairs with b): all pairs of different groups that may share
+    `similarity` of their shingles; with `most`, of so many members of a group at a shingle.
+
+    Of two such sets, in one order of all shingles, the first ones of the larger (as many as
+    `prefix_length` says) meet the first ones of the smaller, where fewer do; and behind the
+    first one they share enough is left of both.
+    """
+    if most:
+        w = W.partitionBy("h", "own").orderBy(F.xxhash64("rep", "key"))
+        shingles = shingles.withColumn("_at", F.row_number().over(w)).where(F.col("_at") <= most).drop("_at")
+    share = similarity / (1 + similarity)
+    fewer = F.col("n") - F.ceil(F.lit(2 * share) * F.col("n") - 1e-9) + 1
+    small = shingles.where(F.col("place") < fewer).select(
+        "h", F.col("rep").alias("b"), F.col("key").alias("b_key"), F.col("n").alias("b_n"), F.col("own").alias("b_own"), F.col("place").alias("b_place"))
+    n, m = F.col("n"), F.col("b_n")
+    left = F.least(n - F.col("place"), m - F.col("b_place"))
+    fits = (F.col("own") != F.col("b_own")) & (n >= m) & (m >= F.lit(similarity) * n - 1e-9) & (left >= F.lit(share) * (n + m) - 1e-9)
+    pairs = stored(shingles.join(small, "h").where(fits).select("rep", "key", "b", "b_key").distinct(), "further")
+    return pairs.join(pairs.groupBy("b", "b_key").agg(F.count("*").alias("n")), ["b", "b_key"])
 
 
 def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SIMILAR_SHINGLE,
@@ -339,15 +412,18 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     coordinate difference, and the shingles of both texts decide. Documents with equal
     sets of shingles are one node. A bucket of any size proposes one pair for each member,
     with its head; every band has other heads, so members of a large group meet several.
+    This finds most links. Then all pairs of different groups that may still be alike are
+    proposed by their first shingles (`_apart_but_alike`) and decided likewise, so that no
+    link between two groups is left out.
 
     Documents without words are alike. Rows without an id are left out. An empty table gives
     no rows.
     """
     spark = docs.sparkSession
     rows = documents(docs, id_col, text_col).where("doc_id IS NOT NULL").withColumn("key", F.xxhash64("text"))
-    seen = stored(_described(rows, shingle), "described")
-    nodes = seen.groupBy("digest").agg(F.min(F.struct("doc_id", "key", "fp", "bands")).alias("n")).select(
-        "digest", F.col("n.doc_id").alias("rep"), "n.key", "n.fp", "n.bands")
+    seen = stored(_described(rows, shingle, similarity), "described")
+    nodes = seen.groupBy("digest").agg(F.min(F.struct("doc_id", "key", "fp", "bands", "n", "first")).alias("x")).select(
+        "digest", F.col("x.doc_id").alias("rep"), "x.key", "x.fp", "x.bands", "x.n", "x.first")
     nodes = stored(nodes, "nodes")
     banded = nodes.select("rep", "key", "fp", F.posexplode("bands").alias("band", "h"))
     head = F.struct(F.xxhash64("rep", "band").alias("order"), F.col("rep").alias("b"), F.col("key").alias("b_key"), F.col("fp").alias("b_fp"))
@@ -360,19 +436,6 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         banded.join(F.broadcast(buckets.where(hot)), on, "left_anti").join(buckets.where(~hot), on))
     coordinates = F.greatest(*[F.abs(_distance(F.col("fp"), pivot(i)) - _distance(F.col("b_fp"), pivot(i))) for i in range(TABLE_PIVOTS)])
     pairs = met.where((F.col("rep") != F.col("b")) & (coordinates <= APART)).groupBy("rep", "key", "b", "b_key").agg(F.max("n").alias("n"))
-    pairs = stored(pairs.withColumn("salts", F.ceil(F.col("n") / SALTED)).drop("n"), "pairs")
-
-    heads = pairs.groupBy(F.col("b").alias("doc_id"), F.col("b_key").alias("key")).agg(F.max("salts").alias("salts"))
-    members = pairs.groupBy(F.col("rep").alias("doc_id"), "key").agg(F.collect_list(F.struct("b", "b_key", "salts")).alias("others"))
-    ids = stored(heads.select("doc_id").union(members.select("doc_id")).distinct(), "ids")
-    bits = bloom.bits_for(ids.count())
-    needed = rows.where(bloom.might_contain(bloom.build(ids, "doc_id", bits), F.col("doc_id"), bits)) if bits else rows
-    once = needed.join(members.join(heads, ["doc_id", "key"], "full_outer"), ["doc_id", "key"]).dropDuplicates(["doc_id", "key"])
-    texts = stored(once, "candidates")
-    left = texts.where("others IS NOT NULL").select("doc_id", "text", F.explode("others").alias("o")).select(
-        F.col("doc_id").alias("a"), F.col("text").alias("own"), "o.b", "o.b_key", F.pmod(F.xxhash64("doc_id"), F.col("o.salts")).alias("salt"))
-    right = texts.where("salts IS NOT NULL").select(F.col("doc_id").alias("b"), F.col("key").alias("b_key"), F.col("text").alias("other"),
-                                                   F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, np.empty(0, np.uint64)
@@ -390,10 +453,36 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["a", "b"])
 
-    linked = left.join(right, ["b", "b_key", "salt"]).select("a", "b", "own", "other").mapInArrow(decide, "a long, b long")
-    classes = components(stored(linked.where("a <> b").distinct(), "links"))
+    def verified(pairs: DataFrame) -> DataFrame:
+        """a, b (b < a) of those `pairs` (rep, key, b, b_key, n) whose texts are alike."""
+        pairs = stored(pairs.withColumn("salts", F.ceil(F.col("n") / SALTED)).drop("n"), "pairs")
+
+        heads = pairs.groupBy(F.col("b").alias("doc_id"), F.col("b_key").alias("key")).agg(F.max("salts").alias("salts"))
+        members = pairs.groupBy(F.col("rep").alias("doc_id"), "key").agg(F.collect_list(F.struct("b", "b_key", "salts")).alias("others"))
+        ids = stored(heads.select("doc_id").union(members.select("doc_id")).distinct(), "ids")
+        bits = bloom.bits_for(ids.count())
+        needed = rows.where(bloom.might_contain(bloom.build(ids, "doc_id", bits), F.col("doc_id"), bits)) if bits else rows
+        once = needed.join(members.join(heads, ["doc_id", "key"], "full_outer"), ["doc_id", "key"]).dropDuplicates(["doc_id", "key"])
+        texts = stored(once, "candidates")
+        left = texts.where("others IS NOT NULL").select("doc_id", "text", F.explode("others").alias("o")).select(
+            F.col("doc_id").alias("a"), F.col("text").alias("own"), "o.b", "o.b_key", F.pmod(F.xxhash64("doc_id"), F.col("o.salts")).alias("salt"))
+        right = texts.where("salts IS NOT NULL").select(F.col("doc_id").alias("b"), F.col("key").alias("b_key"), F.col("text").alias("other"),
+                                                       F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+        linked = left.join(right, ["b", "b_key", "salt"]).select("a", "b", "own", "other").mapInArrow(decide, "a long, b long")
+        found = stored(linked.where("a <> b").distinct(), "links")
+        discard(spark, texts, pairs, ids)
+        return found
+
+    found = verified(pairs)
+    # A few members of a group at a shingle, then all that are still apart: a group of any size
+    # has most of what belongs to it by then, and shingles of one group alone propose nothing.
+    shingles = nodes.select("rep", "key", "n", F.posexplode("first").alias("place", "h"))
+    for most in (FEW, None):
+        shingles = _between_groups(shingles, stored(components(found), "classes"))
+        found = stored(found.union(verified(_apart_but_alike(shingles, similarity, most))), "links")
+    classes = components(found)
     labels = nodes.join(classes, nodes["rep"] == classes["id"], "left").select("digest", F.coalesce("component_id", "rep").alias("component_id"))
-    discard(spark, texts, buckets)
+    discard(spark, buckets)
     return seen.join(labels, "digest").select("doc_id", "component_id")
 
 

@@ -144,3 +144,29 @@ def test_a_large_group_of_near_copies(spark, monkeypatch):
         docs.append((i, " ".join(t)))
     got = [r.component_id for r in S.similar_groups(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()]
     assert got.count(0) >= 0.99 * len(docs)
+
+
+def test_no_pair_at_the_threshold_is_left_out(spark):
+    """Pairs just above 0.8, too many for keys of smallest shingles to find them all; those just below stay apart."""
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(50_000)}"
+    grams = lambda t: {tuple(t[i:i + 5]) for i in range(max(1, len(t) - 4))}
+    like = lambda a, b: len(grams(a) & grams(b)) / len(grams(a) | grams(b))
+    common = [word() for _ in range(30)]  # a passage of all texts
+    docs, due = [], {}
+    for i in range(500):
+        a = [word() for _ in range(rng.choice([20, 60, 150]))]
+        if i % 2:
+            a = common + a
+        b = list(a)
+        while True:
+            c = list(b)
+            c[rng.randrange(len(c))] = word()
+            if like(a, c) < 0.8:
+                break
+            b = c
+        b = c if i % 5 == 0 else b
+        docs += [(i, " ".join(a)), (1000 + i, " ".join(b))]
+        due[1000 + i] = i if like(a, b) >= 0.8 else 1000 + i
+    got = {r.doc_id: r.component_id for r in S.similar_groups(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()}
+    assert {i: got[i] for i in due} == due and all(got[i] == i for i in range(500))
