@@ -3,6 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
+from sparkrec.sources.results import write_json, write_parquet
+from sparkrec.storage import cut_lineage
 from workload import answers, search
 
 
@@ -22,3 +24,13 @@ def test_hits_are_searched_once(spark, tables, query):
     out = query(spark, tables)
     assert "MapInArrow" not in out._jdf.queryExecution().executedPlan().toString()
     assert out.count()
+
+
+def test_texts_are_written_compressed(spark, tmp_path):
+    rows = spark.range(3).withColumn("text", F.lit("word " * 50))
+    write_json(rows, str(tmp_path / "json"))
+    write_parquet(rows, str(tmp_path / "parquet"))
+    kept = cut_lineage(rows)
+    assert all(f.endswith(".json.gz") for f in spark.read.json(str(tmp_path / "json")).inputFiles())
+    assert all(f.endswith(".zstd.parquet") for f in [*kept.inputFiles(), *spark.read.parquet(str(tmp_path / "parquet")).inputFiles()])
+    assert spark.read.json(str(tmp_path / "json")).count() == 3
