@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState
 
 from sparkrec import schemas
 from sparkrec.operators.events import join_tokens, progress_message
@@ -33,6 +34,7 @@ _BOUNDS = T.StructType([
     T.StructField("end_n", T.IntegerType()),
     T.StructField("end_docs", T.StringType()),
     T.StructField("end_text", T.StringType()),
+    T.StructField("due", T.LongType()),
 ])
 _STATUS = T.StructType([
     T.StructField("message_seq", T.LongType()),
@@ -55,69 +57,62 @@ def _int(v):
     return None if v is None or pd.isna(v) else int(v)
 
 
-def _due(handle: StatefulProcessorHandle, at: int) -> None:
-    """One timer, at the latest time asked for so far."""
-    for timer in list(handle.listTimers()):
-        at = max(at, timer)
-        handle.deleteTimer(timer)
-    handle.registerTimer(at)
+def _packed(*columns: str | Column) -> Column:
+    """What an event tells as one JSON text: each column of a group is handed over by itself,
+    which takes longer than its few rows do."""
+    return F.to_json(F.struct("seq", F.unix_millis("ts").alias("ms"), "type", *columns)).alias("event")
 
 
-class ChunkFold(StatefulProcessor):
+def _events(frames: Iterator[pd.DataFrame]) -> Iterator[dict]:
+    for frame in frames:
+        yield from map(json.loads, frame["event"].tolist())
+
+
+def _row(**values) -> pd.DataFrame:
+    return pd.DataFrame({name: [value] for name, value in values.items()}, dtype=object)
+
+
+class ChunkFold:
     """State of one chunk: its first start and its last end.
 
     Events may come in any order and more than once: what counts is seq. Tokens pass
     through to the segment of their micro-batch and are not kept, but for those an end has
     replaced: these go. So the work of a micro-batch follows its own events, however long
     the text is. A chunk whose last event lies `idle_ms` behind the watermark is forgotten.
+    State travels with the rows of its chunk, many chunks to a batch.
     """
 
     def __init__(self, idle_ms: int):
         self.idle_ms = idle_ms
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.bounds = handle.getValueState("bounds", _BOUNDS)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = self.bounds.get() if self.bounds.exists() else (0, 0, None, None, None, None, None, None)
-        version, last, start, start_n, end, end_n, end_docs, end_text = held
-        newest = timerValues.getCurrentWatermarkInMs()
+    def __call__(self, key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held = state.get if state.exists else (0, 0, None, None, None, None, None, None, 0)
+        version, last, start, start_n, end, end_n, end_docs, end_text, due = held
+        newest = state.getCurrentWatermarkMs()
         new = []
-        for frame in rows:
-            for row in frame.itertuples(index=False):
-                seq = int(row.seq)
-                newest = max(newest, int(row.ms))
-                last = max(last, seq)
-                if row.type == "chunk_start" and (start is None or seq < start):
-                    start, start_n = seq, _int(row.num_docs_in_chunk)
-                elif row.type == "chunk_end" and (end is None or seq > end):
-                    end, end_n = seq, _int(row.num_docs_in_chunk)
-                    end_docs, end_text = row.docs_json, row.generated_response
-                elif row.type == "chunk_token":
-                    new.append((seq, row.token))
-        version += 1
-        self.bounds.update((version, last, start, start_n, end, end_n, end_docs, end_text))
-        _due(self.handle, newest + self.idle_ms)
+        for event in _events(frames):
+            seq, kind, n = int(event.get("seq")), event["type"], event.get("num_docs_in_chunk")
+            newest, last = max(newest, int(event.get("ms"))), max(last, seq)
+            if kind == "chunk_start" and (start is None or seq < start):
+                start, start_n = seq, n
+            elif kind == "chunk_end" and (end is None or seq > end):
+                end, end_n, end_docs, end_text = seq, n, event.get(_DOCS_JSON), event.get("generated_response")
+            elif kind == "chunk_token":
+                new.append((seq, event.get("token")))
+        version, due = version + 1, max(due, newest + self.idle_ms)
+        state.update((version, last, start, start_n, end, end_n, end_docs, end_text, due))
+        state.setTimeoutTimestamp(due)
         # A start may still come, or a smaller one; ends only grow.
         ended = start is not None and end is not None and end > start
-        first = end if ended else start
         if ended:
             new = [(seq, text) for seq, text in new if seq > end]
-        yield pd.DataFrame({
-            "query_id": [key[0]], "chunk_index": pd.array([key[1]], dtype="int32"), "last_seq": [last],
-            "version": [version], "from_seq": pd.array([first], dtype="Int64"),
-            "num_docs_in_chunk": pd.array([end_n if ended else start_n], dtype="Int32"),
-            _DOCS_JSON: [end_docs if ended else None], "end_text": [end_text if ended else None],
-            "tokens": [[{"seq": seq, "token": token} for seq, token in sorted(new)]],
-        })
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.bounds.clear()
-        return iter(())
-
-    def close(self) -> None:
-        pass
+        yield _row(query_id=_int(key[0]), chunk_index=_int(key[1]), last_seq=last, version=version,
+                   from_seq=end if ended else start, num_docs_in_chunk=end_n if ended else start_n,
+                   docs_json=end_docs if ended else None, end_text=end_text if ended else None,
+                   tokens=[{"seq": seq, "token": token} for seq, token in sorted(new)])
 
 
 def fold_chunks_stream(events: DataFrame, delay: str = "10 minutes", idle_seconds: int = 3600
@@ -129,11 +124,10 @@ def fold_chunks_stream(events: DataFrame, delay: str = "10 minutes", idle_second
     with processing time, a run over what is available would never come to an end."""
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
     rows = timed.where(F.col("type").isin("chunk_start", "chunk_token", "chunk_end")).select(
-        "query_id", "chunk_index", "ts", F.unix_millis("ts").alias("ms"), "seq", "type", "num_docs_in_chunk", "token",
-        F.to_json("docs").alias(_DOCS_JSON), "generated_response")
-    out = rows.groupBy("query_id", "chunk_index").transformWithStateInPandas(
-        statefulProcessor=ChunkFold(idle_seconds * 1000), outputStructType=OUT,
-        outputMode="Update", timeMode="EventTime")
+        "query_id", "chunk_index", "ts",
+        _packed("num_docs_in_chunk", "token", F.to_json("docs").alias(_DOCS_JSON), "generated_response"))
+    out = rows.groupBy("query_id", "chunk_index").applyInPandasWithState(
+        ChunkFold(idle_seconds * 1000).__call__, OUT, _BOUNDS, "update", "EventTimeTimeout")
     none = F.array().cast(schemas.EVENTS["docs"].dataType)
     docs = F.from_json(_DOCS_JSON, schemas.EVENTS["docs"].dataType)
     return out.withColumn("docs", F.coalesce(docs, none)).drop(_DOCS_JSON)
@@ -154,7 +148,7 @@ def latest_chunks(updates: DataFrame) -> DataFrame:
         F.concat(F.coalesce("end_text", F.lit("")), F.coalesce("_later", F.lit(""))).alias("generated_response"))
 
 
-class SessionStatus(StatefulProcessor):
+class SessionStatus:
     """State of one query: its newest message, its newest end, and what ends told.
 
     `keep_ms` after a query was complete or failed, or `idle_ms` after its last event, the
@@ -164,40 +158,28 @@ class SessionStatus(StatefulProcessor):
     def __init__(self, keep_ms: int, idle_ms: int):
         self.keep_ms, self.idle_ms = keep_ms, idle_ms
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("status", _STATUS)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = self.state.get() if self.state.exists() else (None, None, None, "loading", None, None, None, None, None)
+    def __call__(self, key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held = state.get if state.exists else (None, None, None, "loading", None, None, None, None, None)
         said, message, final, status, complete, total, chunks, failed, error = held
-        newest = timerValues.getCurrentWatermarkInMs()
-        for frame in rows:
-            for row in frame.itertuples(index=False):
-                seq = int(row.seq)
-                newest = max(newest, int(row.ms))
-                if row.shown is not None and (said is None or seq > said):
-                    said, message = seq, row.shown
-                if row.type in ("complete", "error") and (final is None or seq > final):
-                    final, status = seq, "success" if row.type == "complete" else "error"
-                if row.type == "complete" and (complete is None or seq > complete):
-                    complete, total, chunks = seq, _int(row.total_docs_retrieved), _int(row.num_chunks)
-                if row.type == "error" and (failed is None or seq > failed):
-                    failed, error = seq, row.message
-        self.state.update((said, message, final, status, complete, total, chunks, failed, error))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(newest + (self.idle_ms if final is None else self.keep_ms))
-        yield pd.DataFrame({
-            "query_id": [key[0]], "progress_message": [message], "status": [status],
-            "total_docs_retrieved": pd.array([total], dtype="Int64"), "num_chunks": pd.array([chunks], dtype="Int32"), "error": [error]})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.state.clear()
-        return iter(())
-
-    def close(self) -> None:
-        pass
+        newest = state.getCurrentWatermarkMs()
+        for event in _events(frames):
+            seq, kind, shown = int(event.get("seq")), event.get("type"), event.get("shown")
+            newest = max(newest, int(event.get("ms")))
+            if shown is not None and (said is None or seq > said):
+                said, message = seq, shown
+            if kind in ("complete", "error") and (final is None or seq > final):
+                final, status = seq, "success" if kind == "complete" else "error"
+            if kind == "complete" and (complete is None or seq > complete):
+                complete, total, chunks = seq, event.get("total_docs_retrieved"), event.get("num_chunks")
+            if kind == "error" and (failed is None or seq > failed):
+                failed, error = seq, event.get("message")
+        state.update((said, message, final, status, complete, total, chunks, failed, error))
+        state.setTimeoutTimestamp(newest + (self.idle_ms if final is None else self.keep_ms))
+        yield _row(query_id=_int(key[0]), progress_message=message, status=status,
+                   total_docs_retrieved=total, num_chunks=chunks, error=error)
 
 
 def session_status_stream(events: DataFrame, delay: str = "10 minutes", keep_seconds: int = 600, idle_seconds: int = 86_400
@@ -208,8 +190,6 @@ def session_status_stream(events: DataFrame, delay: str = "10 minutes", keep_sec
     `idle_seconds` after its last event if it never was. Needs the RocksDB state store."""
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
     shown: Column = progress_message()
-    rows = timed.select("query_id", "ts", F.unix_millis("ts").alias("ms"), "seq", "type", shown.alias("shown"), "message",
-                        "total_docs_retrieved", "num_chunks")
-    return rows.groupBy("query_id").transformWithStateInPandas(
-        statefulProcessor=SessionStatus(keep_seconds * 1000, idle_seconds * 1000), outputStructType=STATUS_OUT,
-        outputMode="Update", timeMode="EventTime")
+    rows = timed.select("query_id", "ts", _packed(shown.alias("shown"), "message", "total_docs_retrieved", "num_chunks"))
+    return rows.groupBy("query_id").applyInPandasWithState(
+        SessionStatus(keep_seconds * 1000, idle_seconds * 1000).__call__, STATUS_OUT, _STATUS, "update", "EventTimeTimeout")

@@ -252,3 +252,11 @@ def test_frames_as_a_stream(spark, tmp_path):
     query.awaitTermination(60)
     got = spark.read.schema(schemas.EVENTS).option("recursiveFileLookup", "true").parquet(str(tmp_path / "out"))
     assert sorted(map(repr, got.collect())) == sorted(map(repr, log.collect()))
+
+
+def test_fold_state_travels_with_its_rows(spark, tmp_path):
+    """One text column a group besides its time, and no call to the JVM for each state."""
+    stream = stream_of(spark, tmp_path, [table(spark, [start(1, 1, 1)])], schemas.EVENTS)
+    for out in (fold_chunks_stream(stream), session_status_stream(stream)):
+        plan = out._jdf.queryExecution().analyzed().toString()
+        assert "FlatMapGroupsInPandasWithState" in plan and "AS event" in plan
