@@ -173,3 +173,21 @@ def test_far_from_zero_the_result_is_exact(spark, metric, shift):
     w = W.partitionBy("query_id", "variant_no").orderBy("x", "doc_id")
     want = want.withColumn("rank", F.row_number().over(w)).where("rank <= 6")
     assert found(knn_topk(q, d, 6, metric)) == found(want)
+
+
+def test_as_many_lists_as_tasks_run_at_a_time(spark):
+    """What a query's lists hold does not grow with the partitions of the documents."""
+    d = spark.range(200).select(F.col("id").alias("doc_id"), F.array(F.col("id").cast("float"), F.lit(1.0).cast("float")).alias("embedding")).repartition(50)
+    q = spark.createDataFrame([(1, 0, [3.2, 1.0])], "query_id long, variant_no int, embedding array<float>")
+    hits = knn_topk(q, d, 3)
+    assert f"Coalesce {spark.sparkContext.defaultParallelism}\n" in hits._jdf.queryExecution().executedPlan().toString()
+    assert [r.doc_id for r in hits.orderBy("rank").collect()] == [3, 4, 2]
+
+
+def test_places_of_few_marks():
+    from sparkrec.operators.knn import _places
+
+    rng = np.random.default_rng(3)
+    for shape in ((4, 16), (3, 5), (1, 8), (0, 4)):
+        marked = rng.random(shape) < 0.2
+        assert all((a == b).all() for a, b in zip(_places(marked), np.nonzero(marked)))

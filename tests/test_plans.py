@@ -227,3 +227,54 @@ def test_a_failing_batch_leaves_error_events(spark, tmp_path):
     query.awaitTermination()
     assert spark.read.parquet(paths[0]).count() == 2
     assert "error" not in {r["type"] for r in spark.read.parquet(paths[1]).collect()}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_are_placed_by_query_and_prompts_stay(spark, monkeypatch):
+    """Chunks lie by query_id, so nothing shuffles them on the way to their questions; equal
+    prompts are asked once without a shuffle of prompts."""
+    from sparkrec.operators.chunk import assemble_chunks
+    from sparkrec.plans import answer as plan
+
+    rows = [(q, pos, q % 2 * 10 + pos, f"text {pos}", {"a": "b"}) for q in range(6) for pos in range(1, 8)]
+    docs = spark.createDataFrame(rows, "query_id long, pos int, doc_id long, document string, meta map<string,string>")
+    queries = spark.createDataFrame([(q, f"same {q % 3}") for q in range(6)], "query_id long, text string")
+    chunks = plan.with_questions(assemble_chunks(docs, 5), queries)
+    assert "hashpartitioning(query_id" in _plan(chunks) and ", chunk_index" not in "".join(
+        line for line in _plan(chunks).splitlines() if "Exchange hashpartitioning" in line)
+    asked = []
+
+    def generate(requests, fn, **options):
+        asked.append(requests)
+        return requests.withColumns({"response": F.col("prompt"), "error": F.lit(None).cast("string")})
+
+    monkeypatch.setattr(plan, "generate", generate)
+    kept = storage.cut_lineage(chunks)
+    got = plan.answer(queries, kept).collect()
+    assert "Exchange hashpartitioning" not in _plan(asked[0]) and asked[0].count() == 6  # of 12 requests
+    assert len(got) == 12 and all(f"same {r.query_id % 3}\n" in r.generated_response and len(r.docs) == r.num_docs_in_chunk for r in got)
+    # an id that stands for two questions has an answer for each
+    twice = queries.union(spark.createDataFrame([(0, "other")], queries.schema))
+    got = plan.answer(twice, storage.cut_lineage(plan.with_questions(assemble_chunks(docs, 5), twice))).collect()
+    assert sorted(r.query_id for r in got) == sorted([0, 0, *[q for q in range(6) for _ in range(2)]])
+
+
+def test_prompts_show_what_format_string_shows(spark):
+    from sparkrec import constants as K
+    from sparkrec.functions.prompts import chunk_prompt
+
+    df = spark.createDataFrame([("50 % %s", 1, ["a $1 \\ %d", None]), (None, None, [])], "q string, i int, d array<string>")
+    old = F.format_string(K.ANSWER_USER, "q", "i", F.array_join(F.transform(
+        "d", lambda d, i: F.format_string(K.DOCUMENT_BLOCK, (i + 1).cast("int"), d)), "\n"))
+    assert all(a == b for a, b in df.select(chunk_prompt(F.col("q"), F.col("i"), F.col("d")), old).collect())
+
+
+def test_questions_without_hits_are_dropped_where_they_are_read(spark):
+    from sparkrec.plans.retrieve import among
+
+    asked = spark.range(2000).withColumnRenamed("id", "query_id")
+    got = [r[0] for r in among(asked, "query_id", storage.cut_lineage(asked.where("query_id % 100 = 7"))).collect()]
+    assert set(range(7, 2000, 100)) <= set(got) and len(got) < 60
