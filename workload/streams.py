@@ -38,7 +38,7 @@ def _stream(spark, sf, name, part):
     stream = (spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true")
               .option("pathGlobFilter", "*.parquet").parquet(path))
     number = part(rows)
-    return stream, [lambda i=i: rows.where(number == i).write.parquet(f"{path}/part-{i}") for i in range(PARTS)]
+    return stream, [lambda i=i: rows.where(number == i).write.option("compression", "zstd").parquet(f"{path}/part-{i}") for i in range(PARTS)]
 
 
 def _by_time(spark, sf):
