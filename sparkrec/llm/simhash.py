@@ -293,8 +293,10 @@ BANDS = 8               # keys of a document
 ROWS = 4                # smallest shingles that make up a key
 APART = 26              # bits, more than fingerprints of such a pair differ in
 SALTED = 2000           # pairs with one document in one place
-ORDER_SAMPLE = 20_000   # documents that tell which shingles are frequent; only the order of shingles depends on it
-FREQUENT = 100_000      # such shingles at most
+ORDER_SAMPLE = 20_000   # documents at least that tell which shingles are frequent; only the order of shingles depends on it
+ORDER_STEP = 16         # and one in so many, so that what passes as rare is in a bounded number of texts
+FREQUENT = 1_000_000    # such shingles at most
+MEET = 2                # of their first shingles alike texts share so many
 FEW = 3                 # members of a group that a shingle proposes before all of them
 
 
@@ -319,7 +321,7 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
 
 def frequent_shingles(rows: DataFrame, size: int) -> np.ndarray:
     """Shingles of three documents and more of a sample, the most frequent last."""
-    step = max(1, rows.count() // ORDER_SAMPLE)
+    step = max(1, min(rows.count() // ORDER_SAMPLE, ORDER_STEP))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -329,14 +331,16 @@ def frequent_shingles(rows: DataFrame, size: int) -> np.ndarray:
                     yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], names=["h"])
 
     counts = rows.where(F.pmod("key", F.lit(step)) == 0).select("text").mapInArrow(run, "h long").groupBy("h").count()
-    top = counts.where("count > 2").orderBy(F.desc("count"), "h").limit(FREQUENT).toArrow()
+    counts = stored(counts.where("count > 2"), "counts")
+    top = counts.orderBy(F.desc("count"), "h").limit(FREQUENT).toArrow()
+    discard(rows.sparkSession, counts)
     return top.column("h").to_numpy()[::-1].astype(np.int64).view(np.uint64)
 
 
 def prefix_length(n: int, least: float) -> int:
-    """How many of n shingles, in any one order for all texts, have one in common with
-    every set that shares `least` of them."""
-    return n - math.ceil(least * n - 1e-9) + 1 if n else 0
+    """How many of n shingles, in any one order for all texts, have MEET in common with
+    every set that shares `least` of them (all that it shares, where they are fewer)."""
+    return min(n, n - math.ceil(least * n - 1e-9) + MEET)
 
 
 def _described(rows: DataFrame, size: int, similarity: float) -> DataFrame:
@@ -344,7 +348,7 @@ def _described(rows: DataFrame, size: int, similarity: float) -> DataFrame:
     them (frequent ones come last) of (doc_id, key, text)."""
     by_rank = frequent_shingles(rows, size)
     by_hash = np.argsort(by_rank)
-    held = rows.sparkSession.sparkContext.broadcast((by_rank[by_hash], by_hash))
+    held = rows.sparkSession.sparkContext.broadcast((by_rank[by_hash], by_hash.astype(np.int32)))
 
     def first(shingles: np.ndarray) -> np.ndarray:
         frequent, rank = held.value
@@ -372,33 +376,53 @@ def _described(rows: DataFrame, size: int, similarity: float) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, key long, digest string, fp long, bands array<long>, n long, first array<long>")
 
 
-def _between_groups(shingles: DataFrame, classes: DataFrame) -> DataFrame:
-    """Rows of `shingles` (rep, key, n, place, h) that documents of different groups have, with their group."""
-    named = shingles.join(classes, shingles["rep"] == classes["id"], "left").select(
-        "rep", "key", "n", "place", "h", F.coalesce("component_id", "rep").alias("own"))
-    shared = named.groupBy("h").agg(F.min("own").alias("_x"), F.max("own").alias("_y")).where("_x <> _y").select("h")
-    return stored(named.join(shared, "h"), "shingles")
+def _in_groups(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """`rows` with the group `own` of their `rep`."""
+    return rows.join(classes, rows["rep"] == classes["id"], "left").withColumn(
+        "own", F.coalesce("component_id", "rep")).drop("id", "component_id")
 
 
-def _apart_but_alike(shingles: DataFrame, similarity: float, most: int | None = None) -> DataFrame:
-    """rep, key, b, b_key, n (pairs with b): all pairs of different groups that may share
+def _between_groups(shingles: DataFrame) -> DataFrame:
+    """Rows of `shingles` (rep, key, n, own, place, h) that documents of different groups have.
+    Most shingles are in one text alone and are dropped where they are read."""
+    spark = shingles.sparkSession
+    shared = stored(shingles.groupBy("h").agg(F.min("own").alias("_x"), F.max("own").alias("_y")).where("_x <> _y").select("h"), "shared")
+    bits = bloom.bits_for(shared.count())
+    some = shingles.where(bloom.might_contain(bloom.build(shared, "h", bits), F.col("h"), bits)) if bits else shingles
+    kept = stored(some.join(shared, "h", "left_semi"), "shingles")
+    discard(spark, shared)
+    return kept
+
+
+def _apart_but_alike(shingles: DataFrame, similarity: float, most: int | None = None, decided: DataFrame | None = None) -> DataFrame:
+    """rep, key, b, b_key: all pairs of different groups that may share
     `similarity` of their shingles; with `most`, of so many members of a group at a shingle.
+    Those `decided` (rep, key, b, b_key) are left out.
 
     Of two such sets, in one order of all shingles, the first ones of the larger (as many as
-    `prefix_length` says) meet the first ones of the smaller, where fewer do; and behind the
-    first one they share enough is left of both.
+    `prefix_length` says) meet the first ones of the smaller, where fewer do, MEET times; and
+    behind the first ones they share enough is left of both.
     """
     if most:
         w = W.partitionBy("h", "own").orderBy(F.xxhash64("rep", "key"))
         shingles = shingles.withColumn("_at", F.row_number().over(w)).where(F.col("_at") <= most).drop("_at")
     share = similarity / (1 + similarity)
-    fewer = F.col("n") - F.ceil(F.lit(2 * share) * F.col("n") - 1e-9) + 1
+    fewer = F.col("n") - F.ceil(F.lit(2 * share) * F.col("n") - 1e-9) + MEET
     small = shingles.where(F.col("place") < fewer).select(
         "h", F.col("rep").alias("b"), F.col("key").alias("b_key"), F.col("n").alias("b_n"), F.col("own").alias("b_own"), F.col("place").alias("b_place"))
     n, m = F.col("n"), F.col("b_n")
+    both = F.ceil(F.lit(share) * (n + m) - 1e-9)
     left = F.least(n - F.col("place"), m - F.col("b_place"))
-    fits = (F.col("own") != F.col("b_own")) & (n >= m) & (m >= F.lit(similarity) * n - 1e-9) & (left >= F.lit(share) * (n + m) - 1e-9)
-    pairs = stored(shingles.join(small, "h").where(fits).select("rep", "key", "b", "b_key").distinct(), "further")
+    fits = (F.col("own") != F.col("b_own")) & (n >= m) & (m >= F.lit(similarity) * n - 1e-9) & (left >= both - (MEET - 1))
+    pairs = shingles.join(small, "h").where(fits).groupBy("rep", "key", "b", "b_key").agg(
+        F.count("*").alias("_met"), F.max(F.least(F.lit(MEET), both)).alias("_due")).where("_met >= _due").select("rep", "key", "b", "b_key")
+    if decided is not None:
+        pairs = pairs.join(decided, ["rep", "key", "b", "b_key"], "left_anti")
+    return stored(pairs, "further")
+
+
+def _with_counts(pairs: DataFrame) -> DataFrame:
+    """Stored `pairs` with n, how many there are with their b."""
     return pairs.join(pairs.groupBy("b", "b_key").agg(F.count("*").alias("n")), ["b", "b_key"])
 
 
@@ -425,6 +449,8 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     nodes = seen.groupBy("digest").agg(F.min(F.struct("doc_id", "key", "fp", "bands", "n", "first")).alias("x")).select(
         "digest", F.col("x.doc_id").alias("rep"), "x.key", "x.fp", "x.bands", "x.n", "x.first")
     nodes = stored(nodes, "nodes")
+    named = stored(seen.select("doc_id", "digest"), "named")
+    discard(spark, seen)
     banded = nodes.select("rep", "key", "fp", F.posexplode("bands").alias("band", "h"))
     head = F.struct(F.xxhash64("rep", "band").alias("order"), F.col("rep").alias("b"), F.col("key").alias("b_key"), F.col("fp").alias("b_fp"))
     buckets = banded.groupBy("band", "h").agg(F.count("*").alias("n"), F.min(head).alias("head")).where("n > 1")
@@ -454,7 +480,7 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["a", "b"])
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """a, b (b < a) of those `pairs` (rep, key, b, b_key, n) whose texts are alike."""
+        """a, b (b < a) of those `pairs` (rep, key, b, b_key, n: pairs with b) whose texts are alike."""
         pairs = stored(pairs.withColumn("salts", F.ceil(F.col("n") / SALTED)).drop("n"), "pairs")
 
         heads = pairs.groupBy(F.col("b").alias("doc_id"), F.col("b_key").alias("key")).agg(F.max("salts").alias("salts"))
@@ -474,16 +500,21 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         return found
 
     found = verified(pairs)
+    discard(spark, buckets)
     # A few members of a group at a shingle, then all that are still apart: a group of any size
     # has most of what belongs to it by then, and shingles of one group alone propose nothing.
-    shingles = nodes.select("rep", "key", "n", F.posexplode("first").alias("place", "h"))
-    for most in (FEW, None):
-        shingles = _between_groups(shingles, stored(components(found), "classes"))
-        found = stored(found.union(verified(_apart_but_alike(shingles, similarity, most))), "links")
+    reps = stored(nodes.select("digest", "rep"), "reps")
+    shingles = _between_groups(_in_groups(nodes.select("rep", "key", "n", "first"), stored(components(found), "classes")).select(
+        "rep", "key", "n", "own", F.posexplode("first").alias("place", "h")))
+    discard(spark, nodes)
+    further = _apart_but_alike(shingles, similarity, FEW)
+    found = stored(found.union(verified(_with_counts(further))), "links")
+    shingles = _between_groups(_in_groups(shingles.drop("own"), stored(components(found), "classes")))
+    found = stored(found.union(verified(_with_counts(_apart_but_alike(shingles, similarity, decided=further)))), "links")
+    discard(spark, shingles, further)
     classes = components(found)
-    labels = nodes.join(classes, nodes["rep"] == classes["id"], "left").select("digest", F.coalesce("component_id", "rep").alias("component_id"))
-    discard(spark, buckets)
-    return seen.join(labels, "digest").select("doc_id", "component_id")
+    labels = reps.join(classes, reps["rep"] == classes["id"], "left").select("digest", F.coalesce("component_id", "rep").alias("component_id"))
+    return named.join(labels, "digest").select("doc_id", "component_id")
 
 
 def drop_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SIMILAR_SHINGLE,

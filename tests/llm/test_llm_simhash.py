@@ -3,6 +3,7 @@
 import random
 import re
 import string
+import time
 
 import numpy as np
 import pytest
@@ -170,3 +171,74 @@ def test_no_pair_at_the_threshold_is_left_out(spark):
         due[1000 + i] = i if like(a, b) >= 0.8 else 1000 + i
     got = {r.doc_id: r.component_id for r in S.similar_groups(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()}
     assert {i: got[i] for i in due} == due and all(got[i] == i for i in range(500))
+
+
+def spied(monkeypatch):
+    """Numbers of rows of what is stored from now on, by name."""
+    rows, real = {}, S.stored
+
+    def stored(df, name, path=None):
+        out = real(df, name, path)
+        rows.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(S, "stored", stored)
+    return rows
+
+
+def test_texts_of_one_template_are_not_compared(spark, monkeypatch):
+    """Shingles that some texts share are known as frequent however many texts there are, so texts
+    far from alike are no pairs: their number would grow with the square of the texts."""
+    monkeypatch.setattr(S, "ORDER_SAMPLE", 20)
+    monkeypatch.setattr(S, "ORDER_STEP", 2, raising=False)
+    rows = spied(monkeypatch)
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(50_000)}"
+    templates = [[word() for _ in range(100)] for _ in range(40)]
+    docs = [(i, " ".join(templates[i % 40] + [word() for _ in range(60)])) for i in range(600)]
+    docs.append((1000, docs[0][1] + " more"))
+    got = {r.doc_id: r.component_id for r in S.similar_groups(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()}
+    assert got == {i: 0 if i == 1000 else i for i, _ in docs}
+    assert sum(rows["pairs"][1:]) < 50  # of 4200; the first are those of equal keys
+
+
+def test_a_pair_is_decided_once(spark, monkeypatch):
+    """Pairs just below the threshold that the first shingles propose are not proposed again."""
+    rows = spied(monkeypatch)
+    rng = random.Random(10)
+    docs = []
+    for i in range(60):
+        a = [f"w{rng.randrange(50_000)}" for _ in range(100)]
+        b = list(a)
+        b[30] = b[70] = "other"
+        b[50] = "words"  # 15 of 96 shingles: 0.73
+        docs += [(i, " ".join(a)), (1000 + i, " ".join(b))]
+    got = [r.component_id for r in S.similar_groups(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()]
+    assert len(set(got)) == 120 and rows["pairs"][1] >= 30 and rows["pairs"][2] == 0
+
+
+def test_one_shared_shingle_is_no_pair(spark):
+    """Of alike texts two first shingles meet; where they share one in all, that does."""
+    schema = "rep long, key long, n long, own long, place long, h long"
+    rows = [(i, i, 100, i, p, 100 * i + p) for i in (1, 2, 3) for p in range(22)]
+    rows = [(*r[:5], 7) if r[4] == 0 else (*r[:5], 8) if r[0] > 1 and r[4] == 3 else r for r in rows]
+    got = S._apart_but_alike(spark.createDataFrame([*rows, (8, 8, 1, 8, 0, 5), (9, 9, 1, 9, 0, 5)], schema), 0.8).collect()
+    assert {frozenset((r.rep, r.b)) for r in got} == {frozenset((2, 3)), frozenset((8, 9))}
+
+
+def test_what_was_shuffled_for_a_stored_table_goes(spark):
+    from sparkrec.llm.common import stored
+
+    def shuffles():
+        env = spark._jvm.org.apache.spark.SparkEnv.get()
+        names = env.blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n")
+        return {n.rsplit("/", 1)[-1] for n in names if "/shuffle_" in n}
+
+    before = shuffles()
+    kept = stored(spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    for _ in range(50):
+        if not shuffles() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffles() - before and kept.count() == 7
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
