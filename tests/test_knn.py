@@ -191,3 +191,74 @@ def test_places_of_few_marks():
     for shape in ((4, 16), (3, 5), (1, 8), (0, 4)):
         marked = rng.random(shape) < 0.2
         assert all((a == b).all() for a, b in zip(_places(marked), np.nonzero(marked)))
+
+
+def measured(monkeypatch):
+    """How many pairs of a query and a document are compared from now on."""
+    pairs, real = [], knn._Best._add_tile
+    monkeypatch.setattr(knn._Best, "_add_tile", lambda self, which, docs, *a: (pairs.append(len(which) * len(docs.vectors)), real(self, which, docs, *a))[1])
+    return pairs
+
+
+@pytest.mark.parametrize("dim", [1, 2, 5, 40])
+@pytest.mark.parametrize("kind", ["spread", "grid", "copies", "line", "bound"])
+def test_cells_change_nothing(monkeypatch, dim, kind):
+    """Ties, copies, vectors on a line and far from all documents, by cells and without."""
+    monkeypatch.setattr(knn, "LEAF", 16)
+    rng = np.random.default_rng(dim)
+    docs, asked = rng.normal(size=(700, dim)), rng.normal(size=(90, dim))
+    if kind == "grid":
+        docs, asked = np.round(docs), np.round(asked)
+    elif kind == "copies":
+        docs[:500], asked[:5] = docs[0], docs[0]
+    elif kind == "line":
+        docs[:, 1:], asked[:40] = 0.5, asked[:40] * 1e6
+    ids = rng.permutation(700) * 3
+    words = np.array([f"w{i}" for i in ids], object)
+    want = knn._Best(asked, 7, "l2sq", 1)
+    want.add(np.arange(90), docs, ids, [words])
+    bound = np.where(np.arange(90) % 3, want.dist[:, 6], np.inf) if kind == "bound" else None
+    got = knn._Best(asked, 7, "l2sq", 1, bound)
+    got.add_tree(knn._Tree(docs, ids, [words], 7, "l2sq"))
+    assert (got.used == want.used).all() and (got.ids == want.ids).all() and (got.dist == want.dist).all()
+    assert (got.payload[0] == want.payload[0]).all()
+
+
+def test_a_query_meets_few_cells(monkeypatch):
+    rng = np.random.default_rng(4)
+    docs, asked = rng.random((40_000, 4)), rng.random((1000, 4))
+    best, pairs = knn._Best(asked, 5, "l2sq", 0), measured(monkeypatch)
+    best.add_tree(knn._tree_for(best, (docs, np.arange(40_000), [])))
+    assert sum(pairs) < 0.2 * 40_000 * 1000
+    assert best.ids[7].tolist() == np.argsort(((docs - asked[7]) ** 2).sum(1))[:5].tolist()
+
+
+def test_cells_are_left_where_they_save_nothing():
+    rng = np.random.default_rng(5)
+    docs, asked = rng.normal(size=(9000, 64)), rng.normal(size=(50, 64))
+    tree = lambda q, d, metric="l2sq": knn._tree_for(knn._Best(q, 5, metric, 0), (d, np.arange(len(d)), []))
+    assert tree(asked, docs) is None  # without clusters all are about as far
+    few = docs[:, :3]
+    assert tree(asked[:, :3], few) and tree(asked[:, :3], few, "ip") is None and tree(asked[:, :3], few[:100]) is None
+    few[3, 0] = np.nan
+    assert tree(asked[:, :3], few) is None
+
+
+def test_blocks_of_queries_use_cells(spark, tmp_path, monkeypatch):
+    """Many blocks of queries past many documents: the result of one block, with less compared."""
+    vector = lambda seed, most: F.array(*[F.round(F.rand(seed + i) * most, 2).cast("float") for i in range(3)]).alias("embedding")
+    d = spark.range(20_000).select(F.col("id").alias("doc_id"), vector(1, 9)).coalesce(1)
+    q = spark.range(900).select((F.col("id") / 3).cast("long").alias("query_id"), (F.col("id") % 3).cast("int").alias("variant_no"), vector(11, 10))
+    d.write.parquet(f"{tmp_path}/d")
+    q.write.parquet(f"{tmp_path}/q")
+    d, q = spark.read.parquet(f"{tmp_path}/d"), spark.read.parquet(f"{tmp_path}/q")
+    in_blocks = knn_topk(q, d, 5, block_bytes=40_000, tasks=1)
+    assert sorted(in_blocks.collect()) == sorted(knn_topk(q, d, 5).collect())
+    # What a task does, here: the same rows out of the blocks, and fewer pairs.
+    uris = knn._blocks(q.select("query_id", "variant_no", F.col("embedding").alias("_vector"), F.lit(None).cast("double").alias("_bound")), ["query_id", "variant_no"], 300, 3)
+    batch = d.select(F.col("doc_id").alias("_id"), F.col("embedding").alias("_vector")).toArrow().combine_chunks().to_batches()
+    schema = pa.schema([("query_id", pa.int64()), ("variant_no", pa.int32()), ("doc_id", pa.int64()), ("distance", pa.float64())])
+    pairs = measured(monkeypatch)
+    sent = [r for b in knn._scan_blocks(iter(batch), uris, ("query_id", "variant_no"), False, 5, "l2sq", (), schema, 32 << 20) for r in b.to_pylist()]
+    assert len(uris) > 1 and {(r["query_id"], r["variant_no"], r["doc_id"]) for r in sent} == {(r.query_id, r.variant_no, r.doc_id) for r in in_blocks.collect()}
+    assert sum(pairs) < 0.5 * 900 * 20_000
