@@ -332,9 +332,16 @@ def frequent_shingles(rows: DataFrame, size: int) -> np.ndarray:
 
     counts = rows.where(F.pmod("key", F.lit(step)) == 0).select("text").mapInArrow(run, "h long").groupBy("h").count()
     counts = stored(counts.where("count > 2"), "counts")
-    top = counts.orderBy(F.desc("count"), "h").limit(FREQUENT).toArrow()
+    least = total = 0
+    for count, shingles in sorted(counts.groupBy("count").agg(F.count("*")).collect(), reverse=True):
+        total += shingles
+        if total > FREQUENT:
+            least = count + 1
+            break
+    top = counts.where(F.col("count") >= least).toArrow()
     discard(rows.sparkSession, counts)
-    return top.column("h").to_numpy()[::-1].astype(np.int64).view(np.uint64)
+    h, count = top.column("h").to_numpy(), top.column("count").to_numpy()
+    return h[np.lexsort((h, -count))][::-1].view(np.uint64)
 
 
 def prefix_length(n: int, least: float) -> int:
@@ -382,12 +389,12 @@ def _in_groups(rows: DataFrame, classes: DataFrame) -> DataFrame:
         "own", F.coalesce("component_id", "rep")).drop("id", "component_id")
 
 
-def _between_groups(shingles: DataFrame) -> DataFrame:
+def _between_groups(shingles: DataFrame, most_are: bool = False) -> DataFrame:
     """Rows of `shingles` (rep, key, n, own, place, h) that documents of different groups have.
-    Most shingles are in one text alone and are dropped where they are read."""
+    Unless `most_are`, those in one text alone are dropped where they are read."""
     spark = shingles.sparkSession
     shared = stored(shingles.groupBy("h").agg(F.min("own").alias("_x"), F.max("own").alias("_y")).where("_x <> _y").select("h"), "shared")
-    bits = bloom.bits_for(shared.count())
+    bits = None if most_are else bloom.bits_for(shared.count())
     some = shingles.where(bloom.might_contain(bloom.build(shared, "h", bits), F.col("h"), bits)) if bits else shingles
     kept = stored(some.join(shared, "h", "left_semi"), "shingles")
     discard(spark, shared)
@@ -509,9 +516,11 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     discard(spark, nodes)
     further = _apart_but_alike(shingles, similarity, FEW)
     found = stored(found.union(verified(_with_counts(further))), "links")
-    shingles = _between_groups(_in_groups(shingles.drop("own"), stored(components(found), "classes")))
-    found = stored(found.union(verified(_with_counts(_apart_but_alike(shingles, similarity, decided=further)))), "links")
-    discard(spark, shingles, further)
+    shingles = _between_groups(_in_groups(shingles.drop("own"), stored(components(found), "classes")), most_are=True)
+    rest = _apart_but_alike(shingles, similarity, decided=further)
+    if not rest.isEmpty():
+        found = stored(found.union(verified(_with_counts(rest))), "links")
+    discard(spark, shingles, further, rest)
     classes = components(found)
     labels = reps.join(classes, reps["rep"] == classes["id"], "left").select("digest", F.coalesce("component_id", "rep").alias("component_id"))
     return named.join(labels, "digest").select("doc_id", "component_id")
